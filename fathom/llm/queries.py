@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, sharding, simhash, substring
+import public_tokenizers
+
+from . import decontam, packing, sharding, simhash, substring, tokens
 from .shared import table
 
 
@@ -14,13 +16,21 @@ def op2_decontamination(spark, sf_dir):
     return decontam.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_ids(spark, sf_dir):
+    return tokens.op3(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring.op4(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.op7(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_substring_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op7_packing, op8_simhash)}
 ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL}
