@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, packing, sharding, simhash, substring, tokens
+from . import decontam, ordinal, packing, sharding, simhash, substring, tokens, toxicity
 from .shared import table
 
 
@@ -24,6 +24,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.op7(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,5 +36,9 @@ def op8_simhash(spark, sf_dir):
     return simhash.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op7_packing, op8_simhash)}
+def op10_ordinal_quality(spark, sf_dir):
+    return ordinal.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op7_packing, op8_simhash, op10_ordinal_quality)}
 ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL}

@@ -102,20 +102,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII that is no letter or digit, and its opposite with white space: between words, and between runs of signs.
+SIGNS = np.zeros(256, bool)
+SIGNS[:128] = [not chr(i).isalnum() for i in range(128)]
+LETTERS = ~SIGNS | SPACE
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts: their hashes, and where each text's begin (``offsets``, one more than texts)."""
+    """Words (what lies between bytes of ``gaps``) of some texts: their hashes, and where each text's begin (``offsets``, one more than texts).
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    A gap must contain the line end. By default gaps are white space, and words ``[^\\x20\\x09-\\x0D]+``.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = SPACE):
         data = b"\n".join(texts)
         if lower:
             data = data.lower()  # of bytes: only A to Z
         raw = np.frombuffer(data, np.uint8)
         gap = np.ones(len(raw) + 2, bool)
-        gap[1:-1] = _SPACE[raw]
+        gap[1:-1] = gaps[raw]
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
         up, down = _powers(len(raw) + 2)
