@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, ordinal, packing, sharding, simhash, substring, tokens, toxicity
+from . import decontam, matroska, ordinal, packing, sharding, simhash, substring, tokens, toxicity
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_matroska(spark, sf_dir):
+    return matroska.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.op7(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,5 +44,5 @@ def op10_ordinal_quality(spark, sf_dir):
     return ordinal.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op7_packing, op8_simhash, op10_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op6_matroska, op7_packing, op8_simhash, op10_ordinal_quality)}
 ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL}
