@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, matroska, ordinal, packing, sharding, simhash, substring, tokens, toxicity
+from . import decontam, kneser_ney, matroska, ordinal, packing, sharding, simhash, substring, tokens, toxicity
 from .shared import table
 
 
@@ -40,9 +40,13 @@ def op8_simhash(spark, sf_dir):
     return simhash.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark, sf_dir):
+    return kneser_ney.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_ordinal_quality(spark, sf_dir):
     return ordinal.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op6_matroska, op7_packing, op8_simhash, op10_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op6_matroska, op7_packing, op8_simhash, op9_kneser_ney, op10_ordinal_quality)}
 ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL}
