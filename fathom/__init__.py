@@ -1,0 +1 @@
+"""Equity research on thinly traded markets as Spark plans."""

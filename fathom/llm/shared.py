@@ -50,10 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id as long and text as string; columns that have the type already stay as they are, so equal scans stay equal in the plan."""
+def id_and_text(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """doc_id as long and text as string, and the extra columns under new names; columns that have the type already stay as they are, so equal scans stay equal in the plan."""
     kinds = dict(docs.dtypes)
-    return docs.select(*[F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))])
+    own = [F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
+    return docs.select(*own, *[F.col(f"`{c}`").alias(to) for c, to in (extra or {}).items()])
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import Words, chunks, id_and_text, rolling, texts_of
 
@@ -92,54 +93,76 @@ def _emit_windows(window: int, grid: int):
 def _cut(window: int, texts_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, starts = batch.column("doc_id"), texts_of(batch.column("text")), batch.column("starts")
+            texts, null = texts_of(batch.column("text")), batch.column("text").is_null().to_pylist()
+            starts, copies = batch.column("starts"), batch.column("copy").is_valid().to_pylist()
             total, removed, kept = [], [], []
             for i, text in enumerate(texts):
                 words = text.split()
+                gone, rest = 0, text
+                if copies[i] and len(words) >= window:
+                    gone, rest = len(words), b""
+                elif starts[i].is_valid:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    at = starts[i].values.to_numpy()
+                    at = at[at + window <= len(words)]  # those of a longer text with the same doc_id
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    out = np.cumsum(edge)[:-1] > 0
+                    gone = int(out.sum())
+                    rest = b" ".join([w for w, g in zip(words, out.tolist(), strict=True) if not g])
+                elif not texts_out:
+                    rest = b" ".join(words)
                 total.append(len(words))
-                if not starts[i].is_valid:
-                    removed.append(0)
-                    kept.append(text if texts_out else hashlib.sha256(b" ".join(words)).hexdigest())
-                    continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = starts[i].values.to_numpy()
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                removed.append(int(gone.sum()))
-                rest = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                kept.append(rest if texts_out else hashlib.sha256(rest).hexdigest())
-            last = pa.array(kept, pa.binary()).cast(pa.string()) if texts_out else pa.array(kept, pa.string())
-            if texts_out:
-                last = pa.array([None if t is None else k for t, k in zip(batch.column("text").is_valid().to_pylist(), last.to_pylist(), strict=True)], pa.string()) if batch.column("text").null_count else last
-            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), last], ["doc_id", "n_words", "n_removed", "kept"])
+                removed.append(gone)
+                kept.append((None if null[i] else rest.decode()) if texts_out else hashlib.sha256(rest).hexdigest())
+            extra = [c for c in batch.schema.names if c.startswith("__")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *map(batch.column, extra)], ["doc_id", "n_words", "n_removed", "kept", *extra])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, grid: int = GRID, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): kept is the text without the removed words (the text itself where none goes), or with texts=False the sha256 of the kept words joined by one space.
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, grid: int = GRID, texts: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, *extra): kept is the text without the removed words (the text itself where none goes), or with texts=False the sha256 of the kept words joined by one space.
 
     Null and empty texts have no words; a null text stays null. Rows without a doc_id neither remove nor lose words.
     Rows that repeat a doc_id are one document for the comparison (a repeat within one document removes nothing), and
-    each row is cut by all windows of its id that lie in it. Columns other than doc_id and text are not read.
+    windows that are removed from one of them at some words are taken from all that have as many. Of columns other than
+    doc_id and text only those named in extra are read; they are carried along, whatever their names.
     """
     if not 1 <= grid <= window // 2:
         raise ValueError("grid must lie between 1 and half of the window")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = id_and_text(docs, {c: f"__{i}" for i, c in enumerate(extra)})
+    named = plain.where("doc_id is not null")
     # One exchange by document, used by the three passes over the texts.
-    plain = id_and_text(docs)
-    by_doc = plain.where("doc_id is not null").repartition(n, "doc_id")
-    anchors = by_doc.mapInArrow(_emit_anchors(window, grid), "h long, doc_id long, ref boolean")
+    by_doc = named.repartition(n, "doc_id")
+    # A copy of a whole text with a smaller doc_id loses every word that lies in a window, and shows no other document a
+    # window that the smaller doc_id doesn't show: it needs no comparison.
+    same = named.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.col("doc_id").cast("string"), F.lit("")).alias("m"))
+    copies = same.join(same.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "m").groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("lo")).alias("copy"))
+    single = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+    copies = copies.where("copy").join(single, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("copy"))
+    originals = by_doc.join(copies, "doc_id", "left_anti")
+    anchors = originals.mapInArrow(_emit_anchors(window, grid), "h long, doc_id long, ref boolean")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("ref").alias("ref")).where("lo < hi and ref").select("h")
     hits = anchors.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    windows = by_doc.join(hits, "doc_id").mapInArrow(_emit_windows(window, grid), "h1 long, h2 int, doc_id long, at int")
+    windows = originals.join(hits, "doc_id").mapInArrow(_emit_windows(window, grid), "h1 long, h2 int, doc_id long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     cuts = windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    done = by_doc.join(cuts, "doc_id", "left")
-    nameless = plain.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
-    return done.select("doc_id", "text", "starts").unionByName(nameless).mapInArrow(_cut(window, texts), "doc_id long, n_words long, n_removed long, kept string")
+    done = by_doc.join(cuts, "doc_id", "left").join(copies, "doc_id", "left")
+    nameless = plain.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    schema = StructType([*schema.fields, *[f for f in plain.schema.fields if f.name.startswith("__")]])
+    return done.unionByName(nameless).mapInArrow(_cut(window, texts), schema).withColumnsRenamed({f"__{i}": c for i, c in enumerate(extra)})
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeated passages cut from their texts; n_chars, where there is one, follows the text where words went."""
+    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    got = dedup_substrings(docs.withColumnsRenamed({c: f"_{c}" for c in extra}), extra=tuple(f"_{c}" for c in extra))
+    out = [F.col("doc_id") if c == "doc_id" else F.col("kept").alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"_{c}").alias(c) for c in docs.columns]
+    return got.select(*out)
 
 
 def op4(docs: DataFrame) -> DataFrame:

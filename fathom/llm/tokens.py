@@ -16,6 +16,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,27 +28,47 @@ from pyspark.sql import functions as F
 from .shared import chunks, id_and_text, shared_path, texts_of
 
 END_ID = 2
-KNOWN = 300_000
+#: Words that a Python worker remembers: about 200 bytes each.
+KNOWN = 800_000
 _MAGIC = b"FIDS"
 _HEAD = struct.Struct("<4sBBHIQ")
 BLOCK = 1024
 FILE_IDS = 1 << 20
 
 
+class Known(dict):
+    """A dict that asks ``new`` for what it doesn't have, and keeps the answer."""
+
+    def __init__(self, new):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, key):
+        self[key] = value = self.new(key)
+        return value
+
+
 class Encoder:
-    """split: "space" for byte-level tokenizers whose words begin with the space before them; "drop" for ones that drop white space; None to encode whole texts only."""
+    """split: "space" for byte-level tokenizers whose words begin with the space before them; "drop" for ones that lower-case and drop white space; None to encode whole texts only."""
+
+    #: Latin letters, which no normaliser changes but for case, and ASCII signs after them: two pre-tokens at most.
+    WORD = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str, split: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.known = Tokenizer.from_file(path), split, {}
+        self.tokenizer, self.split, self.known, self.tails = Tokenizer.from_file(path), split, Known(self._new), {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.runs = re.compile(r"\s\s")
+        # byte-level models spell bytes as printable characters: those that print as themselves, the others from U+0100 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.spelling = dict(zip(shown, shown, strict=True)) | {x: 0x100 + i for i, x in enumerate(sorted({*range(0x100)} - {*shown}))}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, text: str) -> list[str] | None:
         """The text cut before each space or line end that stands alone between other characters; None if some don't stand alone."""
@@ -59,22 +80,46 @@ class Encoder:
         """The ids of each text."""
         if self.split == "drop":
             parts = [t.split() for t in texts]
-            self._learn(set().union(*parts), lambda w: w.decode())
+            self._room(parts)
             return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.kind) for p in parts]
         decoded = [t.decode() for t in texts]
         parts = [self._parts(t) for t in decoded]
         # the first part has no space before it; a text that isn't cut is one first part
         first = self._ids([p[0] if p else t for p, t in zip(parts, decoded, strict=True)])
         rest = [p[1:] if p else [] for p in parts]
-        self._learn(set().union(*rest), lambda w: w if w.startswith("\n") else " " + w)
+        self._room(rest)
         return [np.frombuffer(b"".join([f, *map(self.known.__getitem__, p)]), self.kind) for f, p in zip(first, rest, strict=True)]
 
-    def _learn(self, words: set, text) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN and self.known:
-            self.known, new = {}, words
-        new = list(new)
-        self.known.update(zip(new, self._ids([text(w) for w in new]), strict=True))
+    def _room(self, parts: list[list]) -> None:
+        """Once the table is full: what these texts have too is likely to come again, the rest goes."""
+        if len(self.known) > KNOWN:
+            kept = {w: self.known[w] for w in set().union(*parts)}
+            self.known.clear()
+            self.known.update(kept)
+
+    def _new(self, w) -> bytes:
+        """Ids of a word seen for the first time: those of its letters and of the signs after them, or from the tokenizer."""
+        drop = self.split == "drop"
+        text = w.decode() if drop else w
+        m = self.WORD.fullmatch(text)
+        if not m or (drop and text[0] == "\n"):
+            return self._ids([text if drop or text.startswith("\n") else " " + text])[0]
+        head, tail = m.groups()
+        if not tail:
+            return self._word(head, drop)
+        if (end := self.tails.get(tail)) is None:
+            end = self._ids([tail])[0]
+            if len(self.tails) < KNOWN:
+                self.tails[tail] = end
+        return self.known[head.encode() if drop else head] + end
+
+    def _word(self, head: str, drop: bool) -> bytes:
+        """Ids of one pre-token of letters, with the space or line end before it that a byte-level model has there."""
+        before, head = ("\n", head[1:]) if head[0] == "\n" else ("", head.lower()) if drop else ("", " " + head)
+        tokens = self.tokenizer.model.tokenize(head.encode().decode("latin-1").translate(self.spelling))
+        if before:
+            tokens = self.tokenizer.model.tokenize(before.translate(self.spelling)) + tokens
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in tokens]).tobytes()
 
 
 @functools.lru_cache(4)

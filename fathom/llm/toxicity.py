@@ -108,7 +108,21 @@ def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return got.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that score THRESHOLD or more. Rows without a doc_id can't be named and stay."""
-    toxic = scores(docs, labels, learnt_from()).where((F.col("score") >= THRESHOLD) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+def _kept(model, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = model.value
+        limit = np.log(THRESHOLD / (1 - THRESHOLD))
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            keep = np.ones(len(texts), bool)
+            for a, b in chunks(texts):
+                keep[a:b] = [w[np.unique(x[w[x] != 0])].sum(dtype=float) + bias < limit for x in features(texts[a:b], bits)]
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores less than THRESHOLD; judged where they are read."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learnt_from(), bits))
+    return docs.mapInArrow(_kept(model, bits), docs.schema)
