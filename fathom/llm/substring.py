@@ -131,26 +131,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, grid: int = GRID, te
     """
     if not 1 <= grid <= window // 2:
         raise ValueError("grid must lie between 1 and half of the window")
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = id_and_text(docs, {c: f"__{i}" for i, c in enumerate(extra)})
+    # The joins below deal this out by doc_id in the same way, so that the three passes over the texts use one exchange.
     named = plain.where("doc_id is not null")
-    # One exchange by document, used by the three passes over the texts.
-    by_doc = named.repartition(n, "doc_id")
     # A copy of a whole text with a smaller doc_id loses every word that lies in a window, and shows no other document a
     # window that the smaller doc_id doesn't show: it needs no comparison.
     same = named.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.col("doc_id").cast("string"), F.lit("")).alias("m"))
     copies = same.join(same.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "m").groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("lo")).alias("copy"))
     single = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
     copies = copies.where("copy").join(single, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("copy"))
-    originals = by_doc.join(copies, "doc_id", "left_anti")
+    originals = named.join(copies, "doc_id", "left_anti")
     anchors = originals.mapInArrow(_emit_anchors(window, grid), "h long, doc_id long, ref boolean")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("ref").alias("ref")).where("lo < hi and ref").select("h")
     hits = anchors.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     windows = originals.join(hits, "doc_id").mapInArrow(_emit_windows(window, grid), "h1 long, h2 int, doc_id long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     cuts = windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    done = by_doc.join(cuts, "doc_id", "left").join(copies, "doc_id", "left")
+    done = named.join(cuts, "doc_id", "left").join(copies, "doc_id", "left")
     nameless = plain.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
     schema = StructType([*schema.fields, *[f for f in plain.schema.fields if f.name.startswith("__")]])
