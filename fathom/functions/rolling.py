@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("d_idx")
-BY_DATE = Window.partitionBy("date")
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("d_idx")
+
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def trailing(n: int):
-    return BY_TICKER.rowsBetween(1 - n, 0)
+    return by_ticker().rowsBetween(1 - n, 0)
 
 
 def roll(agg: Callable[[Column], Column], x: Column, n: int, least: int | None = None) -> Column:
@@ -25,11 +30,11 @@ def roll(agg: Callable[[Column], Column], x: Column, n: int, least: int | None =
 
 
 def back(name: str, n: int) -> Column:
-    return F.lag(name, n).over(BY_TICKER)
+    return F.lag(name, n).over(by_ticker())
 
 
 def ahead(name: str, n: int) -> Column:
-    return F.lead(name, n).over(BY_TICKER)
+    return F.lead(name, n).over(by_ticker())
 
 
 def log_ratio(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from math import sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_TICKER, roll
+from ..functions.rolling import back, by_ticker, log_ratio, roll
 
 #: Order of horizons for display.
 ORDER = {"1M": 1, "3M": 2, "6M": 3, "12M": 4}
@@ -16,16 +16,17 @@ ORDER = {"1M": 1, "3M": 2, "6M": 3, "12M": 4}
 def performance(panel: DataFrame) -> DataFrame:
     """Of each ticker's closes that exist: the last, its change over 21, 63 and 252 of them in percent, and the year's volatility."""
     rows = panel.where("close is not null")
-    change = lambda n: 100 * (F.try_divide(F.col("close"), F.lag("close", n).over(BY_TICKER)) - 1)
+    change = lambda n: 100 * (F.try_divide(F.col("close"), F.lag("close", n).over(by_ticker())) - 1)
     last = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("d_idx")))
-    vol = 100 * sqrt(252) * F.stddev_samp("ret").over(Window.partitionBy("ticker"))
-    out = rows.select("ticker", F.col("close").alias("last_price"), change(21).alias("ret_1m_pct"), change(63).alias("ret_3m_pct"), change(252).alias("ret_1y_pct"), vol.alias("ann_vol_pct"), last.alias("k"))
+    vol = 100 * sqrt(252) * F.stddev_samp("own").over(Window.partitionBy("ticker"))
+    own = rows.withColumn("own", log_ratio(F.col("close"), back("close", 1)))
+    out = own.select("ticker", F.col("close").alias("last_price"), change(21).alias("ret_1m_pct"), change(63).alias("ret_3m_pct"), change(252).alias("ret_1y_pct"), vol.alias("ann_vol_pct"), last.alias("k"))
     return out.where("k = 1").drop("k")
 
 
 def moving_average(panel: DataFrame, n: int = 50) -> DataFrame:
-    """(ticker, date, close, volume, ma50) of dates with a close."""
-    return panel.select("ticker", "date", "close", "volume", roll(F.avg, F.col("close"), n).alias("ma50")).where("close is not null")
+    """(ticker, date, close, volume, ma50) of dates with a close; the mean is of such dates."""
+    return panel.where("close is not null").select("ticker", "date", "close", "volume", roll(F.avg, F.col("close"), n).alias("ma50"))
 
 
 def forecasts_of(forecasts: DataFrame, ticker: str) -> DataFrame:

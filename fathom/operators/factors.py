@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_DATE, back, log_ratio, roll
+from ..functions.rolling import by_date, back, log_ratio, roll
 
 #: Those that the composite averages.
 COMPOSED = ["momentum_126_21", "reversal_5d", "low_volatility", "high_52w", "trend_ma_20_100"]
@@ -37,8 +37,8 @@ NAMES = [*FACTORS, "composite"]
 
 def zscore(name: str) -> Column:
     """Of a date's tickers; null where they don't differ."""
-    sd = F.stddev_samp(name).over(BY_DATE)
-    return (F.col(name) - F.avg(name).over(BY_DATE)) / F.nullif(sd, F.lit(0.0))
+    sd = F.stddev_samp(name).over(by_date())
+    return (F.col(name) - F.avg(name).over(by_date())) / F.nullif(sd, F.lit(0.0))
 
 
 def add_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_TICKER, ahead, back, log_ratio, roll, trailing
+from ..functions.rolling import ahead, back, log_ratio, roll, trailing
 from .factors import _amihud, _volume_shock
 from .panel import market_series
 
@@ -53,4 +53,4 @@ def average_rank(x: str, *by: str):
     return F.when(F.col(x).isNotNull(), F.rank().over(w.orderBy(F.asc_nulls_last(x))) + (ties - 1) / 2)
 
 
-__all__ = ["BY_TICKER", "FEATURES", "HORIZONS", "add_features", "add_targets", "average_rank", "market_features"]
+__all__ = ["FEATURES", "HORIZONS", "add_features", "add_targets", "average_rank", "market_features"]

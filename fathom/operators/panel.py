@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_TICKER, back, log_ratio
+from ..functions.rolling import by_ticker, back, log_ratio
 
 FILL = 10
 TRADED = 1e-12
@@ -36,7 +36,7 @@ def dense(prices: DataFrame) -> DataFrame:
 def to_panel(prices: DataFrame, unique: bool = False) -> DataFrame:
     """(ticker, date, d_idx, close, volume, ret, traded): closes carried over gaps of at most ten rows, log returns, and whether the price moved. unique: prices has one row for each ticker and date already."""
     rows = dense(prices if unique else unique_prices(prices))
-    filled = rows.withColumn("close", F.last("raw_close", ignorenulls=True).over(BY_TICKER.rowsBetween(-FILL, 0)))
+    filled = rows.withColumn("close", F.last("raw_close", ignorenulls=True).over(by_ticker().rowsBetween(-FILL, 0)))
     moved = filled.withColumn("ret", log_ratio(F.col("close"), back("close", 1)))
     return moved.select("ticker", "date", "d_idx", "close", "volume", "ret", F.coalesce(F.abs("ret") > TRADED, F.lit(False)).alias("traded"))
 

@@ -70,7 +70,7 @@ net0 as (select strategy, d_idx, sum(w * coalesce(ret, 0)) gross, sum(abs(w - w0
 net as (select s.strategy, c.date, c.d_idx, coalesce(gross, 0) gross, coalesce(turnover, 0) turnover, coalesce(gross - turnover * 0.01, 0) net from (select distinct strategy from scores) s cross join cal c left join net0 n on n.strategy = s.strategy and n.d_idx = c.d_idx where c.d_idx >= 130)"""
 PERF_CTE = """curve as (select *, sum(net) over (partition by strategy order by d_idx rows unbounded preceding) equity from net),
 dd as (select *, equity - max(equity) over (partition by strategy order by d_idx rows unbounded preceding) drawdown from curve),
-perf as (select strategy, avg(net) * 252 ann_return, stddev_samp(net) * sqrt(252) ann_vol, min(drawdown) max_drawdown, avg((net > 0)::int::double) hit_rate, count(net) days, avg(turnover) avg_daily_turnover, case when stddev_samp(net) > 0 then avg(net) * 252 / (stddev_samp(net) * sqrt(252)) else 0 end sharpe from dd group by strategy)"""
+perf as (select strategy, avg(net) * 252 ann_return, stddev_samp(net) * sqrt(252) ann_vol, min(drawdown) max_drawdown, avg((net > 0)::int::double) hit_rate, count(net) as days, avg(turnover) avg_daily_turnover, case when stddev_samp(net) > 0 then avg(net) * 252 / (stddev_samp(net) * sqrt(252)) else 0 end sharpe from dd group by strategy)"""
 COMPACT_CTE = """cr as (select ticker, row_number() over (partition by ticker order by d_idx) i, ret - avg(ret) over (partition by ticker) d, count(*) over (partition by ticker) n from panel where ret is not null)"""
 _VRP = ", ".join(f"d * d * lag(d, {k}) over (partition by ticker order by i) * lag(d, {k}) over (partition by ticker order by i) p{k}" for k in range(1, 5))
 _THETA = " + ".join(f"{(2 * (5 - k) / 5) ** 2!r} * sum(p{k}) / (sum(d * d) * sum(d * d) / n)" for k in range(1, 5))
@@ -85,7 +85,7 @@ SPREAD_CTE = f"""sp0 as (select ticker, d_idx, ln({back(21)} / {back(126)}) sign
 sp1 as (select *, count(*) over (partition by d_idx) n, row_number() over (partition by d_idx order by signal desc, ticker) up, row_number() over (partition by d_idx order by signal, ticker) down from sp0 where signal is not null and d_idx >= 126 and d_idx < (select max(d_idx) + 1 - 21 from cal) and (d_idx - 126) % 21 = 0),
 spreads as (select * from (select d_idx, avg(future) filter (up <= greatest(3, n // 5)) - avg(future) filter (down <= greatest(3, n // 5)) spread from sp1 where n >= 10 group by d_idx, n) where spread is not null)"""
 AUDIT_CTE = f"""{COMPACT_CTE}, {VR_CTE}, {LB_CTE},
-sa as (select p.ticker, count(ret) days, stddev_pop(ret) * sqrt(252) ann_vol, avg(traded::int::double) traded_share from panel p group by 1),
+sa as (select p.ticker, count(ret) as days, stddev_pop(ret) * sqrt(252) ann_vol, avg(traded::int::double) traded_share from panel p group by 1),
 stock_audit as (select sa.*, vr.vr variance_ratio_q5, vr.z, lb.p_value ljung_box_p from sa left join vr using (ticker) left join lb using (ticker))"""
 MARKET_CTE = """market as (select date, d_idx, avg(ret) mkt from panel group by 1, 2),
 mf as (select *, case when count(mkt) over w63 >= 63 then sum(mkt) over w63 end market_mom_63, case when count(mkt) over w21 >= 21 then stddev_samp(mkt) over w21 end market_vol_21 from market window w63 as (order by d_idx rows between 62 preceding and current row), w21 as (order by d_idx rows between 20 preceding and current row))"""
@@ -108,7 +108,7 @@ ic as (select date, count(*) n, case when stddev_pop(ra) > 0 and stddev_pop(rb)
 
 
 def rounded(columns: list[str]) -> str:
-    return ", ".join(f"round({c}, 6) {c}" for c in columns)
+    return ", ".join(f"round({c}, 6) + 0.0::double {c}" for c in columns)
 
 
 def q(body: str, *ctes: str, weekly: bool = False) -> str:

@@ -32,7 +32,8 @@ def panel_of(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFram
 
 
 def r6(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to 6 places, and no negative zero."""
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # ---------------------------------------------------------------- panel
@@ -53,7 +54,7 @@ def log_returns(spark, sf_dir):
     return r6(panel_of(spark, sf_dir).where("ret is not null").select("ticker", "date", "ret"))
 
 
-@register("traded_flag", o.q("select ticker, count(*) days, count(*) filter (traded) traded_days from panel group by ticker"))
+@register("traded_flag", o.q("select ticker, count(*) as days, count(*) filter (traded) traded_days from panel group by ticker"))
 def traded_flag(spark, sf_dir):
     return panel_of(spark, sf_dir).groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), F.count_if("traded").alias("traded_days"))
 
@@ -140,7 +141,7 @@ def union_missing_cols(spark, sf_dir):
 
 
 def _factor(name: str):
-    @register(f"fac_{name}", o.q(f"select ticker, date, round({name}, 6) {name} from factors where {name} is not null", o.FACTORS_CTE))
+    @register(f"fac_{name}", o.q(f"select ticker, date, round({name}, 6) + 0.0::double {name} from factors where {name} is not null", o.FACTORS_CTE))
     def run(spark, sf_dir):
         return r6(add_factors(panel_of(spark, sf_dir), [name]).where(F.col(name).isNotNull()).select("ticker", "date", name))
 
@@ -371,7 +372,7 @@ def residual_quantiles(spark, sf_dir):
     return r6(forecast.residual_bounds(_surrogate(spark, sf_dir)))
 
 
-@register("quarterly_top10", o.q("""select count(x) quarters, round(avg(x) * 100, 6) mean_quarterly_excess_pct, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) t_stat, round(avg((x > 0)::int::double), 6) positive_share from
+@register("quarterly_top10", o.q("""select count(x) as quarters, round(avg(x) * 100, 6) mean_quarterly_excess_pct, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) t_stat, round(avg((x > 0)::int::double), 6) positive_share from
 (select date, avg(fwd_21) filter (k <= 10) - avg(fwd_21) x from (select date, fwd_21, row_number() over (partition by date order by mom_63 desc, ticker) k, count(*) over (partition by date) n, dense_rank() over (order by date) - 1 i from features where mom_63 is not null and fwd_21 is not null) where n >= 12 and i % 63 = 0 group by date)""", o.FEATURES_CTE))
 def quarterly_top10(spark, sf_dir):
     return r6(forecast.quarterly(_surrogate(spark, sf_dir)))
@@ -466,7 +467,7 @@ def hrp_weights(spark, sf_dir):
 # ---------------------------------------------------------------- dashboard
 
 
-@register("dash_performance", o.q("""select ticker, round(last_price, 6) last_price, round(ret_1m_pct, 6) ret_1m_pct, round(ret_3m_pct, 6) ret_3m_pct, round(ret_1y_pct, 6) ret_1y_pct, round(ann_vol_pct, 6) ann_vol_pct from (select ticker, close last_price, 100 * (close / lag(close, 21) over w - 1) ret_1m_pct, 100 * (close / lag(close, 63) over w - 1) ret_3m_pct, 100 * (close / lag(close, 252) over w - 1) ret_1y_pct, 100 * sqrt(252) * stddev_samp(ret) over (partition by ticker) ann_vol_pct, row_number() over (partition by ticker order by d_idx desc) k from panel where close is not null window w as (partition by ticker order by d_idx)) where k = 1"""))
+@register("dash_performance", o.q("""select ticker, round(last_price, 6) last_price, round(ret_1m_pct, 6) ret_1m_pct, round(ret_3m_pct, 6) ret_3m_pct, round(ret_1y_pct, 6) ret_1y_pct, round(ann_vol_pct, 6) ann_vol_pct from (select ticker, close last_price, 100 * (close / lag(close, 21) over w - 1) ret_1m_pct, 100 * (close / lag(close, 63) over w - 1) ret_3m_pct, 100 * (close / lag(close, 252) over w - 1) ret_1y_pct, 100 * sqrt(252) * stddev_samp(own) over (partition by ticker) ann_vol_pct, row_number() over (partition by ticker order by d_idx desc) k from (select *, ln(close / lag(close) over (partition by ticker order by d_idx)) own from panel where close is not null) window w as (partition by ticker order by d_idx)) where k = 1"""))
 def dash_performance(spark, sf_dir):
     return r6(dashboard.performance(panel_of(spark, sf_dir)))
 
