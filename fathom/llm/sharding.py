@@ -43,7 +43,7 @@ def _quantiles(keys: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def shard(docs: DataFrame, shards: int = 40, key: Column | None = None) -> DataFrame:
-    """(doc_id, size, k, shard, slot): size is the UTF-8 bytes of the text (null: none) plus 16; shard takes an equal share of bytes in key order; slot counts from 0 in the shard.
+    """(doc_id, size, k, shard, slot, crc): crc is the CRC-32 of the text (null: empty), size is the UTF-8 bytes of the text (null: none) plus 16; shard takes an equal share of bytes in key order; slot counts from 0 in the shard.
 
     Rows with equal keys and doc_ids (repeated rows, or null doc_ids, which count as the smallest) are placed in any
     order among each other. With fewer rows than shards some shards are empty. Columns other than these are not read.
@@ -57,7 +57,7 @@ def shard(docs: DataFrame, shards: int = 40, key: Column | None = None) -> DataF
     light = rows.drop("text")
     total, count = light.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not count:
-        return rows.select("doc_id", "size", "k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "text")
+        return rows.select("doc_id", "size", "k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("crc"))
     n = min(shards * RANGES_A_SHARD, count)
     # The sample is bounded: SAMPLE_A_RANGE rows are expected of each range.
     drawn = [(r.k, r.id) for r in _sampled(light, F.col("size") * F.lit(n * SAMPLE_A_RANGE / total), "top").select("k", "id").collect()]
