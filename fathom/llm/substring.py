@@ -29,6 +29,8 @@ from .shared import Words, chunks, id_and_text, rolling, texts_of
 
 WINDOW = 50
 GRID = 2
+#: Keys that many documents share are met in so many parts; what they meet is dealt out anew for it, so Spark can split a hot part further.
+PARTS = 2
 
 
 def run_anchors(h: np.ndarray, window: int, grid: int) -> np.ndarray:
@@ -121,6 +123,12 @@ def _cut(window: int, texts_out: bool):
     return run
 
 
+def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows (with doc_id) and an aggregate by keys, for keys that any share of the rows may have."""
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(found, [*keys, "part"]).drop("part")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, grid: int = GRID, texts: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, *extra): kept is the text without the removed words (the text itself where none goes), or with texts=False the sha256 of the kept words joined by one space.
 
@@ -143,10 +151,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, grid: int = GRID, te
     originals = named.join(copies, "doc_id", "left_anti")
     anchors = originals.mapInArrow(_emit_anchors(window, grid), "h long, doc_id long, ref boolean")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("ref").alias("ref")).where("lo < hi and ref").select("h")
-    hits = anchors.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    hits = _meet(anchors.select("h", "doc_id"), shared, ["h"]).groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     windows = originals.join(hits, "doc_id").mapInArrow(_emit_windows(window, grid), "h1 long, h2 int, doc_id long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    cuts = windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    cuts = _meet(windows, first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     done = named.join(cuts, "doc_id", "left").join(copies, "doc_id", "left")
     nameless = plain.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(None).cast("boolean")})
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
