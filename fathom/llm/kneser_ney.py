@@ -30,7 +30,7 @@ END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Words that have this share of all tokens or more are hot.
 HOT_SHARE = 1 / 2000
 #: Pairs that a task holds before it sends them.
-HELD = 4_000_000
+HELD = 2_000_000
 SCORE_BYTES = 8 << 20
 _HEAD = struct.Struct("<QQ")
 
