@@ -31,7 +31,7 @@ END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 HOT_SHARE = 1 / 2000
 #: Pairs that a task holds before it sends them.
 HELD = 2_000_000
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 _HEAD = struct.Struct("<QQ")
 
 
