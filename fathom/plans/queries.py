@@ -121,13 +121,26 @@ def dedupe_keep_last(spark, sf_dir):
 _MONTHS = "cast(date_trunc('month', date) as date)"
 
 
-@register("unpivot_wide", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices where ticker in ('Brand#11', 'Brand#12', 'Brand#13') group by 1, 2"))
-def unpivot_wide(spark, sf_dir):
+def _unpivoted(spark, sf_dir) -> DataFrame:
+    """Each month's highest close of all tickers, made wide (a column for each ticker) and long again."""
     from ..sources.files import melt
 
     p = sales_prices(spark, sf_dir).withColumn("date", F.date_trunc("month", "date").cast("date"))
-    wide = p.groupBy("date").pivot("ticker", ["Brand#11", "Brand#12", "Brand#13"]).agg(F.max("close"))
-    return melt(wide, "date", ["Brand#11", "Brand#12", "Brand#13"]).where("close is not null").select("date", "ticker", "close")
+    tickers = sorted(r.ticker for r in p.select("ticker").distinct().collect())  # a row for each ticker
+    if not tickers:
+        return p.select("date", "ticker", "close")
+    wide = p.groupBy("date").pivot("ticker", tickers).agg(F.max("close"))
+    return melt(wide, "date", tickers).where("close is not null").select("date", "ticker", "close")
+
+
+@register("unpivot_wide", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices where ticker in ('Brand#11', 'Brand#12', 'Brand#13') group by 1, 2"))
+def unpivot_wide(spark, sf_dir):
+    return _unpivoted(spark, sf_dir).where(F.col("ticker").isin("Brand#11", "Brand#12", "Brand#13"))  # as many as its SQL has
+
+
+@register("unpivot_wide_all", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices group by 1, 2"))
+def unpivot_wide_all(spark, sf_dir):
+    return _unpivoted(spark, sf_dir)
 
 
 @register("union_missing_cols", "select 'c' src, c_custkey::bigint k, c_acctbal bal, null::varchar as name from customer union all select 's', s_suppkey::bigint, null, s_name from supplier")
