@@ -1,8 +1,10 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark, for the perplexity of texts.
 
 Counting: tasks count the words and pairs of what they read and send each distinct one once, pairs in lists by their
-first word; the lists are merged by buckets of the first word. Words that make up a two-thousandth of all tokens or
-more (there can't be more than 2,000) are dealt by both words of the pair, so that no bucket grows with one word.
+first word; the lists are merged by buckets of the first word. There is a bucket for each BUCKET_TOKENS tokens, which
+are counted first and are as many as the pairs that are sent at most, so buckets grow in number and not in size. Words
+that make up a two-thousandth of all tokens or an eighth of a bucket are dealt by both words of the pair, so that no
+bucket grows with one word.
 Storage: each bucket becomes one file in the shared folder with sorted hash arrays; workers map the files into memory
 and read the pages they need. A store that can't be mapped is copied to a file that is unlinked once it is mapped.
 Scoring: documents are scored where they are read; each distinct pair of a batch is looked up once, in order.
@@ -13,6 +15,7 @@ Tokens are words ``[^\\x20\\x09-\\x0D]+`` in lower case (A to Z) and one end for
 from __future__ import annotations
 
 import functools
+import mmap
 import os
 import struct
 import tempfile
@@ -29,8 +32,12 @@ from .shared import Words, chunks, crc_mod, id_and_text, mix, shared_path, texts
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Words that have this share of all tokens or more are hot.
 HOT_SHARE = 1 / 2000
+#: Tokens for each bucket: a task merges about as many pairs at once, however large the corpus is.
+BUCKET_TOKENS = 500_000
 #: Pairs that a task holds before it sends them.
 HELD = 2_000_000
+#: Pairs in a batch of lists.
+SENT = 250_000
 SCORE_BYTES = 4 << 20
 _HEAD = struct.Struct("<QQ")
 
@@ -90,10 +97,18 @@ def save(uri: str, arrays: list[np.ndarray]) -> None:
         f.write(body)
 
 
+def _pages(f) -> np.ndarray:
+    """An open file's bytes, mapped; holds no open file, of which a process may have fewer than there are buckets."""
+    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+
+
 def mapped(uri: str) -> np.ndarray:
     """The file's bytes, mapped into memory; none if there is no file."""
     if (path := _local(uri)) is not None:
-        return np.memmap(path, np.uint8, "r") if os.path.exists(path) else np.zeros(0, np.uint8)
+        if not os.path.exists(path):
+            return np.zeros(0, np.uint8)
+        with open(path, "rb") as f:
+            return _pages(f)
     system, path = _fs(uri)
     with tempfile.NamedTemporaryFile() as copy:
         try:
@@ -103,7 +118,7 @@ def mapped(uri: str) -> np.ndarray:
         except FileNotFoundError:
             return np.zeros(0, np.uint8)
         copy.flush()
-        return np.memmap(copy.name, np.uint8, "r")
+        return _pages(copy)
 
 
 def _views(raw: np.ndarray, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
@@ -146,6 +161,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_pairs(hot: np.ndarray, buckets: int):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        k, *cells = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], ["bucket", "v", "n", "w", "c"])
+
     def lists(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
         h = pair_hash(v, w)
@@ -155,11 +174,17 @@ def _count_pairs(hot: np.ndarray, buckets: int):
         order = np.lexsort((v, bucket))
         v, w, c, bucket = v[order], w[order], c[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows, size = [], 0
         for k in np.flatnonzero(np.diff(edges)):
             a, b = edges[k], edges[k + 1]
             own, n = np.unique(v[a:b], return_counts=True)
-            cells = [pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (own, n.astype("<u4"), w[a:b], c[a:b].astype("<u4")))]
-            yield pa.RecordBatch.from_arrays(cells, ["bucket", "v", "n", "w", "c"])
+            rows.append((k, *(x.tobytes() for x in (own, n.astype("<u4"), w[a:b], c[a:b].astype("<u4")))))
+            size += b - a
+            if size >= SENT:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -239,11 +264,12 @@ def train(docs: DataFrame) -> Model:
     """Counts all docs (text) and writes the model's files to a new place in the shared folder. Without any document every token is unknown."""
     spark = docs.sparkSession
     path = shared_path(spark, "kn")
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = docs.select("text")
     words = written(spark, text.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "kn-words")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = tuple(r.w & (1 << 64) - 1 for r in words.where(F.col("c") >= F.lit(max(1.0, tokens * HOT_SHARE))).select("w").collect()) + (int(BEGIN),)
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+    often = max(1.0, min(tokens * HOT_SHARE, BUCKET_TOKENS / 8))
+    hot = tuple(r.w & (1 << 64) - 1 for r in words.where(F.col("c") >= F.lit(often)).select("w").collect()) + (int(BEGIN),)
     lists = text.mapInArrow(_count_pairs(np.array(hot, np.uint64), buckets), "bucket int, v binary, n binary, w binary, c binary")
     stats = lists.groupBy("bucket").applyInArrow(_merge_pairs(path), "w long, " + ", ".join(f"{c} long" for c in _STATS))
     stats = written(spark, stats.groupBy("w").agg(*[F.sum(c).alias(c) for c in _STATS]), "kn-stats")
