@@ -361,7 +361,23 @@ _FULL = " and ".join(f"{c} is not null" for c in features.FEATURES)
 
 @register("purged_folds", o.q(f"""select '1M' horizon, ((i - 171) // 42)::int refit_id, (date - 33)::date train_end, date test_start, test_end from (select date, row_number() over (order by date) - 1 i, count(*) over () n, coalesce(lead(date, 41) over (order by date), max(date) over ()) test_end from (select distinct date from features where fwd_21 is not null and {_FULL})) where n >= 181 and i >= 171 and (i - 171) % 42 = 0""", o.FEATURES_CTE, weekly=True))
 def purged_folds(spark, sf_dir):
-    return forecast.folds(forecast.samples(_weekly(spark, sf_dir), {"1M": 21}))
+    return forecast.folds(forecast.samples(_weekly(spark, sf_dir), features.HORIZONS))
+
+
+def _daily_samples(spark, sf_dir) -> DataFrame:
+    """Rows of the daily panel with all features, once for each horizon whose target they have."""
+    return forecast.samples(features.add_targets(features.add_features(panel_of(spark, sf_dir))), features.HORIZONS)
+
+
+_FOLDS = " union all ".join(
+    f"""select '{label}' horizon, ((i - {150 + h}) // 42)::int refit_id, (date - {int(h * 1.6)})::date train_end, date test_start, test_end from (select date, row_number() over (order by date) - 1 i, count(*) over () n, coalesce(lead(date, 41) over (order by date), max(date) over ()) test_end from (select distinct date from features where fwd_{h} is not null and {_FULL})) where n >= {160 + h} and i >= {150 + h} and (i - {150 + h}) % 42 = 0"""
+    for label, h in features.HORIZONS.items()
+)
+
+
+@register("purged_folds_daily", o.q(_FOLDS, o.FEATURES_CTE))
+def purged_folds_daily(spark, sf_dir):
+    return forecast.folds(_daily_samples(spark, sf_dir))
 
 
 @register("ic_by_date", o.q("select date, n, round(rho, 6) rho from ic", o.FEATURES_CTE, o.IC_CTE))
@@ -415,14 +431,12 @@ def top10_reasons(spark, sf_dir):
 
 @register("ridge_forecast")
 def ridge_forecast(spark, sf_dir):
-    data = forecast.samples(_weekly(spark, sf_dir), {"1M": 21})
-    return r6(forecast.walk_forward(data, model="ridge"))
+    return r6(forecast.walk_forward(_daily_samples(spark, sf_dir), model="ridge"))
 
 
 @register("gbm_forecast")
 def gbm_forecast(spark, sf_dir):
-    data = forecast.samples(_weekly(spark, sf_dir), {"1M": 21, "3M": 63})
-    return r6(forecast.walk_forward(data))
+    return r6(forecast.walk_forward(_daily_samples(spark, sf_dir)))
 
 
 @register("regime")

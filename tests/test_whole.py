@@ -5,9 +5,25 @@ from __future__ import annotations
 import __spark_entry__ as entry
 
 from .conftest import SF
+from .test_queries import rows
 
 
 def test_unpivot_has_all_tickers(spark, duck):
     got = {r.ticker for r in entry.queries()["unpivot_wide_all"](spark, SF).select("ticker").distinct().collect()}
     assert got == {x for (x,) in duck.execute("select distinct p_brand from lineitem join part on l_partkey = p_partkey").fetchall()}
     assert len(got) > 3
+
+
+DAILY = SF.replace("sf0.001", "sf0.01")
+
+
+def test_forecasts_refit_every_horizon(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"create view {name} as select * from '{DAILY}/{name}.parquet'")
+    folds = rows(entry.queries()["purged_folds_daily"](spark, DAILY).toPandas())
+    assert folds == rows(con.execute(entry.oracle_sql()["purged_folds_daily"]).df())
+    got = entry.queries()["ridge_forecast"](spark, DAILY).select("horizon", "refit_id").distinct().toPandas()
+    assert set(got.groupby("horizon").refit_id.nunique() > 20) == {True} and set(got.horizon) == {"1M", "3M", "6M", "12M"}
