@@ -280,22 +280,65 @@ def _draw(rep: str, i: str, n: str, seed: int) -> str:
     return f"((((({x}) * 48271) % 2147483647) * 69621) % 2147483647) % {n}"
 
 
-@register("bootstrap_iid", o.q(f"""select strategy, round(any_value(m), 6) mean_ann, round(quantile_cont(mean, 0.05), 6) ci05, round(quantile_cont(mean, 0.95), 6) ci95, round(avg((mean <= 0)::int::double), 6) p_le_0
-from (select d.strategy, d.rep, avg(t.x) * 252 mean, any_value(t.m) * 252 m from draws d join at_ t on t.strategy = d.strategy and t.k = d.k group by d.strategy, d.rep) group by strategy""", *_BT3,
-    "at_ as (select strategy, x, row_number() over (partition by strategy order by d_idx) - 1 k, count(*) over (partition by strategy) n, avg(x) over (partition by strategy) m from active)",
-    f"draws as (select strategy, rep, {_draw('rep', 'k', 'n', 7)} k from at_, (select unnest(range(200)) rep))"))
+def _bootstrap_sql(replicates: int, *ctes: str) -> str:
+    return o.q("""select strategy, round(any_value(m), 6) mean_ann, round(quantile_cont(mean, 0.05), 6) ci05, round(quantile_cont(mean, 0.95), 6) ci95, round(avg((mean <= 0)::int::double), 6) p_le_0
+from (select d.strategy, d.rep, avg(t.x) * 252 mean, any_value(t.m) * 252 m from draws d join at_ t on t.strategy = d.strategy and t.k = d.k group by d.strategy, d.rep) group by strategy""", *ctes,
+        "at_ as (select strategy, x, row_number() over (partition by strategy order by d_idx) - 1 k, count(*) over (partition by strategy) n, avg(x) over (partition by strategy) m from active)",
+        f"draws as (select strategy, rep, {_draw('rep', 'k', 'n', 7)} k from at_, (select unnest(range({replicates})) rep))")
+
+
+def _reality_sql(replicates: int, *ctes: str) -> str:
+    return o.q("""select rep, round(max(m - m0) * sqrt(any_value(n)), 6) stat from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join (select strategy, avg(x) m0 from at_ group by 1) using (strategy) group by rep""", *ctes,
+        "at_ as (select a.strategy, a.x, k.k from active a join (select d_idx, row_number() over (order by d_idx) - 1 k from (select distinct d_idx from active)) k using (d_idx))",
+        "nn as (select count(distinct k) n from at_)",
+        f"draws as (select rep, n, (({_draw('rep', 'i // 10 + (n + 9) // 10', 'n', 106)}) + i % 10) % n k from nn, (select unnest(range({replicates})) rep), (select distinct k i from at_))")
+
+
+def _maxima(spark, sf_dir, names: list[str], replicates: int) -> DataFrame:
+    rows = inference.filled(active_of(net_of(spark, panel_of(spark, sf_dir), names)))
+    n = rows.agg(F.max("k")).first()[0] + 1
+    return r6(inference.family_maxima(spark, rows, n, replicates))
+
+
+@register("bootstrap_iid", _bootstrap_sql(200, *_BT3))
 def bootstrap_iid(spark, sf_dir):
     return r6(inference.bootstrap(active_of(net_of(spark, panel_of(spark, sf_dir), _SOME)), 200))
 
 
-@register("reality_check", o.q(f"""select rep, round(max(m - m0) * sqrt(any_value(n)), 6) stat from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join (select strategy, avg(x) m0 from at_ group by 1) using (strategy) group by rep""", *_BT3,
-    "at_ as (select a.strategy, a.x, k.k from active a join (select d_idx, row_number() over (order by d_idx) - 1 k from (select distinct d_idx from active)) k using (d_idx))",
-    "nn as (select count(distinct k) n from at_)",
-    f"draws as (select rep, n, (({_draw('rep', 'i // 10 + (n + 9) // 10', 'n', 106)}) + i % 10) % n k from nn, (select unnest(range(100)) rep), (select distinct k i from at_))"))
+@register("bootstrap_iid_all")
+def bootstrap_iid_all(spark, sf_dir):
+    return r6(inference.bootstrap(active_of(net_of(spark, panel_of(spark, sf_dir), _ALL)), 2000))
+
+
+@register("reality_check", _reality_sql(100, *_BT3))
 def reality_check(spark, sf_dir):
-    rows = inference.filled(active_of(net_of(spark, panel_of(spark, sf_dir), _SOME)))
-    n = rows.agg(F.max("k")).first()[0] + 1
-    return r6(inference.family_maxima(spark, rows, n, 100))
+    return _maxima(spark, sf_dir, _SOME, 100)
+
+
+@register("reality_check_all")
+def reality_check_all(spark, sf_dir):
+    return _maxima(spark, sf_dir, _ALL, 1000)
+
+
+@register("deflated_sharpe")
+def deflated_sharpe(spark, sf_dir):
+    """A row for each factor, as one of so many trials."""
+    net = net_of(spark, panel_of(spark, sf_dir), _ALL).persist()
+    try:
+        got = [(n, inference.deflated_sharpe(net, n, len(NAMES))) for n in NAMES]
+    finally:
+        net.unpersist()
+    kinds = ("daily_sharpe", "annualized_sharpe", "threshold_from_n_trials", "dsr")
+    return r6(spark.createDataFrame([(n, *map(d.get, kinds)) for n, d in got], "strategy string, " + ", ".join(f"{k} double" for k in kinds)))
+
+
+@register("gates")
+def gates(spark, sf_dir):
+    """A row for each gate of the best factor, by the report's own rules, factors and replicates."""
+    from . import reports
+
+    numbers = reports.run_backtest(sales_prices(spark, sf_dir)).numbers
+    return spark.createDataFrame([(numbers["best_factor"], k, bool(v)) for k, v in numbers["deployment_gates"].items()], "strategy string, gate string, passed boolean")
 
 
 # ---------------------------------------------------------------- audit
@@ -485,6 +528,11 @@ def position_sizing(spark, sf_dir):
     return portfolio.sized(portfolio.capped(_inverse(p)), p)
 
 
+@register("ledoit_wolf")
+def ledoit_wolf(spark, sf_dir):
+    return portfolio.shrunk_pairs(portfolio.recent_returns(panel_of(spark, sf_dir))).select("a", "b", F.round("cov", 8).alias("cov"))
+
+
 @register("hrp_weights")
 def hrp_weights(spark, sf_dir):
     p = portfolio.recent_returns(panel_of(spark, sf_dir))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry
+from fathom.operators.factors import NAMES
+from fathom.plans import queries as plans
 
 from .conftest import SF
 from .test_queries import rows
@@ -27,3 +29,24 @@ def test_forecasts_refit_every_horizon(spark):
     assert folds == rows(con.execute(entry.oracle_sql()["purged_folds_daily"]).df())
     got = entry.queries()["ridge_forecast"](spark, DAILY).select("horizon", "refit_id").distinct().toPandas()
     assert set(got.groupby("horizon").refit_id.nunique() > 20) == {True} and set(got.horizon) == {"1M", "3M", "6M", "12M"}
+
+
+def test_family_and_replicates_are_whole(monkeypatch):
+    same = lambda x, *_: x
+    for name in ("panel_of", "r6", "active_of"):
+        monkeypatch.setattr(plans, name, same)
+    monkeypatch.setattr(plans, "net_of", lambda spark, panel, names: names)
+    monkeypatch.setattr(plans.inference, "bootstrap", lambda names, replicates: (names, replicates))
+    monkeypatch.setattr(plans, "_maxima", lambda spark, sf_dir, names, replicates: (names, replicates))
+    assert entry.queries()["bootstrap_iid_all"](None, SF) == ([*NAMES, "baseline_equal_weight"], 2000)
+    assert entry.queries()["reality_check_all"](None, SF) == ([*NAMES, "baseline_equal_weight"], 1000)
+    assert {"deflated_sharpe", "gates", "ledoit_wolf"} <= set(entry.queries())
+
+
+def test_ledoit_wolf_keeps_the_trace(spark):
+    plain = {(r.a, r.b): r.cov for r in entry.queries()["cov_pairs"](spark, SF).collect()}
+    got = {(r.a, r.b): r.cov for r in entry.queries()["ledoit_wolf"](spark, SF).collect()}
+    assert got.keys() == plain.keys()
+    trace = lambda c: sum(x for (a, b), x in c.items() if a == b)
+    off = lambda c: sum(abs(x) for (a, b), x in c.items() if a != b)
+    assert abs(trace(got) - trace(plain)) < 1e-6 and 0 < off(got) < off(plain)
