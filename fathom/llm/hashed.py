@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LETTERS, SIGNS, Words, id_and_text, mix
+from .shared import Words, id_and_text, mix
 
 #: Training rows at most; the model is fitted on these, taken by a hash of doc_id from all labelled rows that may be learnt from.
 MAX_TRAIN_ROWS = 16_384
+#: Words of letters and digits (all that isn't ASCII counts as such), and runs of other signs.
+_LETTERS = re.compile(rb"[0-9A-Za-z\x80-\xFF]+").findall
+_SIGNS = re.compile(rb"[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").findall
 
 
 def features(texts: list[bytes], bits: int) -> list[np.ndarray]:
     """For each text its feature numbers: hashed words (lower-cased letters and digits), pairs of neighbours, and pairs with one word between."""
-    words = Words(texts, lower=True, gaps=SIGNS)
+    words = Words(texts, lower=True, split=_LETTERS)
     h, mask, out = words.hash, np.uint64((1 << bits) - 1), []
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) else h
     skip = mix(h[:-2] * np.uint64(5) + h[2:] + np.uint64(1)) if len(h) > 1 else h[:0]
@@ -27,7 +32,7 @@ def features(texts: list[bytes], bits: int) -> list[np.ndarray]:
 
 def style_features(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text distinct feature numbers and values, in two groups of length 1 at most each: hashed words, and hashed runs of other signs with a mark for each word that repeats the one before it."""
-    words, runs = Words(texts, lower=True, gaps=SIGNS), Words(texts, gaps=LETTERS)
+    words, runs = Words(texts, lower=True, split=_LETTERS), Words(texts, split=_SIGNS)
     mask, out = np.uint64((1 << bits) - 1), []
     for i in range(len(texts)):
         h, r = words.hash[words.offsets[i] : words.offsets[i + 1]], runs.hash[runs.offsets[i] : runs.offsets[i + 1]]

@@ -5,29 +5,32 @@ first word; the lists are merged by buckets of the first word. There is a bucket
 are counted first and are as many as the pairs that are sent at most, so buckets grow in number and not in size. Words
 that make up a two-thousandth of all tokens or an eighth of a bucket are dealt by both words of the pair, so that no
 bucket grows with one word.
-Storage: each bucket becomes one file in the shared folder with sorted hash arrays; workers map the files into memory
-and read the pages they need. A store that can't be mapped is copied to a file that is unlinked once it is mapped.
+Storage: each bucket, also an empty one, becomes one file in the shared folder with sorted hash arrays; workers map the
+files into memory and read the pages they need. Of a store that can't be mapped they hold the files used last. A file
+that is missing fails the job.
 Scoring: documents are scored where they are read; each distinct pair of a batch is looked up once, in order.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+`` in lower case (A to Z) and one end for each text; they are identified by 64-bit hashes.
+Tokens are words ``[^\\x20\\x09-\\x0D]+`` in lower case (A to Z) and one end for each text; they are identified by XXH3
+hashes of 64 bits, which take any two of a billion different words for one with a chance of 3 in 100.
 """
 
 from __future__ import annotations
 
-import functools
 import mmap
 import os
 import struct
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, crc_mod, id_and_text, mix, shared_path, texts_of, written
+from .shared import Words, crc_mod, id_and_text, kept, let_go, mix, shared_path, text_chunks, written
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Words that have this share of all tokens or more are hot.
@@ -39,6 +42,8 @@ HELD = 2_000_000
 #: Pairs in a batch of lists.
 SENT = 250_000
 SCORE_BYTES = 4 << 20
+#: Of a store that can't be mapped a worker holds copies of so many bytes at most.
+COPIED_BYTES = 256 << 20
 _HEAD = struct.Struct("<QQ")
 
 
@@ -71,54 +76,39 @@ def buckets_of(v: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -
 # ---------------------------------------------------------------- files in the shared folder
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def _local(uri: str) -> str | None:
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
+    """The path of a file: URI; None for other schemes. shared_path() gives URIs of Spark's own file system, with their scheme."""
+    if "://" not in uri and not uri.startswith("file:"):
+        raise ValueError(f"{uri} names no file system")
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else None
 
 
 def save(uri: str, arrays: list[np.ndarray]) -> None:
-    """Arrays one after another, each from a multiple of 8 bytes on; replaces the file at once, so a task that runs again does no harm."""
+    """Arrays one after another, each from a multiple of 8 bytes on. The file gets its name once it is whole, so a task that runs again, or twice at once, does no harm."""
     body = b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+    part = f"{uri.rpartition('/')[0]}/.part-{uuid.uuid4().hex}"
     if (path := _local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), prefix=".part", delete=False) as f:
+        with open(_local(part), "wb") as f:
             f.write(body)
-        os.replace(f.name, path)
+        os.replace(_local(part), path)
         return
-    system, path = _fs(uri)
-    with system.open_output_stream(path) as f:
+    system, path = fs.FileSystem.from_uri(uri)
+    own = fs.FileSystem.from_uri(part)[1]
+    with system.open_output_stream(own) as f:
         f.write(body)
+    system.move(own, path)
 
 
-def _pages(f) -> np.ndarray:
-    """An open file's bytes, mapped; holds no open file, of which a process may have fewer than there are buckets."""
-    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
-
-
-def mapped(uri: str) -> np.ndarray:
-    """The file's bytes, mapped into memory; none if there is no file."""
+def mapped(uri: str) -> tuple[np.ndarray, int]:
+    """The file's bytes, mapped into memory, and 0; of a store that can't be mapped a copy in memory, and its size. A missing file raises: each bucket has one."""
     if (path := _local(uri)) is not None:
-        if not os.path.exists(path):
-            return np.zeros(0, np.uint8)
-        with open(path, "rb") as f:
-            return _pages(f)
-    system, path = _fs(uri)
-    with tempfile.NamedTemporaryFile() as copy:
-        try:
-            with system.open_input_stream(path) as f:
-                while part := f.read(1 << 24):
-                    copy.write(part)
-        except FileNotFoundError:
-            return np.zeros(0, np.uint8)
-        copy.flush()
-        return _pages(copy)
+        with open(path, "rb") as f:  # holds no open file: a process may have fewer than there are buckets
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8), 0
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as f:
+        raw = np.frombuffer(f.read(), np.uint8)
+    return raw, len(raw)
 
 
 def _views(raw: np.ndarray, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
@@ -134,6 +124,7 @@ def _views(raw: np.ndarray, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     held: list[np.ndarray] = []
     counts: list[np.ndarray] = []
 
@@ -143,9 +134,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     n = 0
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in chunks(texts):
-            w, c = np.unique(tokens_of(texts[a:b])[0], return_counts=True)
+        for a, b, texts in text_chunks(batch):
+            w, c = np.unique(tokens_of(texts)[0], return_counts=True)
             held.append(w)
             counts.append(c)
             n += len(w)
@@ -189,9 +179,8 @@ def _count_pairs(hot: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                t, offsets = tokens_of(texts[a:b])
+            for a, b, texts in text_chunks(batch):
+                t, offsets = tokens_of(texts)
                 held.append((contexts_of(t, offsets), t))
                 n += len(t)
                 if n >= HELD:
@@ -210,6 +199,7 @@ def _merge_pairs(path: str):
     """Writes a bucket's file; returns for its words what they add as contexts (total, pairs seen once, twice, more often, exactly three and four times) and as continuations."""
 
     def run(table: pa.Table) -> pa.Table:
+        let_go()
         get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
         v, w, c = np.repeat(get("v", "<u8"), get("n", "<u4")), get("w", "<u8"), get("c", "<u4")
         h, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
@@ -250,10 +240,12 @@ class Model:
 
 def _write_words(path: str):
     def run(table: pa.Table) -> pa.Table:
+        let_go()
+        k = table.column("bucket")[0].as_py()
+        table = table.filter(pc.is_valid(table.column("w")))
         w = table.column("w").to_numpy().view(np.uint64)
         order = np.argsort(w)
         cols = [table.column(c).to_numpy()[order] for c in ("c", "total", "gamma", "p")]
-        k = table.column("bucket")[0].as_py()
         save(f"{path}/words-{k}", [np.array([len(w), 0], "<u8"), w[order], cols[0].astype("<i8"), cols[1].astype("<i8"), cols[2].astype("<f4"), cols[3].astype("<f8")])
         return pa.table([pa.array([len(w)], pa.int64())], ["n"])
 
@@ -271,6 +263,8 @@ def train(docs: DataFrame) -> Model:
     often = max(1.0, min(tokens * HOT_SHARE, BUCKET_TOKENS / 8))
     hot = tuple(r.w & (1 << 64) - 1 for r in words.where(F.col("c") >= F.lit(often)).select("w").collect()) + (int(BEGIN),)
     lists = text.mapInArrow(_count_pairs(np.array(hot, np.uint64), buckets), "bucket int, v binary, n binary, w binary, c binary")
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))  # so that empty buckets have files too
+    lists = lists.unionByName(every.select("bucket", *[F.lit(b"").alias(c) for c in "vnwc"]))
     stats = lists.groupBy("bucket").applyInArrow(_merge_pairs(path), "w long, " + ", ".join(f"{c} long" for c in _STATS))
     stats = written(spark, stats.groupBy("w").agg(*[F.sum(c).alias(c) for c in _STATS]), "kn-stats")
     of = lambda k: F.count_if(F.col("cont") == k)
@@ -283,7 +277,8 @@ def train(docs: DataFrame) -> Model:
     gamma = F.when(F.col("total") > 0, (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).otherwise(1.0)
     full = stats.join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "total", gamma.cast("double").alias("gamma"), ((cont - less) / pairs + unknown).alias("p"))
     unsigned = F.shiftrightunsigned("w", 32)
-    full.withColumn("bucket", F.shiftright(unsigned * buckets, 32).cast("int")).groupBy("bucket").applyInArrow(_write_words(path), "n long").agg(F.sum("n")).collect()
+    full = full.withColumn("bucket", F.shiftright(unsigned * buckets, 32).cast("int")).unionByName(every, allowMissingColumns=True)
+    full.groupBy("bucket").applyInArrow(_write_words(path), "n long").agg(F.sum("n")).collect()
     return Model(path, buckets, hot, tokens, vocabulary, d, unknown)
 
 
@@ -296,11 +291,16 @@ class Store:
     def __init__(self, model: Model):
         self.m, self.hot = model, np.array(model.hot, np.uint64)
         self.maps: dict[tuple[str, int], list[np.ndarray]] = {}
+        self.copied = 0
 
     def _arrays(self, kind: str, k: int) -> list[np.ndarray]:
         if (kind, k) not in self.maps:
-            raw = mapped(f"{self.m.path}/{kind}-{k}")
-            n, big = _HEAD.unpack(raw[:16].tobytes()) if len(raw) else (0, 0)
+            raw, copied = mapped(f"{self.m.path}/{kind}-{k}")
+            self.copied += copied
+            if self.copied > COPIED_BYTES:
+                self.maps.clear()
+                self.copied = copied
+            n, big = _HEAD.unpack(raw[:16].tobytes())
             cols = [("<u8", n), ("u1", n), ("<u8", big), ("<u8", big)] if kind == "pairs" else [("<u8", n), ("<i8", n), ("<i8", n), ("<f4", n), ("<f8", n)]
             self.maps[kind, k] = _views(raw[16:], cols)
         return self.maps[kind, k]
@@ -338,18 +338,16 @@ class Store:
         return out
 
 
-@functools.lru_cache(1)
 def _store(model: Model) -> Store:
-    return Store(model)
+    return kept(("store", model), lambda: Store(model))
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, d = _store(model), np.array([0.0, *model.pair_discounts])
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts, SCORE_BYTES):
-                w, offsets = tokens_of(texts[a:b])
+            for a, b, texts in text_chunks(batch, SCORE_BYTES):
+                w, offsets = tokens_of(texts)
                 v = contexts_of(w, offsets)
                 own, at = np.unique(np.concatenate([[BEGIN], w]), return_inverse=True)
                 count, total, gamma, p = store.words(own)

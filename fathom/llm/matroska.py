@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, id_and_text, texts_of, written
+from .shared import id_and_text, text_chunks, written
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -257,10 +257,9 @@ def padded(text: bytes) -> bytes:
 
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in chunks(texts):
-            media = pa.array([mux(padded(t)) for t in texts[a:b]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+        for a, b, texts in text_chunks(batch):
+            media = pa.array([mux(padded(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
 
 def to_media(docs: DataFrame) -> DataFrame:

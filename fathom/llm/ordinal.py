@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import style_features, training_rows
-from .shared import chunks, crc_mod, id_and_text, texts_of
+from .shared import crc_mod, id_and_text, let_go, text_chunks
 
 BITS = 18
 GRADES = 3
@@ -43,9 +43,8 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size
             p = max(up - low, 1e-9)
             d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
             g = (d_up - d_low) * v + l2 * w[at]
-            acc[at] += g * g
-            # the two groups may share a number: of such a pair one update holds
-            w[at] -= rate * g / np.sqrt(acc[at])
+            np.add.at(acc, at, g * g)  # the two groups may share a number
+            np.subtract.at(w, at, rate * g / np.sqrt(acc[at]))
             dt = np.zeros(k - 1)  # of the loss by each threshold
             if y < k - 1:
                 dt[y] -= d_up
@@ -62,9 +61,8 @@ def _train(bits: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, grades = [], []
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                rows += style_features(texts[a:b], bits)
+            for a, b, texts in text_chunks(batch):
+                rows += style_features(texts, bits)
             grades.append(batch.column("label").to_numpy())
         w, t = fit_rows(rows, np.concatenate(grades).astype(int) if grades else np.zeros(0, int), 1 << bits, k)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([t.tolist()], pa.list_(pa.float64()))], ["w", "t"])
@@ -74,11 +72,11 @@ def _train(bits: int, k: int):
 
 def _score(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         w, t = model.value
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                s = np.array([float(w[at] @ v) for at, v in style_features(texts[a:b], bits)])
+            for a, b, texts in text_chunks(batch):
+                s = np.array([float(w[at] @ v) for at, v in style_features(texts, bits)])
                 over = _sigmoid(s[:, None] - t[None, :])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(s), pa.array(over.sum(axis=1)), pa.array(over.tolist(), pa.list_(pa.float64()))], ["doc_id", "score", "expected_grade", "tails"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import chunks, id_and_text, texts_of
+from .shared import id_and_text, text_chunks
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
@@ -78,9 +78,9 @@ def _packed(tokenizer: str, split: str | None, end_id: int, capacity: int, group
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], COLUMNS)
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                for doc_id, tokens in zip(names[a:b], enc.encode(texts[a:b]), strict=True):
+            names = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_chunks(batch):
+                for doc_id, tokens in zip(names[a:b], enc.encode(texts), strict=True):
                     ids, at = np.append(tokens, enc.kind.type(end_id)), 0
                     while at < len(ids):
                         take = min(piece, len(ids) - at, target - n)

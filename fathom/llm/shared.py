@@ -1,37 +1,48 @@
 """Helpers that the operators of this subpackage share: shared storage, Arrow batches, word hashes.
 
-Words are hashed a chunk at a time with numpy (prefix sums of a polynomial over the bytes, modulo 2**64,
-then a bit mixer), so no Python object is made for a word.
+Texts are read from Arrow a chunk at a time, and very long ones are cut into words a piece at a time, so a task holds
+Python objects for about CHUNK_BYTES of text, however large its batches are.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "/tmp/fathom-checkpoints"
 CHUNK_BYTES = 1 << 20
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_POWERS = {"n": 0}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
+_KEPT: dict = {}
 
 
 # ---------------------------------------------------------------- shared storage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where it is unset (tests)."""
+    """The folder that driver and executors share, with the scheme of its file system: spark.checkpoint.dir.
+
+    Where that is unset a local session (tests) gets a folder of its own, and a cluster an error: no folder of one
+    machine would do.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = DEFAULT_CHECKPOINT_DIR
+    path = spark._jvm.org.apache.hadoop.fs.Path(told)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(told)
-    return told.rstrip("/")
+        spark.sparkContext.setCheckpointDir(whole)
+    return whole.rstrip("/")
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -65,21 +76,31 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 # ---------------------------------------------------------------- batches
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of a string column; null becomes empty."""
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+def text_chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) of consecutive rows with about size bytes of text, one row at least; texts are UTF-8, null becomes empty."""
+    column = batch.column("text")
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, to, [b"" if x is None else x for x in column.slice(at, to - at).to_pylist()]
+        at, before = to, int(ends[to - 1])
+
 
+def kept(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from one task to the next: one value, that of the operator that ran last."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts with about size bytes, one text at least."""
-    at = total = 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= size:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+
+def let_go() -> None:
+    """Drops what kept() keeps: operators that keep nothing call it, as workers are reused and would hold it on."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- hashes
@@ -92,61 +113,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] < n:
-        n = max(n, 2 * CHUNK_BYTES)
-        for name, base in (("up", _R), ("down", _R_INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-        _POWERS["n"] = n
-    return _POWERS["up"], _POWERS["down"]
+def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each a followed by b."""
+    return mix(a * _ODD + b)
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: ASCII that is no letter or digit, and its opposite with white space: between words, and between runs of signs.
-SIGNS = np.zeros(256, bool)
-SIGNS[:128] = [not chr(i).isalnum() for i in range(128)]
-LETTERS = ~SIGNS | SPACE
+def pieces(text: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """text in parts of about size bytes, cut at white space, so no word is cut; the white space at a cut goes."""
+    at = 0
+    while len(text) - at > size and (gap := _SPACE.search(text, at + size)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
 
 
 class Words:
-    """Words (what lies between bytes of ``gaps``) of some texts: their hashes, and where each text's begin (``offsets``, one more than texts).
+    """Words of some texts: hashes of their bytes (XXH3 of 64 bits), and where each text's begin (``offsets``, one more than texts).
 
-    A gap must contain the line end. By default gaps are white space, and words ``[^\\x20\\x09-\\x0D]+``.
+    split gives the words of a text; by default they are ``[^\\x20\\x09-\\x0D]+``. White space must lie between words.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = SPACE):
-        data = b"\n".join(texts)
-        if lower:
-            data = data.lower()  # of bytes: only A to Z
-        raw = np.frombuffer(data, np.uint8)
-        gap = np.ones(len(raw) + 2, bool)
-        gap[1:-1] = gaps[raw]
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        self.start, self.end = edge[0::2], edge[1::2]
-        up, down = _powers(len(raw) + 2)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-        self.offsets = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
+    def __init__(self, texts: list[bytes], lower: bool = False, split: Callable[[bytes], list[bytes]] = bytes.split):
+        hashes, counts, held = [], [], []
+
+        def hashed():
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)))
+
+        for text in texts:
+            n = 0
+            for piece in pieces(text):
+                words = split(piece.lower() if lower else piece)  # lower() of bytes: only A to Z
+                held += words
+                n += len(words)
+                if len(held) > CHUNK_BYTES // 4:
+                    hashed()
+                    held = []
+            counts.append(n)
+        hashed()
+        self.hash = np.concatenate(hashes)
+        self.offsets = np.cumsum([0, *counts])
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
 
 
-def rolling(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A hash of each width consecutive entries of h (none if there are fewer)."""
-    if len(h) < width:
+def rolling(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each width consecutive entries of h (none if there are fewer): of runs of 1, 2, 4, ... entries, put together and mixed."""
+    n = len(h) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((mix(h + np.uint64(seed)) if seed else h) * up[: len(h)], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: len(h) - width + 1] + np.uint64(seed))
-
-
-def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(list(ddl.items()))
+    out, done, run, length = None, 0, h, 1
+    while length <= width:
+        if width & length:
+            out = run[done : done + n] if out is None else join_hash(out, run[done : done + n])
+            done += length
+        if 2 * length <= width:
+            run = join_hash(run[:-length], run[length:])
+        length *= 2
+    return out

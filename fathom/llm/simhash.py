@@ -14,12 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, id_and_text, shared_dir, texts_of, written
+from .shared import id_and_text, let_go, shared_dir, text_chunks, written
 
 _SHINGLE = 3
+#: Neighbours that a task emits, about.
+EMITTED = 4_000_000
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
 
@@ -45,16 +47,21 @@ def fingerprint_of(text: bytes, width: int = _SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in chunks(texts):
-            fp = np.array([fingerprint_of(t) for t in texts[a:b]], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        for a, b, texts in text_chunks(batch):
+            fp = np.array([fingerprint_of(t) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "t")), pa.array(fp.view(np.int64))], ["doc_id", "t", "fp"])
+
+
+def text_key(text: Column) -> Column:
+    """A hash of the text, by which the rows of a repeated doc_id are told apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a text without words, or a null one, has fingerprint 0. fp is the unsigned value's bits as a long."""
-    return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, t, fp): t is the text's key; a text without words, or a null one, has fingerprint 0. fp is the unsigned value's bits as a long."""
+    return id_and_text(docs).withColumn("t", text_key(F.col("text"))).mapInArrow(_fingerprints, "doc_id long, t long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of two bits or fewer.
+    """(doc_id, t, fp, component_id): t is the text's key, and component_id is the smallest doc_id reachable over links of two bits or fewer.
 
     Null and empty texts have fingerprint 0 and link like any other. Copies have one fingerprint. A null doc_id gets
     a row and takes the component of its fingerprint, but never names one. Repeated rows are returned as often as
@@ -109,18 +116,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     fps = written(spark, fingerprints(docs), "simhash")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(spark, links(first.select("fp")))
+    first = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-first.count() * 65 // EMITTED))
+    roots = components(spark, links(first.select("fp").repartition(tasks, "fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "t", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component: of each group of near-duplicates the one with the smallest doc_id. Rows without a doc_id stay."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays.
+
+    Links are those of near_duplicates(): two bits of 64, so a copy with more changes than that stays. Rows without a
+    doc_id stay. Of rows that share a doc_id each is judged by its own text; rows that repeat both go or stay together.
+    """
+    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    return docs.join(drop, (F.col("doc_id").cast("long") == F.col("__id")) & (text_key(F.col("text")) == F.col("__t")), "left_anti")
 
 
 def op8(docs: DataFrame) -> DataFrame:

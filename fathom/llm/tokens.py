@@ -11,7 +11,6 @@ unpacks with a few numpy calls. Files are values of a binary column, so that Spa
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -25,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, id_and_text, shared_path, texts_of
+from .shared import id_and_text, kept, let_go, shared_path, text_chunks
 
 END_ID = 2
-#: Words that a Python worker remembers: about 200 bytes each.
-KNOWN = 800_000
+#: Memory that a Python worker has for the words it remembers, and what Python takes for an entry beside its bytes.
+KNOWN_BYTES = 64 << 20
+_ENTRY = 180
+#: Runs of signs after words that it remembers beside them.
+TAILS = 50_000
 _MAGIC = b"FIDS"
 _HEAD = struct.Struct("<4sBBHIQ")
 BLOCK = 1024
@@ -37,14 +39,15 @@ FILE_IDS = 1 << 20
 
 
 class Known(dict):
-    """A dict that asks ``new`` for what it doesn't have, and keeps the answer."""
+    """A dict that asks ``new`` for what it doesn't have, and keeps the answer; size is about what it takes, in bytes."""
 
     def __init__(self, new):
         super().__init__()
-        self.new = new
+        self.new, self.size = new, 0
 
     def __missing__(self, key):
         self[key] = value = self.new(key)
+        self.size += len(key) + len(value) + _ENTRY
         return value
 
 
@@ -92,10 +95,11 @@ class Encoder:
 
     def _room(self, parts: list[list]) -> None:
         """Once the table is full: what these texts have too is likely to come again, the rest goes."""
-        if len(self.known) > KNOWN:
-            kept = {w: self.known[w] for w in set().union(*parts)}
+        if self.known.size > KNOWN_BYTES:
+            again = {w: self.known[w] for w in set().union(*parts)}
             self.known.clear()
-            self.known.update(kept)
+            self.known.update(again)
+            self.known.size = sum(len(w) + len(ids) + _ENTRY for w, ids in again.items())
 
     def _new(self, w) -> bytes:
         """Ids of a word seen for the first time: those of its letters and of the signs after them, or from the tokenizer."""
@@ -109,7 +113,7 @@ class Encoder:
             return self._word(head, drop)
         if (end := self.tails.get(tail)) is None:
             end = self._ids([tail])[0]
-            if len(self.tails) < KNOWN:
+            if len(self.tails) < TAILS:
                 self.tails[tail] = end
         return self.known[head.encode() if drop else head] + end
 
@@ -122,10 +126,9 @@ class Encoder:
         return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in tokens]).tobytes()
 
 
-@functools.lru_cache(4)
 def encoder(path: str, split: str | None) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path, split)
+    """One for each Python worker, until another operator runs in it."""
+    return kept(("encoder", path, split), lambda: Encoder(path, split))
 
 
 # ---------------------------------------------------------------- the file format
@@ -211,9 +214,9 @@ def _to_files(path: str, split: str | None, end_id: int):
             return out
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                for doc_id, tokens in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_chunks(batch):
+                for doc_id, tokens in zip(ids[a:b], enc.encode(texts), strict=True):
                     held.append(np.append(tokens, enc.kind.type(end_id)))
                     names.append(doc_id)
                     n += len(tokens) + 1
@@ -238,6 +241,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, split: str | None = No
 
 
 def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for part, seq, data in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("file"), strict=True):
             f = IdFile(data.as_buffer())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import features, training_rows
-from .shared import chunks, crc_mod, id_and_text, texts_of
+from .shared import crc_mod, id_and_text, let_go, text_chunks
 
 BITS = 20
 THRESHOLD = 0.7
@@ -58,9 +58,8 @@ def _train(bits: int, params: Ftrl):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                rows += [np.unique(x).astype(np.int32) for x in features(texts[a:b], bits)]
+            for a, b, texts in text_chunks(batch):
+                rows += [np.unique(x).astype(np.int32) for x in features(texts, bits)]
             labels.append(batch.column("label").to_numpy())
         y = np.concatenate(labels).astype(float) if labels else np.zeros(0)
         at, w, bias = params.fit(rows, y, 1 << bits)
@@ -82,11 +81,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, bits: int = BITS, params
 
 def _score(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         w, bias = model.value
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts):
-                sums = np.array([w[np.unique(x[w[x] != 0])].sum(dtype=float) for x in features(texts[a:b], bits)]) + bias
+            for a, b, texts in text_chunks(batch):
+                sums = np.array([w[np.unique(x[w[x] != 0])].sum(dtype=float) for x in features(texts, bits)]) + bias
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["doc_id", "score"])
 
     return run
@@ -110,13 +109,13 @@ def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _kept(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         w, bias = model.value
         limit = np.log(THRESHOLD / (1 - THRESHOLD))
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            keep = np.ones(len(texts), bool)
-            for a, b in chunks(texts):
-                keep[a:b] = [w[np.unique(x[w[x] != 0])].sum(dtype=float) + bias < limit for x in features(texts[a:b], bits)]
+            keep = np.ones(batch.num_rows, bool)
+            for a, b, texts in text_chunks(batch):
+                keep[a:b] = [w[np.unique(x[w[x] != 0])].sum(dtype=float) + bias < limit for x in features(texts, bits)]
             yield batch.filter(pa.array(keep))
 
     return run
