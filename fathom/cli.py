@@ -11,6 +11,7 @@ from .plans import reports
 from .sources import files, synthetic
 
 
+# Names of commands and options, and their defaults.
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="fathom")
     parser.add_argument("--home", default="data")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -28,7 +29,10 @@ def normalize_ticker(text: Column) -> Column:
     return F.upper(F.trim(text))
 
 
+_MARKS, _GAPS = re.compile("[\u0300-\u036f]+"), re.compile(r"[\s_]+")
+
+
 def normalize_label(label: object) -> str:
     """A header in lower case without accents, with single spaces for underscores and white space."""
-    plain = unicodedata.normalize("NFKD", str(label).strip().lower())
-    return " ".join("".join(c for c in plain if not unicodedata.combining(c)).replace("_", " ").split())
+    letters = _MARKS.sub("", unicodedata.normalize("NFKD", f"{label}"))
+    return _GAPS.sub(" ", letters).strip().lower()

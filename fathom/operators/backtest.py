@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import median, roll, trailing
+from .factors import add_factors
 from .panel import each_day
 
 MIN_TRADED = 0.60
@@ -56,19 +57,43 @@ def held(goals: DataFrame, days: DataFrame) -> DataFrame:
 
 def daily(weights: DataFrame, panel: DataFrame, cost_bps: float = 100.0) -> DataFrame:
     """(strategy, d_idx, gross, turnover, net) of dates with a position or a trade: yesterday's weights earn today's returns; trades cost."""
-    lagged = weights.select("strategy", (F.col("d_idx") + 1).alias("d_idx"), "ticker", F.col("weight").alias("w"))
-    gone = lagged.select("strategy", (F.col("d_idx") + 1).alias("d_idx"), "ticker", F.col("w").alias("w0"))
-    both = lagged.join(gone, ["strategy", "d_idx", "ticker"], "full")
+    # each weight counts twice: a date later as what is held, two dates later as what was held before
+    steps = F.explode(F.array(*[F.struct((F.col("d_idx") + n).alias("d_idx"), F.when(F.lit(n) == 1, F.col("weight")).otherwise(0.0).alias("w"), F.when(F.lit(n) == 2, F.col("weight")).otherwise(0.0).alias("w0")) for n in (1, 2)]))
+    both = weights.select("strategy", "ticker", steps.alias("s")).groupBy("strategy", "ticker", "s.d_idx").agg(F.sum("s.w").alias("w"), F.sum("s.w0").alias("w0"))
     rets = panel.select("ticker", "d_idx", "date", "ret")  # dates after the last are no dates
     joined = both.join(rets, ["ticker", "d_idx"])
-    w, w0 = F.coalesce("w", F.lit(0.0)), F.coalesce("w0", F.lit(0.0))
     return (
         joined.groupBy("strategy", "date", "d_idx")
-        .agg(F.sum(w * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.sum(F.abs(w - w0)).alias("turnover"))
+        .agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.sum(F.abs(F.col("w") - F.col("w0"))).alias("turnover"))
         .withColumn("net", F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0))
     )
 
 
+def strategies(panel: DataFrame, names: list[str], every: int = 5, quantile: float = 0.20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of the strategies (factors, and the baseline if it is named), the goals at rebalances, and the calendar. Factors, eligibility and scores are columns of one pass over the panel, which then becomes long."""
+    own = [n for n in names if n != BASELINE]
+    rows = eligibility(panel)
+    wide = add_factors(rows, own) if own else rows
+    if BASELINE in names:
+        wide = wide.withColumn(BASELINE, F.lit(1.0))
+    scores = wide.unpivot(["ticker", "d_idx", "eligible"], names, "strategy", "score").select("strategy", "ticker", "d_idx", "score", "eligible")
+    share = F.when(F.col("strategy") == BASELINE, 1.0).otherwise(quantile)
+    return scores, targets(scores, every, share), panel.select("date", "d_idx").distinct()
+
+
+def net_returns(panel: DataFrame, names: list[str], every: int = 5, quantile: float = 0.20, cost_bps: float = 100.0, warmup: int = 130) -> DataFrame:
+    """(strategy, date, d_idx, gross, turnover, net) of factors, and the baseline if it is named, from the warm-up on."""
+    _, goals, days = strategies(panel, names, every, quantile)
+    listed = panel.sparkSession.createDataFrame([(n,) for n in names], "strategy string")
+    return on_calendar(days, listed, daily(held(goals, days), panel, cost_bps), warmup)
+
+
+def active(net: DataFrame) -> DataFrame:
+    """(strategy, d_idx, x): what each strategy earns over the baseline."""
+    flat = net.where(F.col("strategy") == BASELINE).select("d_idx", F.col("net").alias("n0"))
+    return net.where(F.col("strategy") != BASELINE).join(flat, "d_idx").select("strategy", "d_idx", (F.col("net") - F.col("n0")).alias("x"))
+
+
 def on_calendar(days: DataFrame, strategies: DataFrame, net: DataFrame, warmup: int) -> DataFrame:
     """net with a row for every strategy and date from warmup on; nothing held earns nothing."""
     grid = each_day(strategies, days.where(F.col("d_idx") >= warmup))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import back, by_ticker, log_ratio, roll
@@ -43,5 +43,24 @@ def audit_by_ratio(stocks: DataFrame) -> DataFrame:
     return stocks.orderBy(F.desc_nulls_last("variance_ratio_q5"), "ticker").select("ticker", "variance_ratio_q5", "traded_share")
 
 
+# Labels of the columns of two tables.
+TOP_TEN = {"ticker": "Valeur", "expected_return_pct": "Prevision 3M %", "low_5pct": "Pire cas 5%", "high_95pct": "Meilleur cas 95%", "pourquoi": "Pourquoi"}
+HORIZON_SKILL = "horizon string, `echantillons_OOS` long, IC double, t_stat double, `confiance_%` long"
+
+
+def top_ten(forecasts: DataFrame) -> DataFrame:
+    """The best forecasts with reasons, under the labels of the dashboard."""
+    return forecasts.select(*[F.col(c).alias(label) for c, label in TOP_TEN.items()])
+
+
+def horizon_skill(spark: SparkSession, report: dict) -> DataFrame:
+    """A row for each horizon of the forecasts' report, in its order: samples out of sample, skill, and trust in the model in percent."""
+    rows = []
+    for horizon, r in report.get("horizons", {}).items():
+        skill = r.get("skill") or {}
+        rows.append((horizon, int(r.get("oos_samples") or 0), round(float(skill.get("ic") or 0), 3), round(float(skill.get("t_stat") or 0), 2), round(100 * float(r.get("forecast_shrinkage") or 0))))
+    return spark.createDataFrame(rows, HORIZON_SKILL)
+
+
 def gates_passed(gates: dict[str, bool]) -> int:
     return sum(map(bool, gates.values()))

@@ -9,8 +9,8 @@ from ..functions.rolling import ahead, back, log_ratio, roll, trailing
 from .factors import _amihud, _volume_shock
 from .panel import market_series
 
+# The names of the features, and of the horizons with their trading days.
 FEATURES = ["mom_21", "mom_63", "mom_126", "reversal_5", "vol_63", "vol_ratio", "dist_52w_high", "amihud", "volume_shock", "beta_63", "market_mom_63", "market_vol_21"]
-#: Trading days of each horizon.
 HORIZONS = {"1M": 21, "3M": 63, "6M": 126, "12M": 252}
 
 

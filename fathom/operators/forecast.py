@@ -1,11 +1,13 @@
 """Forecasts: purged walk-forward of a ridge and boosted trees, their skill, and forecasts shrunk by it.
 
-Every refit of every horizon is one group of rows; all are fitted in parallel by grouped maps. A group holds the
-panel's rows up to the refit, which is bounded by tickers times calendar.
+The ridge needs only sums over the rows before a refit: Spark sums them between one refit and the next, adds those up, and
+a refit is solved from a hundred numbers. The trees of a refit are grown in a group of its rows up to the refit, which
+is bounded by tickers times calendar; all refits of all horizons are grown in parallel.
 """
 
 from __future__ import annotations
 
+import functools
 from math import sqrt
 
 import numpy as np
@@ -23,18 +25,15 @@ MIN_ROWS = 200
 # ---------------------------------------------------------------- models, in numpy
 
 
-class Ridge:
-    """Least squares on standardised features with a penalty on the weights, by the normal equations."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, alpha: float = 10.0):
-        self.mean, sd = x.mean(axis=0), x.std(axis=0)
-        self.sd = np.where(sd > 0, sd, 1.0)
-        z = (x - self.mean) / self.sd
-        self.base = y.mean()
-        self.w = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - self.base))
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.base + (x - self.mean) / self.sd @ self.w
+def solve_ridge(n: float, x: np.ndarray, xx: np.ndarray, y: float, xy: np.ndarray, alpha: float = 10.0) -> np.ndarray:
+    """Intercept and weights of least squares on standardised features with a penalty on the weights, from the sums of x, x x', y and x y over n rows."""
+    mean, base = x / n, y / n
+    spread = xx - n * np.outer(mean, mean)
+    own = np.diag(spread)
+    sd = np.sqrt(np.where(own > 1e-12 * np.diag(xx), own, 0) / n)
+    sd[sd == 0] = 1.0
+    w = np.linalg.solve(spread / np.outer(sd, sd) + alpha * np.eye(len(x)), (xy - n * mean * base) / sd) / sd
+    return np.concatenate([[base - mean @ w], w])
 
 
 class Boosting:
@@ -96,12 +95,6 @@ class Boosting:
         return self.base + self.rate * sum((self._walk(t, b) for t in self.trees), np.zeros(len(b)))
 
 
-def fit_predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, model: str = "ensemble") -> np.ndarray:
-    """Predictions for new: the mean of both models, or one of them ("ridge", "boosting")."""
-    made = [m(x, y).predict(new) for name, m in (("ridge", Ridge), ("boosting", Boosting)) if model in (name, "ensemble")]
-    return np.mean(made, axis=0)
-
-
 # ---------------------------------------------------------------- walk-forward
 
 
@@ -131,20 +124,73 @@ def tagged(data: DataFrame, refits: DataFrame) -> DataFrame:
     return data.join(F.broadcast(refits), "horizon").where(early | inside).withColumn("test", inside)  # bounded: the calendar over 42
 
 
-def walk_forward(data: DataFrame, refits: DataFrame | None = None, model: str = "ensemble") -> DataFrame:
-    """(horizon, refit_id, date, ticker, prediction, actual) out of sample; refits with under 200 rows to train on are skipped."""
-    refits = folds(data) if refits is None else refits
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+_SUMS = ["n", "y", *[f"x{i}" for i in range(len(FEATURES))], *[f"xy{i}" for i in range(len(FEATURES))], *[f"x{i}x{j}" for i, j in _PAIRS]]
+
+
+def gram_sums(data: DataFrame, refits: DataFrame) -> DataFrame:
+    """(horizon, refit_id, n, y, x0, ..., xy0, ..., x0x0, ...): sums over the rows that a refit trains on. Each row counts once, at the first refit that may use it; sums up to a refit run over the refits, a row for each."""
+    ends = refits.groupBy("horizon").agg(F.array_sort(F.collect_list(F.struct("train_end", "refit_id"))).alias("ends"))
+    at = F.size(F.filter("ends", lambda e: e.train_end < F.col("date")))
+    rows = data.join(F.broadcast(ends), "horizon").withColumn("refit_id", F.get("ends", at).getField("refit_id")).where("refit_id is not null")  # bounded: a row for each horizon
+    f = [F.col(c) for c in FEATURES]
+    terms = [F.lit(1.0), F.col("actual"), *f, *[c * F.col("actual") for c in f], *[f[i] * f[j] for i, j in _PAIRS]]
+    new = rows.groupBy("horizon", "refit_id").agg(*[F.sum(t).alias(c) for c, t in zip(_SUMS, terms, strict=True)])
+    w = Window.partitionBy("horizon").orderBy("refit_id").rowsBetween(Window.unboundedPreceding, 0)
+    return refits.select("horizon", "refit_id").join(new, ["horizon", "refit_id"], "left").select("horizon", "refit_id", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in _SUMS])
+
+
+def _solved(sums: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, w): intercept and weights; of sums over at least MIN_ROWS rows."""
+
+    @F.pandas_udf("array<double>")
+    def solve(sums: pd.Series) -> pd.Series:
+        p, out = len(FEATURES), []
+        upper = tuple(np.array(_PAIRS).T)
+        for s in sums:
+            xx = np.zeros((p, p))
+            xx[upper] = s[2 + 2 * p :]
+            out.append(solve_ridge(s[0], s[2 : 2 + p], xx + np.triu(xx, 1).T, s[1], s[2 + p : 2 + 2 * p]))
+        return pd.Series(out)
+
+    return sums.where(F.col("n") >= MIN_ROWS).select(*keys, solve(F.array(*_SUMS)).alias("w"))
+
 
+def _linear(w: str = "w"):
+    return sum((F.col(c) * F.col(w)[i + 1] for i, c in enumerate(FEATURES)), F.col(w)[0])
+
+
+def _by_ridge(data: DataFrame, refits: DataFrame) -> DataFrame:
+    fitted = refits.select("horizon", "refit_id", "test_start", "test_end").join(_solved(gram_sums(data, refits), "horizon", "refit_id"), ["horizon", "refit_id"])
+    tests = data.join(F.broadcast(fitted), "horizon").where(F.col("date").between(F.col("test_start"), F.col("test_end")))  # bounded: the calendar over 42
+    return tests.select("horizon", "refit_id", "date", "ticker", "actual", _linear().alias("prediction"))
+
+
+def _by_trees(data: DataFrame, refits: DataFrame) -> DataFrame:
     def one(group: pd.DataFrame) -> pd.DataFrame:
         train, test = group[~group.test].sort_values(["date", "ticker"]), group[group.test]
         out = test[["horizon", "refit_id", "date", "ticker", "actual"]]
         if len(train) < MIN_ROWS or not len(test):
             return out.iloc[:0].assign(prediction=pd.Series(dtype=float))
-        return out.assign(prediction=fit_predict(train[FEATURES].to_numpy(), train.actual.to_numpy(), test[FEATURES].to_numpy(), model))
+        return out.assign(prediction=Boosting(train[FEATURES].to_numpy(), train.actual.to_numpy()).predict(test[FEATURES].to_numpy()))
 
     return tagged(data, refits).groupBy("horizon", "refit_id").applyInPandas(one, "horizon string, refit_id int, date date, ticker string, actual double, prediction double")
 
 
+def _mean_of(parts: list[DataFrame], value: str, *keys: str) -> DataFrame:
+    """The mean of the models' values: their rows are put together and averaged by key."""
+    if len(parts) == 1:
+        return parts[0]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.avg(value).alias(value))
+
+
+def walk_forward(data: DataFrame, refits: DataFrame | None = None, model: str = "ensemble") -> DataFrame:
+    """(horizon, refit_id, date, ticker, actual, prediction) out of sample: of the mean of both models, or of one ("ridge", "boosting"); refits with under 200 rows to train on are skipped."""
+    refits = folds(data) if refits is None else refits
+    made = [f(data, refits) for name, f in (("ridge", _by_ridge), ("boosting", _by_trees)) if model in (name, "ensemble")]
+    return _mean_of(made, "prediction", "horizon", "refit_id", "date", "ticker", "actual")
+
+
 def rank_correlation(rows: DataFrame, a: str, b: str, *by: str, least: int = 8) -> DataFrame:
     """(*by, n, rho) of groups with at least so many rows; null where a side doesn't vary."""
     ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, average_rank(a, *by).alias("ra"), average_rank(b, *by).alias("rb"))
@@ -193,16 +239,23 @@ def market_base(market: DataFrame) -> DataFrame:
 
 def final_forecasts(data: DataFrame, now: DataFrame, model: str = "ensemble") -> DataFrame:
     """(horizon, ticker, raw): models of each horizon fitted on all its rows, for the latest features, missing ones as zero."""
-    new = now.select(F.lit(None).cast("double").alias("actual"), "ticker", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
-    wanted = new.join(F.broadcast(data.select("horizon").distinct()))  # bounded: the horizons
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        train, test = group[group.actual.notna()].sort_values(["date", "ticker"]), group[group.actual.isna()]
-        raw = fit_predict(train[FEATURES].to_numpy(), train.actual.to_numpy(), test[FEATURES].to_numpy(), model) if len(train) and len(test) else []
-        return test[["horizon", "ticker"]].assign(raw=raw)
-
-    both = data.select("horizon", "date", "ticker", "actual", *FEATURES).unionByName(wanted, allowMissingColumns=True)
-    return both.groupBy("horizon").applyInPandas(one, "horizon string, ticker string, raw double")
+    new = now.select("ticker", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
+    made = []
+    if model in ("ridge", "ensemble"):
+        whole = data.groupBy("horizon").agg(F.lit(0).alias("refit_id"), F.max("date").alias("train_end"))
+        fitted = _solved(gram_sums(data, whole), "horizon")
+        made.append(new.join(F.broadcast(fitted)).select("horizon", "ticker", _linear().alias("raw")))  # bounded: the horizons
+    if model in ("boosting", "ensemble"):
+        wanted = new.join(F.broadcast(data.select("horizon").distinct()))  # bounded: the horizons
+
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            train, test = group[group.actual.notna()].sort_values(["date", "ticker"]), group[group.actual.isna()]
+            raw = Boosting(train[FEATURES].to_numpy(), train.actual.to_numpy()).predict(test[FEATURES].to_numpy()) if len(train) and len(test) else []
+            return test[["horizon", "ticker"]].assign(raw=raw)
+
+        both = data.select("horizon", "date", "ticker", "actual", *FEATURES).unionByName(wanted, allowMissingColumns=True)
+        made.append(both.groupBy("horizon").applyInPandas(one, "horizon string, ticker string, raw double"))
+    return _mean_of(made, "raw", "horizon", "ticker")
 
 
 def blended(now: DataFrame, horizons: DataFrame, raw: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import deflated
@@ -31,21 +31,35 @@ def numbered(active: DataFrame) -> DataFrame:
     return some.select("strategy", "x", (F.row_number().over(w.orderBy("d_idx")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def bootstrap_means(active: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
-    """(strategy, rep, mean): yearly means of as many daily draws, with replacement, as there are days."""
-    rows = numbered(active)
-    places = rows.select("strategy", "n", F.col("k").alias("i"))
-    draws = places.select("strategy", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picks = draws.select("strategy", "rep", draw(F.col("rep").cast("long"), F.col("i"), F.col("n"), seed).alias("k"))
-    # how often each day is drawn first: the join then meets a row for each replicate and day at most
-    often = picks.groupBy("strategy", "rep", "k").agg(F.count(F.lit(1)).alias("c"))
-    return often.join(rows, ["strategy", "k"]).groupBy("strategy", "rep").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c") * YEAR).alias("mean"))
+def by_place(rows: DataFrame, names: list[str] | None, *keys: str) -> tuple[DataFrame, list[str]]:
+    """rows (strategy, x, *keys) with a row for each place and a column x0, x1, ... for each strategy (names: those that there are), and the strategies in that order."""
+    if names is None:
+        names = sorted(r.strategy for r in rows.select("strategy").distinct().collect())  # a row for each factor
+    each = [F.max(F.when(F.col("strategy") == n, F.col("x"))).alias(f"x{i}") for i, n in enumerate(names)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *each).drop("size"), names
 
 
-def bootstrap(active: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
+def _long(means: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """(strategy, *keys, m) of columns x0, x1, ..."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"x{i}").alias("m")) for i, n in enumerate(names)]))
+    return means.select(*keys, each.alias("e")).select("e.strategy", *keys, "e.m").where("m is not null")
+
+
+def bootstrap_means(active: DataFrame, replicates: int = 2000, seed: int = 7, names: list[str] | None = None) -> DataFrame:
+    """(strategy, rep, mean): yearly means of as many daily draws, with replacement, as there are days. Strategies of equal length share their draws, so a draw meets the returns of all at once."""
+    wide, names = by_place(numbered(active), names, "n", "k")
+    if not names:
+        return active.select("strategy", F.lit(0).alias("rep"), F.lit(0.0).alias("mean")).limit(0)
+    places = wide.select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"), F.col("k").alias("i"))
+    picks = places.select("n", "rep", draw(F.col("rep").cast("long"), F.col("i"), F.col("n"), seed).alias("k"))
+    means = picks.join(F.broadcast(wide), ["n", "k"]).groupBy("n", "rep").agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))])  # bounded: a trading calendar
+    return _long(means, names, "n", "rep").select("strategy", "rep", (F.col("m") * YEAR).alias("mean"))
+
+
+def bootstrap(active: DataFrame, replicates: int = 2000, seed: int = 7, names: list[str] | None = None) -> DataFrame:
     """(strategy, mean_ann, ci05, ci95, p_le_0); 0, 0, 0 and 1 below 40 days or without any variation."""
     base = active.groupBy("strategy").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n"))
-    means = bootstrap_means(active, replicates, seed).groupBy("strategy").agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"))
+    means = bootstrap_means(active, replicates, seed, names).groupBy("strategy").agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"))
     good = (F.col("n") >= 40) & (F.col("sd") > 0)
     out = base.join(means, "strategy", "left")
     value = lambda c, other: F.when(good, c).otherwise(F.lit(other))
@@ -60,7 +74,7 @@ def filled(active: DataFrame) -> DataFrame:
     return active.join(at, "d_idx").select("strategy", "k", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def reality_check(spark: SparkSession, active: DataFrame, replicates: int = 1000, seed: int = 106, block: int = BLOCK) -> dict:
+def reality_check(active: DataFrame, replicates: int = 1000, seed: int = 106, block: int = BLOCK) -> dict:
     """White's reality check: how often the best of the family, recentred, does as well by circular blocks of days. {"skipped": True} below 60 days."""
     rows = filled(active).persist()
     try:
@@ -71,21 +85,24 @@ def reality_check(spark: SparkSession, active: DataFrame, replicates: int = 1000
         means = {r.strategy: r.m for r in rows.groupBy("strategy").agg(F.avg("x").alias("m")).collect()}  # a row for each factor
         best = max(sorted(means), key=lambda s: means[s])
         statistic = sqrt(n) * means[best]
-        exceed = family_maxima(spark, rows, n, replicates, seed, block).where(F.col("stat") >= statistic).count()
+        exceed = family_maxima(rows, replicates, seed, block, list(means)).where(F.col("stat") >= statistic).count()
     finally:
         rows.unpersist()
     return {"statistic": statistic, "p_value": (exceed + 1) / (replicates + 1), "best_factor": best, "factors_in_family": len(means)}
 
 
-def family_maxima(spark: SparkSession, rows: DataFrame, n: int, replicates: int, seed: int = 106, block: int = BLOCK) -> DataFrame:
-    """(rep, stat): the largest recentred mean over factors of each replicate, times the root of n."""
-    blocks = -(-n // block)
-    places = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("i", F.col("i").cast("long"))
-    start = draw(F.col("rep"), F.floor(F.col("i") / block) + F.lit(blocks), F.lit(n), seed)
-    often = places.select("rep", ((start + F.col("i") % block) % n).alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("c"))
-    drawn = often.join(rows, "k").groupBy("strategy", "rep").agg((F.sum(F.col("x") * F.col("c")) / n).alias("m"))
-    centre = rows.groupBy("strategy").agg(F.avg("x").alias("m0"))
-    return drawn.join(F.broadcast(centre), "strategy").groupBy("rep").agg((F.max(F.col("m") - F.col("m0")) * sqrt(n)).alias("stat"))  # bounded: a row for each factor
+def family_maxima(rows: DataFrame, replicates: int, seed: int = 106, block: int = BLOCK, names: list[str] | None = None) -> DataFrame:
+    """(rep, stat): the largest recentred mean over factors of each replicate, times the root of the number of places. rows: as filled() gives them."""
+    wide, names = by_place(rows, names, "k")
+    n = rows.agg(F.max("k") + 1).scalar()
+    places = wide.select(n.alias("n"), F.col("k").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep"))
+    start = draw(F.col("rep"), F.floor(F.col("i") / block) + F.ceil(F.col("n") / block), F.col("n"), seed)
+    picks = places.select("rep", "n", ((start + F.col("i") % block) % F.col("n")).alias("k"))
+    columns = [f"x{i}" for i in range(len(names))]
+    drawn = picks.join(F.broadcast(wide), "k").groupBy("rep", "n").agg(*[F.avg(c).alias(c) for c in columns])  # bounded: a trading calendar
+    centre = wide.agg(*[F.avg(c).alias(f"m{c}") for c in columns])
+    best = F.array_max(F.array(*[F.col(c) - F.col(f"m{c}") for c in columns]))
+    return drawn.join(F.broadcast(centre)).select("rep", (best * F.sqrt("n")).alias("stat"))  # bounded: one row
 
 
 def moments(net: DataFrame) -> DataFrame:
@@ -96,9 +113,13 @@ def moments(net: DataFrame) -> DataFrame:
     )
 
 
-def deflated_sharpe(net: DataFrame, strategy: str, trials: int) -> dict:
-    row = moments(net.where(F.col("strategy") == strategy)).first()
-    if row is None or row.n < 60 or row.sr is None:
-        return {"dsr": 0.0}
-    bar, dsr = deflated(row.sr, row.skew, row.kurtosis, row.n, trials)
-    return {"daily_sharpe": row.sr, "annualized_sharpe": row.sr * sqrt(YEAR), "threshold_from_n_trials": bar * sqrt(YEAR), "n_trials": trials, "dsr": dsr}
+def deflated_sharpe(net: DataFrame, trials: int) -> dict[str, dict]:
+    """For each strategy: is its Sharpe ratio more than the best of so many trials by luck? dsr 0 below 60 days or without variation."""
+    out = {}
+    for r in moments(net).collect():  # a row for each strategy
+        if r.n < 60 or r.sr is None:
+            out[r.strategy] = {"dsr": 0.0}
+            continue
+        bar, dsr = deflated(r.sr, r.skew, r.kurtosis, r.n, trials)
+        out[r.strategy] = {"daily_sharpe": r.sr, "annualized_sharpe": r.sr * sqrt(YEAR), "threshold_from_n_trials": bar * sqrt(YEAR), "n_trials": trials, "dsr": dsr}
+    return out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.factors import COMPOSED, FACTORS, NAMES
 from ..operators.features import FEATURES
 
 
-def base(weekly: bool = False) -> str:
-    day = "cast(date_trunc('week', l_shipdate) as date)" if weekly else "cast(l_shipdate as date)"
-    return f"""with prices as (select p_brand ticker, {day} date, max(l_extendedprice / l_quantity) as close, sum(l_quantity) volume from lineitem join part on l_partkey = p_partkey group by 1, 2),
+def base() -> str:
+    return """with prices as (select p_brand ticker, cast(l_shipdate as date) date, max(l_extendedprice / l_quantity) as close, sum(l_quantity) volume from lineitem join part on l_partkey = p_partkey group by 1, 2),
 cal as (select date, (row_number() over (order by date) - 1)::bigint d_idx from (select distinct date from prices)),
 grid as (select t.ticker, c.date, c.d_idx, p.close raw_close, p.volume from cal c cross join (select distinct ticker from prices) t left join prices p on p.ticker = t.ticker and p.date = c.date),
 ff as (select *, last_value(raw_close ignore nulls) over (partition by ticker order by d_idx rows between 10 preceding and current row) as close from grid),
@@ -111,8 +112,9 @@ def rounded(columns: list[str]) -> str:
     return ", ".join(f"round({c}, 6) + 0.0::double {c}" for c in columns)
 
 
-def q(body: str, *ctes: str, weekly: bool = False) -> str:
-    return ",\n".join([base(weekly), *ctes]) + "\n" + body
+def q(body: str, *ctes: str) -> str:
+    """The whole text; each common table expression that begins a line is computed once."""
+    return re.sub(r"(?m)^(with )?(\w+) as \(", r"\1\2 as materialized (", ",\n".join([base(), *ctes])) + "\n" + body
 
 
 __all__ = ["FEATURES", "NAMES", "q", "rounded"]

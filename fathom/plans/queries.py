@@ -11,6 +11,7 @@ from ..operators import panel as panels
 from ..operators.backtest import BASELINE
 from ..operators.factors import NAMES, add_factors, long_scores, zscore
 from ..sources.adapter import sales_prices
+from ..sources.store import written
 from . import oracle as o
 
 QUERIES: dict = {}
@@ -27,8 +28,9 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-def panel_of(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFrame:
-    return panels.to_panel(sales_prices(spark, sf_dir, weekly), unique=True)
+def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel over the sales tables, which are read once: prices (tickers by dates) are written, as calendar, tickers and closes each need them."""
+    return panels.to_panel(written(spark, sales_prices(spark, sf_dir), "prices"), unique=True)
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -39,17 +41,17 @@ def r6(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- panel
 
 
-@register("panel_dense", o.q("select ticker, date, d_idx, round(raw_close, 6) raw_close, volume from grid"))
+@register("panel_dense", o.q("select ticker, date, d_idx, round(raw_close, 6) + 0.0::double raw_close, volume from grid"))
 def panel_dense(spark, sf_dir):
-    return r6(panels.dense(sales_prices(spark, sf_dir)))
+    return r6(panels.dense(written(spark, sales_prices(spark, sf_dir), "prices")))
 
 
-@register("panel_ffill", o.q("select ticker, date, round(close, 6) as close, volume from panel"))
+@register("panel_ffill", o.q("select ticker, date, round(close, 6) + 0.0::double as close, volume from panel"))
 def panel_ffill(spark, sf_dir):
     return r6(panel_of(spark, sf_dir).select("ticker", "date", "close", "volume"))
 
 
-@register("log_returns", o.q("select ticker, date, round(ret, 6) ret from panel where ret is not null"))
+@register("log_returns", o.q("select ticker, date, round(ret, 6) + 0.0::double ret from panel where ret is not null"))
 def log_returns(spark, sf_dir):
     return r6(panel_of(spark, sf_dir).where("ret is not null").select("ticker", "date", "ret"))
 
@@ -102,7 +104,7 @@ def normalize_tickers(spark, sf_dir):
     return _raw(spark, sf_dir).groupBy(normalize_ticker(F.col("name")).alias("ticker")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("valid_rows", "select c_mktsegment ticker, count(*) n, round(sum(c_acctbal), 4) total from customer where c_acctbal > 0 group by 1")
+@register("valid_rows", "select c_mktsegment ticker, count(*) n, round(sum(c_acctbal), 4) + 0.0::double total from customer where c_acctbal > 0 group by 1")
 def valid_rows(spark, sf_dir):
     from ..sources.files import valid
 
@@ -133,13 +135,8 @@ def _unpivoted(spark, sf_dir) -> DataFrame:
     return melt(wide, "date", tickers).where("close is not null").select("date", "ticker", "close")
 
 
-@register("unpivot_wide", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices where ticker in ('Brand#11', 'Brand#12', 'Brand#13') group by 1, 2"))
+@register("unpivot_wide", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices group by 1, 2"))
 def unpivot_wide(spark, sf_dir):
-    return _unpivoted(spark, sf_dir).where(F.col("ticker").isin("Brand#11", "Brand#12", "Brand#13"))  # as many as its SQL has
-
-
-@register("unpivot_wide_all", o.q(f"select {_MONTHS} as date, ticker, max(close) as close from prices group by 1, 2"))
-def unpivot_wide_all(spark, sf_dir):
     return _unpivoted(spark, sf_dir)
 
 
@@ -163,13 +160,13 @@ for _name in NAMES:
     _factor(_name)
 
 
-@register("zscore_xs", o.q("select ticker, date, round(z, 6) z from (select ticker, date, (momentum_126_21 - avg(momentum_126_21) over w) / nullif(stddev_samp(momentum_126_21) over w, 0) z from factors window w as (partition by date)) where z is not null", o.FACTORS_CTE))
+@register("zscore_xs", o.q("select ticker, date, round(z, 6) + 0.0::double z from (select ticker, date, (momentum_126_21 - avg(momentum_126_21) over w) / nullif(stddev_samp(momentum_126_21) over w, 0) z from factors window w as (partition by date)) where z is not null", o.FACTORS_CTE))
 def zscore_xs(spark, sf_dir):
     f = add_factors(panel_of(spark, sf_dir), ["momentum_126_21"])
     return r6(f.select("ticker", "date", zscore("momentum_126_21").alias("z")).where("z is not null"))
 
 
-@register("avg_rank_pct", o.q(f"select ticker, date, round(({o.rank_sql('high_52w', 'date')}) / count(*) over (partition by date), 6) pct from factors where high_52w is not null", o.FACTORS_CTE))
+@register("avg_rank_pct", o.q(f"select ticker, date, round(({o.rank_sql('high_52w', 'date')}) / count(*) over (partition by date), 6) + 0.0::double pct from factors where high_52w is not null", o.FACTORS_CTE))
 def avg_rank_pct(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -189,41 +186,25 @@ def topk_by_date(spark, sf_dir):
 # ---------------------------------------------------------------- backtest
 
 
-@register("eligibility", o.q("select ticker, date, round(traded_share, 6) traded_share, round(money_volume, 4) money_volume, eligible from elig", o.ELIGIBLE_CTE))
+@register("eligibility", o.q("select ticker, date, round(traded_share, 6) + 0.0::double traded_share, round(money_volume, 4) + 0.0::double money_volume, eligible from elig", o.ELIGIBLE_CTE))
 def eligibility(spark, sf_dir):
     e = backtest.eligibility(panel_of(spark, sf_dir))
     return e.select("ticker", "date", F.round("traded_share", 6).alias("traded_share"), F.round("money_volume", 4).alias("money_volume"), "eligible")
 
 
-def strategies(panel: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of the strategies, the goals at rebalances, and the calendar."""
-    own = [n for n in names if n != BASELINE]
-    rows = backtest.eligibility(panel)
-    scores = long_scores(add_factors(rows, own), own) if own else None
-    marks = rows.select("ticker", "d_idx", "eligible")
-    every = scores.join(marks, ["ticker", "d_idx"]).select("strategy", "ticker", "d_idx", "score", "eligible") if own else None
-    if BASELINE in names:
-        flat = marks.select(F.lit(BASELINE).alias("strategy"), "ticker", "d_idx", F.lit(1.0).alias("score"), "eligible")
-        every = flat if every is None else every.unionByName(flat)
-    quantile = F.when(F.col("strategy") == BASELINE, 1.0).otherwise(0.2)
-    return every, backtest.targets(every, 5, quantile), panel.select("date", "d_idx").distinct()
-
-
 def net_of(spark: SparkSession, panel: DataFrame, names: list[str], warmup: int = 130) -> DataFrame:
-    _, goals, days = strategies(panel, names)
-    listed = spark.createDataFrame([(n,) for n in names], "strategy string")
-    return backtest.on_calendar(days, listed, backtest.daily(backtest.held(goals, days), panel), warmup)
+    return backtest.net_returns(panel, names, warmup=warmup)
 
 
-@register("weights_momentum", o.q("select date, ticker, round(weight, 6) weight from weights join cal using (d_idx)", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["momentum_126_21"]), o.NET_CTE))
+@register("weights_momentum", o.q("select date, ticker, round(weight, 6) + 0.0::double weight from weights join cal using (d_idx)", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["momentum_126_21"]), o.NET_CTE))
 def weights_momentum(spark, sf_dir):
-    _, goals, days = strategies(panel_of(spark, sf_dir), ["momentum_126_21"])
+    _, goals, days = backtest.strategies(panel_of(spark, sf_dir), ["momentum_126_21"])
     return r6(backtest.held(goals, days).join(F.broadcast(days), "d_idx").select("date", "ticker", "weight"))  # bounded: a trading calendar
 
 
-@register("weights_baseline", o.q("select date, ticker, round(weight, 6) weight from weights join cal using (d_idx)", o.ELIGIBLE_CTE, o.scores_cte([BASELINE]), o.NET_CTE))
+@register("weights_baseline", o.q("select date, ticker, round(weight, 6) + 0.0::double weight from weights join cal using (d_idx)", o.ELIGIBLE_CTE, o.scores_cte([BASELINE]), o.NET_CTE))
 def weights_baseline(spark, sf_dir):
-    _, goals, days = strategies(panel_of(spark, sf_dir), [BASELINE])
+    _, goals, days = backtest.strategies(panel_of(spark, sf_dir), [BASELINE])
     return r6(backtest.held(goals, days).join(F.broadcast(days), "d_idx").select("date", "ticker", "weight"))  # bounded: a trading calendar
 
 
@@ -231,12 +212,12 @@ _ALL = [*NAMES, BASELINE]
 _BT = (o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(_ALL), o.NET_CTE)
 
 
-@register("net_returns", o.q("select strategy, date, round(gross, 6) gross, round(net, 6) net from net", *_BT))
+@register("net_returns", o.q("select strategy, date, round(gross, 6) + 0.0::double gross, round(net, 6) + 0.0::double net from net", *_BT))
 def net_returns(spark, sf_dir):
     return r6(net_of(spark, panel_of(spark, sf_dir), _ALL).select("strategy", "date", "gross", "net"))
 
 
-@register("turnover", o.q("select strategy, round(avg(turnover), 6) avg_daily_turnover from net group by 1", *_BT))
+@register("turnover", o.q("select strategy, round(avg(turnover), 6) + 0.0::double avg_daily_turnover from net group by 1", *_BT))
 def turnover(spark, sf_dir):
     return r6(net_of(spark, panel_of(spark, sf_dir), _ALL).groupBy("strategy").agg(F.avg("turnover").alias("avg_daily_turnover")))
 
@@ -249,7 +230,7 @@ def performance_table(spark, sf_dir):
     return r6(backtest.performance(net_of(spark, panel_of(spark, sf_dir), _ALL)).select("strategy", "days", *_PERF))
 
 
-@register("drawdown_curve", o.q("select date, round(equity, 6) equity, round(drawdown, 6) drawdown from dd", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["reversal_5d"]), o.NET_CTE, o.PERF_CTE))
+@register("drawdown_curve", o.q("select date, round(equity, 6) + 0.0::double equity, round(drawdown, 6) + 0.0::double drawdown from dd", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["reversal_5d"]), o.NET_CTE, o.PERF_CTE))
 def drawdown_curve(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -258,21 +239,14 @@ def drawdown_curve(spark, sf_dir):
     return r6(net.select("date", "equity", (F.col("equity") - F.max("equity").over(w)).alias("drawdown")))
 
 
-@register("equity_moments", o.q("select strategy, count(net) n, round(avg(net) / stddev_samp(net), 6) sr, round(sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5, 6) skew, round(sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2, 5) kurtosis from (select *, avg(net) over (partition by strategy) m from net) group by strategy", *_BT))
+@register("equity_moments", o.q("select strategy, count(net) n, round(avg(net) / stddev_samp(net), 6) + 0.0::double sr, round(sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5, 6) + 0.0::double skew, round(sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2, 5) + 0.0::double kurtosis from (select *, avg(net) over (partition by strategy) m from net) group by strategy", *_BT))
 def equity_moments(spark, sf_dir):
     m = inference.moments(net_of(spark, panel_of(spark, sf_dir), _ALL))
-    return m.select("strategy", "n", F.round("sr", 6).alias("sr"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"))
-
-
-def active_of(net: DataFrame) -> DataFrame:
-    """(strategy, d_idx, x): what each strategy earns over the baseline."""
-    flat = net.where(F.col("strategy") == BASELINE).select("d_idx", F.col("net").alias("n0"))
-    return net.where(F.col("strategy") != BASELINE).join(flat, "d_idx").select("strategy", "d_idx", (F.col("net") - F.col("n0")).alias("x"))
+    return m.select("strategy", "n", (F.round("sr", 6) + F.lit(0.0)).alias("sr"), (F.round("skew", 6) + F.lit(0.0)).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"))
 
 
 _ACTIVE = "active as (select a.strategy, a.d_idx, a.net - b.net x from net a join net b on b.strategy = 'baseline_equal_weight' and a.d_idx = b.d_idx where a.strategy <> 'baseline_equal_weight')"
-_SOME = ["momentum_126_21", "reversal_5d", BASELINE]
-_BT3 = (o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(_SOME), o.NET_CTE, _ACTIVE)
+_BT3 = (*_BT, _ACTIVE)
 
 
 def _draw(rep: str, i: str, n: str, seed: int) -> str:
@@ -281,90 +255,88 @@ def _draw(rep: str, i: str, n: str, seed: int) -> str:
 
 
 def _bootstrap_sql(replicates: int, *ctes: str) -> str:
-    return o.q("""select strategy, round(any_value(m), 6) mean_ann, round(quantile_cont(mean, 0.05), 6) ci05, round(quantile_cont(mean, 0.95), 6) ci95, round(avg((mean <= 0)::int::double), 6) p_le_0
+    return o.q("""select strategy, round(any_value(m), 6) + 0.0::double mean_ann, round(quantile_cont(mean, 0.05), 6) + 0.0::double ci05, round(quantile_cont(mean, 0.95), 6) + 0.0::double ci95, round(avg((mean <= 0)::int::double), 6) + 0.0::double p_le_0
 from (select d.strategy, d.rep, avg(t.x) * 252 mean, any_value(t.m) * 252 m from draws d join at_ t on t.strategy = d.strategy and t.k = d.k group by d.strategy, d.rep) group by strategy""", *ctes,
         "at_ as (select strategy, x, row_number() over (partition by strategy order by d_idx) - 1 k, count(*) over (partition by strategy) n, avg(x) over (partition by strategy) m from active)",
         f"draws as (select strategy, rep, {_draw('rep', 'k', 'n', 7)} k from at_, (select unnest(range({replicates})) rep))")
 
 
-def _reality_sql(replicates: int, *ctes: str) -> str:
-    return o.q("""select rep, round(max(m - m0) * sqrt(any_value(n)), 6) stat from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join (select strategy, avg(x) m0 from at_ group by 1) using (strategy) group by rep""", *ctes,
+def _reality_ctes(replicates: int) -> list[str]:
+    return [
         "at_ as (select a.strategy, a.x, k.k from active a join (select d_idx, row_number() over (order by d_idx) - 1 k from (select distinct d_idx from active)) k using (d_idx))",
         "nn as (select count(distinct k) n from at_)",
-        f"draws as (select rep, n, (({_draw('rep', 'i // 10 + (n + 9) // 10', 'n', 106)}) + i % 10) % n k from nn, (select unnest(range({replicates})) rep), (select distinct k i from at_))")
+        f"draws as (select rep, n, (({_draw('rep', 'i // 10 + (n + 9) // 10', 'n', 106)}) + i % 10) % n k from nn, (select unnest(range({replicates})) rep), (select distinct k i from at_))",
+    ]
 
 
-def _maxima(spark, sf_dir, names: list[str], replicates: int) -> DataFrame:
-    rows = inference.filled(active_of(net_of(spark, panel_of(spark, sf_dir), names)))
-    n = rows.agg(F.max("k")).first()[0] + 1
-    return r6(inference.family_maxima(spark, rows, n, replicates))
+def _reality_sql(replicates: int, *ctes: str) -> str:
+    return o.q("""select rep, round(max(m - m0) * sqrt(any_value(n)), 6) + 0.0::double stat from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join (select strategy, avg(x) m0 from at_ group by 1) using (strategy) group by rep""", *ctes, *_reality_ctes(replicates))
 
 
-@register("bootstrap_iid", _bootstrap_sql(200, *_BT3))
-def bootstrap_iid(spark, sf_dir):
-    return r6(inference.bootstrap(active_of(net_of(spark, panel_of(spark, sf_dir), _SOME)), 200))
+def _reality_p_sql(replicates: int, *ctes: str) -> str:
+    return o.q("""select round(any_value(best) * sqrt(any_value(n)), 6) + 0.0::double statistic, round((count(*) filter (stat >= best * sqrt(n)) + 1) / (count(*) + 1), 6) + 0.0::double p_value, any_value(best_factor) best_factor, any_value(family)::bigint factors_in_family
+from (select rep, max(m - m0) * sqrt(any_value(n)) stat, any_value(n) n from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join means using (strategy) group by rep), (select max(m0) best, first(strategy order by m0 desc, strategy) best_factor, count(*) family from means)""", *ctes, *_reality_ctes(replicates), "means as (select strategy, avg(x) m0 from at_ group by 1)")
 
 
-@register("bootstrap_iid_all")
-def bootstrap_iid_all(spark, sf_dir):
-    return r6(inference.bootstrap(active_of(net_of(spark, panel_of(spark, sf_dir), _ALL)), 2000))
+@register("bootstrap_iid", _bootstrap_sql(2000, *_BT3))
+def bootstrap_iid(spark, sf_dir):
+    return r6(inference.bootstrap(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)), 2000, names=list(NAMES)))
 
 
-@register("reality_check", _reality_sql(100, *_BT3))
+@register("reality_check", _reality_sql(1000, *_BT3))
 def reality_check(spark, sf_dir):
-    return _maxima(spark, sf_dir, _SOME, 100)
+    """The family's largest mean in each of the replicates, from which the p-value is counted."""
+    rows = inference.filled(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)))
+    return r6(inference.family_maxima(rows, 1000, names=list(NAMES)))
 
 
-@register("reality_check_all")
-def reality_check_all(spark, sf_dir):
-    return _maxima(spark, sf_dir, _ALL, 1000)
+@register("reality_check_p_value", _reality_p_sql(1000, *_BT3))
+def reality_check_p_value(spark, sf_dir):
+    got = inference.reality_check(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)))
+    return r6(spark.createDataFrame([(got["statistic"], got["p_value"], got["best_factor"], got["factors_in_family"])], "statistic double, p_value double, best_factor string, factors_in_family long"))
 
 
 @register("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
     """A row for each factor, as one of so many trials."""
-    net = net_of(spark, panel_of(spark, sf_dir), _ALL).persist()
-    try:
-        got = [(n, inference.deflated_sharpe(net, n, len(NAMES))) for n in NAMES]
-    finally:
-        net.unpersist()
+    got = inference.deflated_sharpe(net_of(spark, panel_of(spark, sf_dir), list(NAMES)), len(NAMES))
     kinds = ("daily_sharpe", "annualized_sharpe", "threshold_from_n_trials", "dsr")
-    return r6(spark.createDataFrame([(n, *map(d.get, kinds)) for n, d in got], "strategy string, " + ", ".join(f"{k} double" for k in kinds)))
+    return r6(spark.createDataFrame([(n, *map(d.get, kinds)) for n, d in got.items()], "strategy string, " + ", ".join(f"{k} double" for k in kinds)))
 
 
-@register("gates")
-def gates(spark, sf_dir):
+@register("deployment_gates")
+def deployment_gates(spark, sf_dir):
     """A row for each gate of the best factor, by the report's own rules, factors and replicates."""
     from . import reports
 
-    numbers = reports.run_backtest(sales_prices(spark, sf_dir)).numbers
+    numbers = reports.run_backtest(written(spark, sales_prices(spark, sf_dir), "prices")).numbers
     return spark.createDataFrame([(numbers["best_factor"], k, bool(v)) for k, v in numbers["deployment_gates"].items()], "strategy string, gate string, passed boolean")
 
 
 # ---------------------------------------------------------------- audit
 
 
-@register("variance_ratio", o.q("select ticker, round(vr, 6) vr, round(z, 6) z from vr", o.COMPACT_CTE, o.VR_CTE))
+@register("variance_ratio", o.q("select ticker, round(vr, 6) + 0.0::double vr, round(z, 6) + 0.0::double z from vr", o.COMPACT_CTE, o.VR_CTE))
 def variance_ratio(spark, sf_dir):
     return r6(audit.variance_ratio(panel_of(spark, sf_dir)))
 
 
-@register("ljung_box", o.q("select ticker, round(stat, 5) stat, round(p_value, 6) p_value from lb", o.COMPACT_CTE, o.LB_CTE))
+@register("ljung_box", o.q("select ticker, round(stat, 5) + 0.0::double stat, round(p_value, 6) + 0.0::double p_value from lb", o.COMPACT_CTE, o.LB_CTE))
 def ljung_box(spark, sf_dir):
     return audit.ljung_box(panel_of(spark, sf_dir)).select("ticker", F.round("stat", 5).alias("stat"), F.round("p_value", 6).alias("p_value"))
 
 
-@register("momentum_spread", o.q("select count(spread) periods, round(avg(spread) * 100, 6) mean_monthly_spread_pct, round(avg(spread) / (stddev_samp(spread) / sqrt(count(spread))), 6) t_stat, round(avg((spread > 0)::int::double), 6) positive_share from spreads", o.SPREAD_CTE))
+@register("momentum_spread", o.q("select count(spread) periods, round(avg(spread) * 100, 6) + 0.0::double mean_monthly_spread_pct, round(avg(spread) / (stddev_samp(spread) / sqrt(count(spread))), 6) + 0.0::double t_stat, round(avg((spread > 0)::int::double), 6) + 0.0::double positive_share from spreads", o.SPREAD_CTE))
 def momentum_spread(spark, sf_dir):
     return r6(audit.momentum_check(audit.momentum_spreads(panel_of(spark, sf_dir))))
 
 
-@register("stock_audit", o.q("select ticker, days, round(ann_vol, 6) ann_vol, round(traded_share, 6) traded_share, round(variance_ratio_q5, 6) variance_ratio_q5, round(z, 6) z, round(ljung_box_p, 6) ljung_box_p from stock_audit", o.AUDIT_CTE))
+@register("stock_audit", o.q("select ticker, days, round(ann_vol, 6) + 0.0::double ann_vol, round(traded_share, 6) + 0.0::double traded_share, round(variance_ratio_q5, 6) + 0.0::double variance_ratio_q5, round(z, 6) + 0.0::double z, round(ljung_box_p, 6) + 0.0::double ljung_box_p from stock_audit", o.AUDIT_CTE))
 def stock_audit(spark, sf_dir):
     return r6(audit.stock_audit(panel_of(spark, sf_dir)))
 
 
-@register("market_audit_summary", o.q("select count(*) tickers, round(median(traded_share), 6) median_traded_share, count(*) filter (traded_share < 0.6) illiquid_stocks_below_60pct, round(median(variance_ratio_q5), 6) median_vr_q5, count(*) filter (abs(z) > 1.959963984540054) stocks_rejecting_random_walk_5pct, round(avg((variance_ratio_q5 > 1)::int::double), 6) share_vr_above_1, count(*) filter (ljung_box_p < 0.05) autocorrelation_ljung_box_significant, (select count(*) from cal) trading_days, (select min(date) from cal) first_date, (select max(date) from cal) last_date from stock_audit", o.AUDIT_CTE))
+@register("market_audit_summary", o.q("select count(*) tickers, round(median(traded_share), 6) + 0.0::double median_traded_share, count(*) filter (traded_share < 0.6) illiquid_stocks_below_60pct, round(median(variance_ratio_q5), 6) + 0.0::double median_vr_q5, count(*) filter (abs(z) > 1.959963984540054) stocks_rejecting_random_walk_5pct, round(avg((variance_ratio_q5 > 1)::int::double), 6) + 0.0::double share_vr_above_1, count(*) filter (ljung_box_p < 0.05) autocorrelation_ljung_box_significant, (select count(*) from cal) trading_days, (select min(date) from cal) first_date, (select max(date) from cal) last_date from stock_audit", o.AUDIT_CTE))
 def market_audit_summary(spark, sf_dir):
     return r6(audit.market_summary(panel_of(spark, sf_dir)))
 
@@ -372,7 +344,7 @@ def market_audit_summary(spark, sf_dir):
 # ---------------------------------------------------------------- features and forecasts
 
 
-@register("market_series", o.q("select date, round(mkt, 6) mkt from market where mkt is not null", o.MARKET_CTE))
+@register("market_series", o.q("select date, round(mkt, 6) + 0.0::double mkt from market where mkt is not null", o.MARKET_CTE))
 def market_series(spark, sf_dir):
     return r6(panels.market_series(panel_of(spark, sf_dir)).where("mkt is not null").select("date", "mkt"))
 
@@ -388,25 +360,15 @@ for _name, _columns in {"feat_momentum": ["mom_21", "mom_63", "mom_126", "revers
     _features(_name, _columns)
 
 
-@register("fwd_returns", o.q("select ticker, date, round(fwd_21, 6) fwd_21, round(fwd_63, 6) fwd_63, round(fwd_126, 6) fwd_126, round(fwd_252, 6) fwd_252 from features where coalesce(fwd_21, fwd_63, fwd_126, fwd_252) is not null", o.FEATURES_CTE))
+@register("fwd_returns", o.q("select ticker, date, round(fwd_21, 6) + 0.0::double fwd_21, round(fwd_63, 6) + 0.0::double fwd_63, round(fwd_126, 6) + 0.0::double fwd_126, round(fwd_252, 6) + 0.0::double fwd_252 from features where coalesce(fwd_21, fwd_63, fwd_126, fwd_252) is not null", o.FEATURES_CTE))
 def fwd_returns(spark, sf_dir):
     c = [f"fwd_{h}" for h in features.HORIZONS.values()]
     return r6(features.add_targets(panel_of(spark, sf_dir)).select("ticker", "date", *c).where(F.coalesce(*c).isNotNull()))
 
 
-def _weekly(spark, sf_dir) -> DataFrame:
-    """Features and targets over weekly bars, which are dense at every scale."""
-    return features.add_targets(features.add_features(panel_of(spark, sf_dir, weekly=True)))
-
-
 _FULL = " and ".join(f"{c} is not null" for c in features.FEATURES)
 
 
-@register("purged_folds", o.q(f"""select '1M' horizon, ((i - 171) // 42)::int refit_id, (date - 33)::date train_end, date test_start, test_end from (select date, row_number() over (order by date) - 1 i, count(*) over () n, coalesce(lead(date, 41) over (order by date), max(date) over ()) test_end from (select distinct date from features where fwd_21 is not null and {_FULL})) where n >= 181 and i >= 171 and (i - 171) % 42 = 0""", o.FEATURES_CTE, weekly=True))
-def purged_folds(spark, sf_dir):
-    return forecast.folds(forecast.samples(_weekly(spark, sf_dir), features.HORIZONS))
-
-
 def _daily_samples(spark, sf_dir) -> DataFrame:
     """Rows of the daily panel with all features, once for each horizon whose target they have."""
     return forecast.samples(features.add_targets(features.add_features(panel_of(spark, sf_dir))), features.HORIZONS)
@@ -418,45 +380,50 @@ _FOLDS = " union all ".join(
 )
 
 
-@register("purged_folds_daily", o.q(_FOLDS, o.FEATURES_CTE))
-def purged_folds_daily(spark, sf_dir):
+@register("purged_folds", o.q(_FOLDS, o.FEATURES_CTE))
+def purged_folds(spark, sf_dir):
     return forecast.folds(_daily_samples(spark, sf_dir))
 
 
-@register("ic_by_date", o.q("select date, n, round(rho, 6) rho from ic", o.FEATURES_CTE, o.IC_CTE))
+@register("ic_by_date", o.q("select date, n, round(rho, 6) + 0.0::double rho from ic", o.FEATURES_CTE, o.IC_CTE))
 def ic_by_date(spark, sf_dir):
     rows = features.add_targets(features.add_features(panel_of(spark, sf_dir))).select("date", "mom_63", "fwd_21")
     return r6(forecast.rank_correlation(rows, "mom_63", "fwd_21", "date"))
 
 
 def _surrogate(spark, sf_dir) -> DataFrame:
-    rows = features.add_targets(features.add_features(panel_of(spark, sf_dir)))
+    return _graded(features.add_targets(features.add_features(panel_of(spark, sf_dir)), {"1M": 21}))
+
+
+def _graded(rows: DataFrame) -> DataFrame:
+    """Momentum in place of a model's forecast, so that what is computed from forecasts has SQL to compare with."""
     return rows.where("mom_63 is not null and fwd_21 is not null").select(F.lit("1M").alias("horizon"), "date", "ticker", F.col("mom_63").alias("prediction"), F.col("fwd_21").alias("actual"))
 
 
-@register("ic_summary", o.q("select '1M' horizon, round(avg(rho), 6) ic, round(avg(rho) / (stddev_samp(rho) / sqrt(count(rho))), 6) t_stat, count(rho) n, 'cross_sectional' as mode from ic", o.FEATURES_CTE, o.IC_CTE))
+@register("ic_summary", o.q("select '1M' horizon, round(avg(rho), 6) + 0.0::double ic, round(avg(rho) / (stddev_samp(rho) / sqrt(count(rho))), 6) + 0.0::double t_stat, count(rho) n, 'cross_sectional' as mode from ic", o.FEATURES_CTE, o.IC_CTE))
 def ic_summary(spark, sf_dir):
     return r6(forecast.ic_summary(_surrogate(spark, sf_dir)))
 
 
-@register("residual_quantiles", o.q("select '1M' horizon, round(quantile_cont(fwd_21 - mom_63, 0.05), 6) low, round(quantile_cont(fwd_21 - mom_63, 0.95), 6) high from features where fwd_21 is not null and mom_63 is not null", o.FEATURES_CTE))
+@register("residual_quantiles", o.q("select '1M' horizon, round(quantile_cont(fwd_21 - mom_63, 0.05), 6) + 0.0::double low, round(quantile_cont(fwd_21 - mom_63, 0.95), 6) + 0.0::double high from features where fwd_21 is not null and mom_63 is not null", o.FEATURES_CTE))
 def residual_quantiles(spark, sf_dir):
     return r6(forecast.residual_bounds(_surrogate(spark, sf_dir)))
 
 
-@register("quarterly_top10", o.q("""select count(x) as quarters, round(avg(x) * 100, 6) mean_quarterly_excess_pct, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) t_stat, round(avg((x > 0)::int::double), 6) positive_share from
+@register("quarterly_top10", o.q("""select count(x) as quarters, round(avg(x) * 100, 6) + 0.0::double mean_quarterly_excess_pct, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) + 0.0::double t_stat, round(avg((x > 0)::int::double), 6) + 0.0::double positive_share from
 (select date, avg(fwd_21) filter (k <= 10) - avg(fwd_21) x from (select date, fwd_21, row_number() over (partition by date order by mom_63 desc, ticker) k, count(*) over (partition by date) n, dense_rank() over (order by date) - 1 i from features where mom_63 is not null and fwd_21 is not null) where n >= 12 and i % 63 = 0 group by date)""", o.FEATURES_CTE))
 def quarterly_top10(spark, sf_dir):
     return r6(forecast.quarterly(_surrogate(spark, sf_dir)))
 
 
-@register("shrink_blend", o.q("""select ticker, '1M' horizon, round_even(100 * (exp(b * 21 + w * (mom_63 - b * 21)) - 1), 2) expected_return_pct, round_even(100 * (exp(mom_63) - 1), 2) raw_model_return_pct, round(w, 6) skill_weight
+@register("shrink_blend", o.q("""select ticker, '1M' horizon, round_even(100 * (exp(b * 21 + w * (mom_63 - b * 21)) - 1), 2) expected_return_pct, round_even(100 * (exp(mom_63) - 1), 2) raw_model_return_pct, round(w, 6) + 0.0::double skill_weight
 from (select ticker, mom_63 from features where mom_63 is not null and d_idx = (select max(d_idx) from cal)), (select least(greatest(5 * avg(rho), 0), 0.5) w from ic), (select avg(mkt) b from (select mkt from market where mkt is not null order by d_idx desc limit 252))""", o.FEATURES_CTE, o.IC_CTE))
 def shrink_blend(spark, sf_dir):
-    rows = features.add_features(panel_of(spark, sf_dir))
+    panel = panel_of(spark, sf_dir)
+    rows = features.add_targets(features.add_features(panel), {"1M": 21})
     now = forecast.latest(rows)
-    skill = forecast.ic_summary(_surrogate(spark, sf_dir)).select("horizon", F.lit(21).alias("h"), forecast.skill_weight(F.col("ic")).alias("skill_weight"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    base = forecast.market_base(panels.market_series(panel_of(spark, sf_dir)))
+    skill = forecast.ic_summary(_graded(rows)).select("horizon", F.lit(21).alias("h"), forecast.skill_weight(F.col("ic")).alias("skill_weight"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    base = forecast.market_base(panels.market_series(panel))
     out = forecast.blended(now, skill.withColumn("base", base.scalar()), now.select(F.lit("1M").alias("horizon"), "ticker", F.col("mom_63").alias("raw")))
     return out.select("ticker", "horizon", "expected_return_pct", "raw_model_return_pct", F.round("skill_weight", 6).alias("skill_weight"))
 
@@ -472,6 +439,22 @@ def top10_reasons(spark, sf_dir):
     return forecast.reasons(forecast.latest(features.add_features(panel_of(spark, sf_dir))))
 
 
+_XX = [(i, j) for i in range(len(features.FEATURES)) for j in range(i, len(features.FEATURES))]
+_TERMS = ", ".join([
+    "count(*)::double n", "sum(actual) y", *[f"sum({f}) x{i}" for i, f in enumerate(features.FEATURES)], *[f"sum({f} * actual) xy{i}" for i, f in enumerate(features.FEATURES)],
+    *[f"sum({features.FEATURES[i]} * {features.FEATURES[j]}) x{i}x{j}" for i, j in _XX],
+])
+_SAMPLES = "samples as (" + " union all ".join(f"select '{label}' horizon, date, fwd_{h} actual, {', '.join(features.FEATURES)} from features where fwd_{h} is not null and {_FULL}" for label, h in features.HORIZONS.items()) + ")"
+
+
+@register("ridge_sums", o.q(f"select horizon, refit_id, {', '.join(f'round({c}, 4) + 0.0::double {c}' for c in forecast._SUMS)} from (select f.horizon, f.refit_id, {_TERMS} from folds f join samples s on s.horizon = f.horizon and s.date <= f.train_end group by 1, 2)", o.FEATURES_CTE, _SAMPLES, f"folds as ({_FOLDS})"))
+def ridge_sums(spark, sf_dir):
+    """What each refit of the ridge is solved from: sums over all the rows that it trains on."""
+    data = _daily_samples(spark, sf_dir)
+    sums = forecast.gram_sums(data, forecast.folds(data)).where("n > 0")
+    return sums.select("horizon", "refit_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in forecast._SUMS])
+
+
 @register("ridge_forecast")
 def ridge_forecast(spark, sf_dir):
     return r6(forecast.walk_forward(_daily_samples(spark, sf_dir), model="ridge"))
@@ -491,16 +474,33 @@ def regime(spark, sf_dir):
 # ---------------------------------------------------------------- portfolio
 
 
-@register("cov_pairs", o.q("select a.ticker a, b.ticker b, round(covar_pop(a.r, b.r), 8) cov from xs a join xs b on a.d_idx = b.d_idx and a.ticker <= b.ticker group by 1, 2", "xs as (select ticker, d_idx, coalesce(ret, 0) r from panel where d_idx > (select max(d_idx) from cal) - 180)"))
+@register("cov_pairs", o.q("select a.ticker a, b.ticker b, round(covar_pop(a.r, b.r), 8) + 0.0::double cov from xs a join xs b on a.d_idx = b.d_idx and a.ticker <= b.ticker group by 1, 2", "xs as (select ticker, d_idx, coalesce(ret, 0) r from panel where d_idx > (select max(d_idx) from cal) - 180)"))
 def cov_pairs(spark, sf_dir):
-    return portfolio.covariance_pairs(portfolio.recent_returns(panel_of(spark, sf_dir))).select("a", "b", F.round("cov", 8).alias("cov"))
+    return portfolio.covariance_pairs(portfolio.recent_returns(panel_of(spark, sf_dir))).select("a", "b", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
+
+
+_SHRUNK = (
+    "xs as (select ticker, d_idx, coalesce(ret, 0) - avg(coalesce(ret, 0)) over (partition by ticker) r from panel where d_idx > (select max(d_idx) from cal) - 180)",
+    "prs as (select a.ticker a, b.ticker b, avg(a.r * b.r) s, avg((a.r * b.r) ** 2) q, count(*) n from xs a join xs b on a.d_idx = b.d_idx and a.ticker <= b.ticker group by 1, 2)",
+    "tot as (select max(n) n, count(*) filter (a = b) p, sum(s) filter (a = b) tr, sum(case when a = b then 1 else 2 end * s * s) s2, sum(case when a = b then 1 else 2 end * q) q2 from prs)",
+    "lw as (select tr / p mu, case when s2 / p - (tr / p) ** 2 > 0 then least((q2 - s2) / (p * n), s2 / p - (tr / p) ** 2) / (s2 / p - (tr / p) ** 2) else 0 end share from tot)",
+    "shr as (select a, b, (1 - share) * s + case when a = b then share * mu else 0 end cov from prs, lw)",
+)
+
+
+def _market(spark, sf_dir) -> DataFrame:
+    """The last 180 dates' returns of all tickers, as one portfolio."""
+    return portfolio.recent_returns(panel_of(spark, sf_dir)).select(F.lit("all").alias("portfolio"), "ticker", "d_idx", "ret")
 
 
-@register("corr_distance", o.q("select a.ticker a, b.ticker b, round(case when a.ticker = b.ticker then 0 else sqrt(least(greatest(0.5 * (1 - corr(a.r, b.r)), 0), 1)) end, 6) dist from xs a join xs b on a.d_idx = b.d_idx and a.ticker <= b.ticker group by 1, 2", "xs as (select ticker, d_idx, coalesce(ret, 0) r from panel where d_idx > (select max(d_idx) from cal) - 180)"))
+@register("ledoit_wolf", o.q("select a, b, round(cov, 8) + 0.0::double cov from shr", *_SHRUNK))
+def ledoit_wolf(spark, sf_dir):
+    return portfolio.shrunk_pairs(_market(spark, sf_dir)).select("a", "b", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
+
+
+@register("corr_distance", o.q("select x.a, x.b, round(case when x.a = x.b then 0 else sqrt(least(greatest(0.5 * (1 - x.cov / sqrt(i.cov * j.cov)), 0), 1)) end, 6) + 0.0::double dist from shr x join shr i on i.a = x.a and i.b = x.a join shr j on j.a = x.b and j.b = x.b", *_SHRUNK))
 def corr_distance(spark, sf_dir):
-    p = portfolio.covariance_pairs(portfolio.recent_returns(panel_of(spark, sf_dir)))
-    d = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.sqrt(F.least(F.greatest(0.5 * (1 - F.col("corr")), F.lit(0.0)), F.lit(1.0))))
-    return r6(p.select("a", "b", d.alias("dist")))
+    return r6(portfolio.correlation_distances(portfolio.shrunk_pairs(_market(spark, sf_dir))).select("a", "b", "dist"))
 
 
 _INV = f"inv0 as (select ticker, d_idx, {o.roll('stddev_samp', 'ret', 63)} vol from panel), inv1 as (select v.ticker, case when vol is null then 0 else 1 / greatest(vol, 0.004) end inv from inv0 v join elig e using (ticker, d_idx) where d_idx = (select max(d_idx) from cal) and eligible), inv as (select ticker, inv / sum(inv) over () weight from inv1)"
@@ -511,12 +511,12 @@ def _inverse(panel: DataFrame) -> DataFrame:
     return portfolio.inverse_volatility(panel, portfolio.selection(backtest.eligibility(panel)))
 
 
-@register("inverse_vol_weights", o.q("select ticker, round(weight, 6) weight from inv", o.ELIGIBLE_CTE, _INV))
+@register("inverse_vol_weights", o.q("select ticker, round(weight, 6) + 0.0::double weight from inv", o.ELIGIBLE_CTE, _INV))
 def inverse_vol_weights(spark, sf_dir):
     return r6(_inverse(panel_of(spark, sf_dir)))
 
 
-@register("capped_weights", o.q("select ticker, round(weight, 6) weight from capped", o.ELIGIBLE_CTE, _INV, _CAP))
+@register("capped_weights", o.q("select ticker, round(weight, 6) + 0.0::double weight from capped", o.ELIGIBLE_CTE, _INV, _CAP))
 def capped_weights(spark, sf_dir):
     return r6(portfolio.capped(_inverse(panel_of(spark, sf_dir))))
 
@@ -528,37 +528,40 @@ def position_sizing(spark, sf_dir):
     return portfolio.sized(portfolio.capped(_inverse(p)), p)
 
 
-@register("ledoit_wolf")
-def ledoit_wolf(spark, sf_dir):
-    return portfolio.shrunk_pairs(portfolio.recent_returns(panel_of(spark, sf_dir))).select("a", "b", F.round("cov", 8).alias("cov"))
-
-
 @register("hrp_weights")
 def hrp_weights(spark, sf_dir):
-    p = portfolio.recent_returns(panel_of(spark, sf_dir))
-    return r6(portfolio.hrp_weights(p.select(F.lit("all").alias("portfolio"), "ticker", "d_idx", "ret")))
+    return r6(portfolio.hrp_weights(_market(spark, sf_dir)))
+
+
+@register("hrp_portfolio")
+def hrp_portfolio(spark, sf_dir):
+    """The positions of the baseline portfolio: risk parity of the eligible tickers, capped by weight and by liquidity."""
+    p = panel_of(spark, sf_dir)
+    chosen = portfolio.selection(backtest.eligibility(p)).select("ticker")
+    weights = portfolio.hrp_weights(_market(spark, sf_dir).join(chosen, "ticker", "left_semi")).select("ticker", "weight")
+    return portfolio.sized(portfolio.capped(weights), p)
 
 
 # ---------------------------------------------------------------- dashboard
 
 
-@register("dash_performance", o.q("""select ticker, round(last_price, 6) last_price, round(ret_1m_pct, 6) ret_1m_pct, round(ret_3m_pct, 6) ret_3m_pct, round(ret_1y_pct, 6) ret_1y_pct, round(ann_vol_pct, 6) ann_vol_pct from (select ticker, close last_price, 100 * (close / lag(close, 21) over w - 1) ret_1m_pct, 100 * (close / lag(close, 63) over w - 1) ret_3m_pct, 100 * (close / lag(close, 252) over w - 1) ret_1y_pct, 100 * sqrt(252) * stddev_samp(own) over (partition by ticker) ann_vol_pct, row_number() over (partition by ticker order by d_idx desc) k from (select *, ln(close / lag(close) over (partition by ticker order by d_idx)) own from panel where close is not null) window w as (partition by ticker order by d_idx)) where k = 1"""))
+@register("dash_performance", o.q("""select ticker, round(last_price, 6) + 0.0::double last_price, round(ret_1m_pct, 6) + 0.0::double ret_1m_pct, round(ret_3m_pct, 6) + 0.0::double ret_3m_pct, round(ret_1y_pct, 6) + 0.0::double ret_1y_pct, round(ann_vol_pct, 6) + 0.0::double ann_vol_pct from (select ticker, close last_price, 100 * (close / lag(close, 21) over w - 1) ret_1m_pct, 100 * (close / lag(close, 63) over w - 1) ret_3m_pct, 100 * (close / lag(close, 252) over w - 1) ret_1y_pct, 100 * sqrt(252) * stddev_samp(own) over (partition by ticker) ann_vol_pct, row_number() over (partition by ticker order by d_idx desc) k from (select *, ln(close / lag(close) over (partition by ticker order by d_idx)) own from panel where close is not null) window w as (partition by ticker order by d_idx)) where k = 1"""))
 def dash_performance(spark, sf_dir):
     return r6(dashboard.performance(panel_of(spark, sf_dir)))
 
 
-@register("dash_ma50", o.q(f"select ticker, date, round(close, 6) as close, volume, round({o.roll('avg', 'close', 50)}, 6) ma50 from panel where close is not null"))
+@register("dash_ma50", o.q(f"select ticker, date, round(close, 6) + 0.0::double as close, volume, round({o.roll('avg', 'close', 50)}, 6) + 0.0::double ma50 from panel where close is not null"))
 def dash_ma50(spark, sf_dir):
     return r6(dashboard.moving_average(panel_of(spark, sf_dir)))
 
 
-@register("factor_leaderboard", o.q("select strategy, round(sharpe, 3) sharpe, round(100 * ann_return, 2) ann_return_pct, round(100 * max_drawdown, 2) max_drawdown_pct, round(avg_daily_turnover, 4) avg_daily_turnover from perf where strategy <> 'baseline_equal_weight'", *_BT, o.PERF_CTE))
+@register("factor_leaderboard", o.q("select strategy, round(sharpe, 3) + 0.0::double sharpe, round(100 * ann_return, 2) + 0.0::double ann_return_pct, round(100 * max_drawdown, 2) + 0.0::double max_drawdown_pct, round(avg_daily_turnover, 4) + 0.0::double avg_daily_turnover from perf where strategy <> 'baseline_equal_weight'", *_BT, o.PERF_CTE))
 def factor_leaderboard(spark, sf_dir):
     perf = backtest.performance(net_of(spark, panel_of(spark, sf_dir), _ALL)).where(F.col("strategy") != BASELINE)
     return dashboard.leaderboard(perf)
 
 
-@register("dash_audit_by_vr", o.q("select ticker, round(variance_ratio_q5, 6) variance_ratio_q5, round(traded_share, 6) traded_share from stock_audit", o.AUDIT_CTE))
+@register("dash_audit_by_vr", o.q("select ticker, round(variance_ratio_q5, 6) + 0.0::double variance_ratio_q5, round(traded_share, 6) + 0.0::double traded_share from stock_audit", o.AUDIT_CTE))
 def dash_audit_by_vr(spark, sf_dir):
     return r6(dashboard.audit_by_ratio(audit.stock_audit(panel_of(spark, sf_dir))))
 
@@ -573,7 +576,7 @@ def synthetic_demo(spark, sf_dir):
     return generate(spark)
 
 
-@register("stream_daily_bars", "select event_type ticker, ts::date as date, count(*) n, round(max(value), 6) high, round(min(value), 6) low, round(sum(value), 4) volume from events where value is not null group by 1, 2")
+@register("stream_daily_bars", "select event_type ticker, ts::date as date, count(*) n, round(max(value), 6) + 0.0::double high, round(min(value), 6) + 0.0::double low, round(sum(value), 4) + 0.0::double volume from events where value is not null group by 1, 2")
 def stream_daily_bars(spark, sf_dir):
     from ..streaming.bars import bars_once
 

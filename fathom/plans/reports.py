@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import two_sided_p
 from ..operators import audit, backtest, features, forecast, inference, panel, portfolio
 from ..operators.backtest import BASELINE
-from ..operators.factors import NAMES, add_factors, long_scores
+from ..operators.factors import NAMES, add_factors
 from ..sources import files
 
 
@@ -43,6 +43,16 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(row.value) if row else {}
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A saved report's table, with the types that its texts suggest; None if there is no such table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.csv(path, header=True, inferSchema=True)
+    except AnalysisException:
+        return None
+
+
 def _one(df: DataFrame) -> dict:
     row = df.first()
     return row.asDict() if row else {}
@@ -72,58 +82,43 @@ def run_audit(prices: DataFrame) -> Report:
             "reading": None if ratio is None else "returns trend" if ratio > 1 else "returns revert",
         },
         "autocorrelation_ljung_box_significant": s["autocorrelation_ljung_box_significant"], "momentum_spread_check": spread,
+        "interpretation": "Returns can be forecast if many tickers reject the random walk and the momentum spread is positive with a t-statistic above 2; else a backtest has little to find.",
     }
     columns = "ticker string, days long, ann_vol double, traded_share double, variance_ratio_q5 double, ljung_box_p double, vr_p_value double"
     rows = [tuple(r[c.split()[0]] for c in columns.split(", ")) for r in stocks]
     return Report(numbers, {"stock_audit": prices.sparkSession.createDataFrame(rows, columns)})
 
 
-def strategy_returns(p: DataFrame, names: list[str], every: int = 5, quantile: float = 0.20, cost_bps: float = 100.0, warmup: int = 130) -> DataFrame:
-    """(strategy, date, d_idx, gross, turnover, net) of factors (and the baseline) from the warm-up on."""
-    rows = backtest.eligibility(p)
-    marks = rows.select("ticker", "d_idx", "eligible")
-    scores = marks.select(F.lit(BASELINE).alias("strategy"), "ticker", "d_idx", F.lit(1.0).alias("score"), "eligible")
-    if own := [n for n in names if n != BASELINE]:
-        scores = scores.unionByName(long_scores(add_factors(rows, own), own).join(marks, ["ticker", "d_idx"]).select(*scores.columns))
-    q = F.when(F.col("strategy") == BASELINE, 1.0).otherwise(quantile)
-    days = p.select("date", "d_idx").distinct()
-    listed = p.sparkSession.createDataFrame([(n,) for n in {*own, BASELINE}], "strategy string")
-    return backtest.on_calendar(days, listed, backtest.daily(backtest.held(backtest.targets(scores, every, q), days), p, cost_bps), warmup)
-
-
-def active_returns(net: DataFrame) -> DataFrame:
-    """(strategy, d_idx, x): what each strategy earns over the baseline."""
-    flat = net.where(F.col("strategy") == BASELINE).select("d_idx", F.col("net").alias("n0"))
-    return net.where(F.col("strategy") != BASELINE).join(flat, "d_idx").select("strategy", "d_idx", (F.col("net") - F.col("n0")).alias("x"))
+# The names of the gates.
+GATES = ["sharpe_positive", "beats_baseline_ci", "reality_check_significant", "deflated_sharpe_solid"]
 
 
 def gates(best: dict, check: dict, deflated: dict) -> dict[str, bool]:
     """Whether the best factor may be deployed: it must earn, more than the baseline, more than luck in its family, and more than luck among so many trials."""
-    return {
-        "net_sharpe_positive": (best.get("sharpe") or 0) > 0, "beats_baseline_bootstrap": (best.get("ci05") or 0) > 0,
-        "survives_reality_check": check.get("p_value", 1.0) < 0.05, "deflated_sharpe_above_90pct": deflated.get("dsr", 0.0) > 0.90,
-    }
+    ci05 = best.get("active_vs_baseline", {}).get("ci05", -1)
+    passed = ((best.get("sharpe") or 0) > 0, ci05 > 0, check.get("p_value", 1.0) < 0.05, deflated.get("dsr", 0.0) > 0.90)
+    return dict(zip(GATES, passed, strict=True))
 
 
 def run_backtest(prices: DataFrame, cost_bps: float = 100.0, rebalance_days: int = 5, top_quantile: float = 0.20, warmup: int = 130, seed: int = 7, replicates: int = 2000) -> Report:
     spark = prices.sparkSession
-    net = strategy_returns(panel.to_panel(prices), NAMES, rebalance_days, top_quantile, cost_bps, warmup).persist()
+    net = backtest.net_returns(panel.to_panel(prices), [*NAMES, BASELINE], rebalance_days, top_quantile, cost_bps, warmup).persist()
     try:
-        active = active_returns(net)
-        perf = {r.strategy: r.asDict() for r in backtest.performance(net).collect()}  # a row for each strategy
-        for r in inference.bootstrap(active, replicates, seed).collect():  # a row for each factor
-            perf[r.strategy] |= r.asDict()
-        check = inference.reality_check(spark, active, seed=seed + 99)
+        active = backtest.active(net)
+        perf = {r.strategy: {k: v for k, v in r.asDict().items() if k != "strategy"} for r in backtest.performance(net).collect()}  # a row for each strategy
+        for r in inference.bootstrap(active, replicates, seed, list(NAMES)).collect():  # a row for each factor
+            perf[r.strategy]["active_vs_baseline"] = {k: v for k, v in r.asDict().items() if k != "strategy"}
+        check = inference.reality_check(active, seed=seed + 99)
         ranking = sorted(NAMES, key=lambda n: (-(-9.0 if perf[n]["sharpe"] is None else perf[n]["sharpe"]), n))
-        deflated = inference.deflated_sharpe(net, ranking[0], len(NAMES))
+        deflated = inference.deflated_sharpe(net, len(NAMES))[ranking[0]]
         daily = spark.createDataFrame(net.groupBy("date").pivot("strategy", [BASELINE, *NAMES]).agg(F.first("net")).orderBy("date").toPandas())  # a row for each date
     finally:
         net.unpersist()
     passed = gates(perf[ranking[0]], check, deflated)
     numbers = {
         "baseline_equal_weight": perf.pop(BASELINE), "factors": perf, "ranking": ranking, "best_factor": ranking[0], "reality_check": check,
-        "deflated_sharpe_best": deflated, "deployment_gates": passed, "production_verdict": f"deploy {ranking[0]}" if all(passed.values()) else "hold the baseline",
-        "frictions": {"cost_bps": cost_bps, "rebalance_days": rebalance_days, "top_quantile": top_quantile},
+        "deflated_sharpe_best": deflated, "deployment_gates": passed, "production_verdict": f"DEPLOYER {ranking[0]}" if all(passed.values()) else "RESTER SUR LE BASELINE: no factor passes every statistical gate.",
+        "frictions": {"cost_bps_per_side": cost_bps, "rebalance_days": rebalance_days, "top_quantile": top_quantile},
     }
     return Report(numbers, {"strategy_daily_returns": daily})
 
@@ -143,6 +138,7 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
         market = panel.market_series(p)
         base = forecast.market_base(market).first().base
         now = forecast.latest(rows)
+        best = max((r["ic"] or 0.0 for r in skill.values()), default=0.0)
         weight = lambda k: min(max(5 * (skill[k]["ic"] or 0.0), 0.0), 0.5) if k in skill else 0.0
         table = spark.createDataFrame([(k, h, base, weight(k), *((bounds[k].low, bounds[k].high) if k in bounds else (None, None))) for k, h in horizons.items()], "horizon string, h int, base double, skill_weight double, low double, high double")
         raw = forecast.final_forecasts(data.where(F.col("horizon").isin(list(sizes))), now, model)
@@ -155,6 +151,7 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
             "as_of": last, "universe": now.count(), "market_regime": forecast.market_regime(market),
             "horizons": {k: {"oos_samples": sizes.get(k, 0), "skill": skill.get(k), "forecast_shrinkage": weight(k)} for k in horizons},
             "quarterly_top10_backtest": _one(forecast.quarterly(oos.where("horizon = '3M'"))), "top10_3m": [r.asDict() for r in tables["top10"].collect()],
+            "honesty_note": f"A forecast is the market's mean plus the model's difference from it, weighted by the model's skill out of sample. The best information coefficient is {best:.3f}; without skill, forecasts stay at the market's mean.",
         }
     finally:
         for df in (p, rows, oos):
@@ -181,12 +178,13 @@ def build_portfolio(prices: DataFrame, capital: float = 100_000.0, verdict: dict
         weights = spark.createDataFrame(got, "ticker string, weight double") if good else portfolio.inverse_volatility(p, chosen)
         out = portfolio.sized(portfolio.capped(weights), p, capital)
         table = spark.createDataFrame(out.collect(), out.schema)
-        invested = table.agg(F.coalesce(F.sum("target_mad"), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+        invested = table.agg(F.coalesce(F.sum("weight_pct"), F.lit(0.0)).alias("pct"), F.count(F.lit(1)).alias("n")).first()
         last = p.agg(F.max("date")).first()[0]
     finally:
         p.unpersist()
     numbers = {
-        "as_of": last, "mode": f"factor {factor}" if factor else "baseline", "capital_mad": capital, "positions": invested.n,
-        "invested_pct": round(100 * invested.s / capital, 2) if capital else None, "estimated_entry_cost_pct": round(invested.s / capital * cost_bps / 100, 4) if capital else None,
+        "as_of": last, "mode": f"factor:{factor}" if factor else "baseline_equal_weight (no factor passes the statistical gates)", "capital_mad": capital, "positions": invested.n,
+        "invested_pct": invested.pct, "estimated_entry_cost_pct": cost_bps / 100.0,
+        "note": "Weights follow risk, with 12 % of the capital and three days of median volume at most for each position. The baseline holds the liquid market at the least cost, as no signal is proven.",
     }
     return Report(numbers, {"current_portfolio": table})

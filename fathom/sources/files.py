@@ -6,8 +6,10 @@ layouts and not of files. Only names of files and their headers reach the driver
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,8 +86,13 @@ def listed(spark: SparkSession, raw_dir: str) -> list[str]:
     return sorted(r.path for r in files.where(F.lower("path").rlike(r"\.(csv|txt|xlsx|xlsm|xls)$")).collect())  # a row for each file
 
 
+def _cells(header: str, sep: str) -> list[str]:
+    """The names in a header line; a separator inside quotes is part of a name."""
+    return [c.strip().lstrip("\ufeff").strip() for c in next(csv.reader([header.lstrip("\ufeff")], delimiter=sep), [])]
+
+
 def _separator(header: str) -> str | None:
-    return next((s for s in SEPARATORS if s in header), None)
+    return next((s for s in SEPARATORS if len(_cells(header, s)) > 1), None)
 
 
 def delimited(spark: SparkSession, paths: list[str]) -> list[Block]:
@@ -97,12 +104,12 @@ def delimited(spark: SparkSession, paths: list[str]) -> list[Block]:
     first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "id").alias("header")).collect()  # a row for each file
     alike: dict[str, list[str]] = {}
     for r in first:
-        alike.setdefault(r.header, []).append(r.path.replace("%20", " "))
+        alike.setdefault(r.header, []).append(unquote(r.path))
     out = []
     for header, group in sorted(alike.items()):
         if (sep := _separator(header)) is None:
             continue
-        names = [h.strip().strip('"').lstrip("﻿") for h in header.split(sep)]
+        names = _cells(header, sep)
         schema = ", ".join(f"c{i} string" for i in range(len(names)))
         read = spark.read.schema(schema).csv(sorted(group), sep=sep, header=True).dropna("all")
         rows = read.select(meta("file_path").alias("_src"), F.struct(meta("file_block_start").alias("at"), F.monotonically_increasing_id().alias("id")).alias("_row"), meta("file_path").alias("_file"), "*")
@@ -137,7 +144,8 @@ def long_prices(block: Block) -> DataFrame | None:
     volume = find_column(block.header, HEADERS["volume"])
     ticker = find_column([c for c in block.header if c not in (*found.values(), volume)], HEADERS["ticker"])
     taken = {*found.values(), ticker}
-    stem = F.regexp_extract(F.col("_file"), r"([^/]+)\.[^./]*$", 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B"))), F.col("_file"))  # Spark names texts by URI, workbooks by path
+    stem = F.regexp_extract(plain, r"([^/]+)\.[^./]*$", 1)
     optional = {k: c for k in OPTIONAL if (c := find_column(block.header, HEADERS[k])) and c not in taken}
     return valid(
         block.rows.select(

@@ -56,6 +56,8 @@ def test_build_dataset(spark, tmp_path):
     got = {(str(r.date), r.ticker): (r.close, r.volume) for r in prices.collect()}
     assert got[("2025-01-02", "ATTIJARI")] == (512.0, 1200.0)
     assert got[("2025-01-03", "ATTIJARI")] == (600.0, None)  # the later file counts
+    (raw / "IAM été + 50%.csv").write_text('"date, de cotation";"clôture"\n02/01/2025;7\n')
+    assert {r.ticker for r in files.build_dataset(spark, str(raw))[0].collect()} == {"ATTIJARI", "IAM", "BCP", "IAM ÉTÉ + 50%"}
     assert len(got) == 2 + 3 + 3 and ("2025-01-03", "ZERO") not in got
     assert sum("OK (long)" == t["status"] for t in told) == 3 and sum("OK (wide)" == t["status"] for t in told) == 1
     assert [n for n, _ in read_book((raw / "wide.xlsx").read_bytes())] == ["w"]
@@ -65,13 +67,54 @@ def test_synthetic_factors_and_costs(spark):
     prices = synthetic.generate(spark, 20, 320, 3).persist()
     assert prices.count() == 6400 and prices.exceptAll(synthetic.generate(spark, 20, 320, 3)).count() == 0
     p = panel.to_panel(prices)
-    net = {bps: backtest.performance(reports.strategy_returns(p, ["reversal_5d"], cost_bps=bps)).where("strategy = 'reversal_5d'").first().ann_return for bps in (0.0, 100.0)}
+    net = {bps: backtest.performance(backtest.net_returns(p, ["reversal_5d"], cost_bps=bps)).where("strategy = 'reversal_5d'").first().ann_return for bps in (0.0, 100.0)}
     assert net[0.0] > net[100.0]
     report = reports.run_backtest(prices, replicates=200)
     assert len(report.numbers["ranking"]) == 10 and set(report.numbers["deployment_gates"].values()) <= {True, False}
     assert 0 < report.numbers["reality_check"]["p_value"] <= 1
 
 
+def test_whole_command_line(spark, tmp_path, monkeypatch):
+    """ingest, audit, backtest, alpha and portfolio on one folder, each report with its keys."""
+    home, raw = str(tmp_path), tmp_path / "raw"
+    raw.mkdir()
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2022-01-03", periods=330)
+    for k in range(3):
+        frame = pd.DataFrame(100 * np.exp(np.cumsum(rng.normal(0.0004, 0.012, (330, 4)), axis=0)), columns=[f"T{k}{i}" for i in range(4)])
+        frame.insert(0, "Date", days.strftime("%d/%m/%Y"))
+        frame.to_csv(raw / f"wide{k}.csv", sep=";", index=False)
+    assert cli.main(["--home", home, "ingest"], spark)["ingest_metadata"]["tickers"] == 12
+    whole, short = reports.run_backtest, reports.run_alpha
+    monkeypatch.setattr(reports, "run_backtest", lambda *a: whole(*a, replicates=200))
+    monkeypatch.setattr(reports, "run_alpha", lambda prices: short(prices, {"1M": 21}, "ridge"))
+    back = cli.main(["--home", home, "backtest", "--rebalance-days", "10", "--top-quantile", "0.3"], spark)["factor_backtest"]
+    assert back["frictions"] == {"cost_bps_per_side": 100.0, "rebalance_days": 10, "top_quantile": 0.3}
+    assert set(back["factors"][back["best_factor"]]["active_vs_baseline"]) == {"mean_ann", "ci05", "ci95", "p_le_0"}
+    alpha = cli.main(["--home", home, "alpha"], spark)["alpha_report"]
+    assert {"as_of", "universe", "horizons", "market_regime", "quarterly_top10_backtest", "top10_3m", "honesty_note"} <= set(alpha)
+    got = cli.main(["--home", home, "all", "--cost-bps", "50", "--capital", "5000"], spark)
+    assert set(got) == {"ingest_metadata", "market_audit", "factor_backtest", "alpha_report", "portfolio_report"}
+    assert got["portfolio_report"]["capital_mad"] == 5000 and "interpretation" in got["market_audit"]
+
+
+def test_stream_keeps_to_its_table_and_zone(spark, tmp_path):
+    from fathom.streaming.bars import bars_once, daily_bars
+
+    rows = [("a", f"2025-01-0{1 + i % 3} 23:30:00", float(i)) for i in range(30)] + [("a", None, 1.0), ("b", "2025-01-01 00:00:00", None)]
+    events = spark.createDataFrame(rows, "event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    events.write.parquet(str(tmp_path / "events.parquet.old"))
+    want = sorted(map(tuple, daily_bars(events).collect()))
+    assert sorted(map(tuple, bars_once(spark, str(tmp_path / "events.parquet")).collect())) == want and len(want) == 3
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Africa/Casablanca")
+        assert sorted(map(tuple, bars_once(spark, str(tmp_path / "events.parquet")).collect())) == sorted(map(tuple, daily_bars(events).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_no_look_ahead(spark):
     prices = synthetic.generate(spark, 6, 200, 12)
     cut = prices.where(F.col("date") <= F.lit(pd.bdate_range("2024-07-01", periods=200)[150].date()))
@@ -94,7 +137,7 @@ def test_statistics(spark):
     assert 0.9 < vr["N"].vr < 1.1 < vr["T"].vr
     assert lb["N"].p_value > 0.01 and lb["T"].p_value < 0.001
     assert deflated(0.05, 0.0, 3.0, 400, 100)[1] < deflated(0.05, 0.0, 3.0, 400, 1)[1] == 1.0
-    w = portfolio.hrp(pd.DataFrame(rng.normal(0, 0.01, (200, 8)), columns=[f"S{i}" for i in range(8)]))
+    w = portfolio.hrp(np.cov(rng.normal(0, 0.01, (8, 200))))
     assert abs(w.sum() - 1) < 1e-9 and w.min() > 0
     got = spark.createDataFrame([(-0.2,), (0.0,), (0.05,)], "ic double").select(skill_weight(F.col("ic"))).collect()
     assert [r[0] for r in got] == [0.0, 0.0, 0.25]
@@ -106,7 +149,10 @@ def test_command_line(spark, tmp_path):
     got = cli.main(["--home", home, "audit"], spark)
     assert got["market_audit"]["tickers"] == 12
     got = cli.main(["--home", home, "portfolio"], spark)["portfolio_report"]
-    assert got["mode"] == "baseline" and 0 < got["invested_pct"] <= 100
+    assert got["mode"].startswith("baseline_equal_weight") and 0 < got["invested_pct"] <= 100 and got["note"]
+    table = reports.read_table(spark, f"{home}/reports/current_portfolio.csv").toPandas()
+    assert got["invested_pct"] == pytest.approx(table.weight_pct.sum()) and got["estimated_entry_cost_pct"] == 1.0
+    assert reports.read_table(spark, f"{home}/reports/none.csv") is None
     assert reports.read_json(spark, f"{home}/reports/portfolio_report.json")["positions"] == got["positions"]
     assert reports.read_json(spark, f"{home}/reports/none.json") == {} and json.dumps(got, default=str)
     alpha = reports.run_alpha(files.load_prices(spark, f"{home}/processed/prices"), {"1M": 21, "3M": 63}, "ridge")
