@@ -15,16 +15,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, text_chunks, written
+from .shared import id_and_text, let_go, text_chunks, written
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, TIMESTAMP_SCALE, DURATION = 0x4282, 0x2AD7B1, 0x4489
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
@@ -54,7 +56,7 @@ def element(kind: int, body: bytes | int | float) -> bytes:
 
 
 _HEAD = element(EBML, element(DOC_TYPE, b"matroska"))
-_TRACK = element(TRACKS, element(TRACK_ENTRY, element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, float(RATE)) + element(CHANNELS, 1) + element(BIT_DEPTH, 8))))
+_TRACK = element(TRACKS, element(TRACK_ENTRY, element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, float(RATE)) + element(CHANNELS, 1) + element(BIT_DEPTH, 8))))
 
 
 def mux(samples: bytes) -> bytes:
@@ -92,6 +94,7 @@ class Media:
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: int = 0
     duration_ns: float = 0.0
+    scale: int = 1_000_000
 
 
 def vint(data, at: int, marker: bool = False) -> tuple[int | None, int]:
@@ -172,10 +175,40 @@ def block(data, a: int, b: int) -> tuple[int, int, int, list[tuple[int, int]]]:
     return track, relative, flags, frames
 
 
+def _lasting(data, entry: dict[int, tuple[int, int]]) -> tuple[float, float]:
+    """Of a track: nanoseconds of each frame, and of each of its bytes (of samples as they are); zero where the file doesn't tell."""
+    if DEFAULT_DURATION in entry:
+        return float(_number(data, *entry[DEFAULT_DURATION])), 0.0
+    codec = bytes(data[slice(*entry[CODEC_ID])]) if CODEC_ID in entry else b""
+    if AUDIO not in entry or not codec.startswith(b"A_PCM"):
+        return 0.0, 0.0
+    audio = {k: (a, b) for k, a, b in elements(data, *entry[AUDIO])}
+    rate = _float(data, *audio[SAMPLING_FREQUENCY]) if SAMPLING_FREQUENCY in audio else 8000.0  # the format's default
+    channels = _number(data, *audio[CHANNELS]) if CHANNELS in audio else 1
+    bits = _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0
+    return 0.0, 8e9 / (rate * channels * bits) if rate * channels * bits else 0.0
+
+
+def seek(data: bytes, media: Media, time_ns: int, track: int = 1) -> int | None:
+    """Where the cluster begins in which to look for a time: that of the last cue up to it. None without such a cue."""
+    at = [(t, p) for t, number, p in media.cues if number == track and t <= time_ns]
+    return max(at)[1] if at else None
+
+
+def leads(data: bytes, cue: tuple[int, int, int], scale: int) -> bool:
+    """Whether a cluster begins at the cue's position, and at its time or before."""
+    try:
+        kind, a, b = next(elements(data, cue[2], len(data)))
+        stamp = next((_number(data, x, y) for k, x, y in elements(data, a, b) if k == TIMESTAMP), None)
+    except (ValueError, IndexError, StopIteration):
+        return False
+    return kind == CLUSTER and stamp is not None and stamp * scale <= cue[0]
+
+
 def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a file; raises ValueError if it isn't one."""
+    """Tracks, packets and cues of a file; raises ValueError if it isn't one. Frames that share a block begin one after another where the file tells how long a frame lasts, else all at the block's time."""
     out, scale = Media(), 1_000_000
-    durations: dict[int, float] = {}
+    durations: dict[int, tuple[float, float]] = {}
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise ValueError("not an EBML file")
@@ -197,7 +230,7 @@ def parse(data: bytes) -> Media:
                         if TRACK_NUMBER in got:
                             number = _number(data, *got[TRACK_NUMBER])
                             out.tracks[number] = bytes(data[slice(*got[CODEC_ID])]).decode("ascii", "replace") if CODEC_ID in got else ""
-                            durations[number] = 1e9 * FRAME / RATE
+                            durations[number] = _lasting(data, got)
             elif kind == CLUSTER:
                 out.clusters += 1
                 stamp = 0
@@ -214,9 +247,11 @@ def parse(data: bytes) -> Media:
                         inner = []
                     for start, stop, lasts in inner:
                         track, relative, flags, frames = block(data, start, stop)
-                        each = lasts * scale / len(frames) if lasts is not None else durations.get(track, 0)
-                        t = (stamp + relative) * scale
-                        out.packets += [(track, int(t + i * each), bool(flags & 0x80) or k == BLOCK_GROUP, p, n) for i, (p, n) in enumerate(frames)]
+                        each, of_byte = (lasts * scale / len(frames), 0.0) if lasts is not None else durations.get(track, (0.0, 0.0))
+                        t, key = float((stamp + relative) * scale), bool(flags & 0x80) or k == BLOCK_GROUP
+                        for p, n in frames:
+                            out.packets.append((track, int(t), key, p, n))
+                            t += each or n * of_byte
             elif kind == CUES:
                 for k, x, y in elements(data, a, b):
                     if k == CUE_POINT:
@@ -231,19 +266,16 @@ def parse(data: bytes) -> Media:
                         raw_cues.append((time, track, position))
         out.cues += [(t * scale, track, base + p) for t, track, p in raw_cues]
         out.duration_ns *= scale
+        out.scale = scale
     return out
 
 
-def payload(data: bytes, media: Media, track: int = 1) -> bytes:
-    """The bytes of a track's packets, in the order of the file."""
-    return b"".join([data[p : p + n] for number, _, _, p, n in media.packets if number == track])
-
-
-def feature(samples: bytes, media: Media) -> str:
-    """Packets, clusters, cues, milliseconds, then mean, deviation and mean step of the samples, in thousandths."""
+def feature(samples: bytes, packets: int, data: bytes, media: Media) -> str:
+    """Packets, clusters, cues that lead to their cluster, milliseconds, then mean, deviation and mean step of the samples, in thousandths."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
     steps = np.abs(np.diff(x)).mean() if len(x) > 1 else 0.0
-    numbers = [len(media.packets), media.clusters, len(media.cues), int(media.duration_ns // 1_000_000), *(int(round(1000 * float(v))) for v in ((x.mean(), x.std(), steps) if len(x) else (0, 0, 0)))]
+    cues = sum(leads(data, c, media.scale) for c in media.cues)
+    numbers = [packets, media.clusters, cues, int(media.duration_ns // 1_000_000), *(int(round(1000 * float(v))) for v in ((x.mean(), x.std(), steps) if len(x) else (0, 0, 0)))]
     return ":".join(map(str, numbers))
 
 
@@ -256,6 +288,7 @@ def padded(text: bytes) -> bytes:
 
 
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for a, b, texts in text_chunks(batch):
             media = pa.array([mux(padded(t)) for t in texts], pa.binary())
@@ -267,14 +300,28 @@ def to_media(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
 
 
+PACKETS = {"packet": pa.int32(), "track": pa.int32(), "timestamp_ns": pa.int64(), "keyframe": pa.bool_(), "start": pa.int64(), "size": pa.int64()}
+
+
+def packet_table(media: Media) -> pa.RecordBatch:
+    """A row for each packet of a file, in the order of the file."""
+    columns = list(zip(*((i, *p) for i, p in enumerate(media.packets)), strict=True)) or [()] * len(PACKETS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PACKETS.values(), strict=True)], list(PACKETS))
+
+
+def payload(data: bytes, packets: pa.RecordBatch, track: int = 1) -> bytes:
+    """The bytes of a track's packets, by their ranges in the packet table."""
+    mine = packets.filter(pc.equal(packets.column("track"), track))
+    return b"".join([data[p : p + n] for p, n in zip(mine.column("start").to_pylist(), mine.column("size").to_pylist(), strict=True)])
+
+
 def _packet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "packet", "track", "timestamp_ns", "keyframe", "start", "size"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
     for batch in batches:
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            rows = [(doc_id, i, *p) for i, p in enumerate(parse(data).packets)] if data else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for i, data in enumerate(batch.column("media")):
+            if data.is_valid and len(raw := data.as_py()):
+                rows = packet_table(parse(raw))
+                doc_id = pa.repeat(batch.column("doc_id")[i], rows.num_rows)
+                yield pa.RecordBatch.from_arrays([doc_id, *rows.columns], ["doc_id", *PACKETS])
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -283,14 +330,17 @@ def packets(media: DataFrame) -> DataFrame:
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for data in batch.column("media").to_pylist():
+        for value in batch.column("media"):
+            data = value.as_py()
             media = parse(data)
-            samples = payload(data, media)
-            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, media)))
+            found = packet_table(media)
+            samples = payload(data, found)
+            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, found.num_rows, data, media)))
         if rows:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
