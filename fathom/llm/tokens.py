@@ -35,6 +35,8 @@ TAILS = 50_000
 _MAGIC = b"FIDS"
 _HEAD = struct.Struct("<4sBBHIQ")
 BLOCK = 1024
+#: The doc_id of files for documents without one.
+NO_ID = -(1 << 63)
 FILE_IDS = 1 << 20
 
 
@@ -231,12 +233,13 @@ def _to_files(path: str, split: str | None, end_id: int):
 def write_ids(docs: DataFrame, path: str, tokenizer: str, split: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of all documents, each followed by end_id, in ascending doc_id order to a folder of files.
 
-    Null texts are empty. Rows without a doc_id are left out, as the format needs one. Repeated rows are written as
-    often as they occur, next to each other. An empty table gives an empty folder.
+    Null texts are empty. Rows without a doc_id come first, under the number NO_ID. Repeated rows are written as often
+    as they occur, next to each other. An empty table gives an empty folder.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_text(docs).where("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    rows = rows.repartitionByRange(n, "doc_id", "t").sortWithinPartitions("doc_id", "t")  # t: so that rows that share a doc_id needn't share a task
     rows.mapInArrow(_to_files(tokenizer, split, end_id), "part int, seq int, n_ids long, file binary").write.parquet(path)
 
 
@@ -253,7 +256,7 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files of write_ids(): start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files of write_ids(), doc_id null for NO_ID: start counts the ids of all documents before."""
     schema = "part int, seq int, n_ids long, file binary"
     files = spark.read.schema(schema).parquet(path)
     # Bases of parts: a row for each, so one task does; bases of files within a part: by part.
@@ -264,7 +267,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     file_base = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("f0"))
     base = file_base.join(part_base, "part").select("part", "seq", (F.col("p0") + F.col("f0")).alias("base"))
     digests = files.select("part", "seq", "file").mapInArrow(_from_files, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return digests.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return digests.join(base, ["part", "seq"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3(docs: DataFrame, tokenizer: str) -> DataFrame:
