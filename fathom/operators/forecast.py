@@ -270,6 +270,15 @@ def blended(now: DataFrame, horizons: DataFrame, raw: DataFrame) -> DataFrame:
     return all_.select("ticker", "horizon", pct(mix).alias("expected_return_pct"), pct(F.col("raw")).alias("raw_model_return_pct"), pct(mix + F.col("low")).alias("low_5pct"), pct(mix + F.col("high")).alias("high_95pct"), "skill_weight")
 
 
+def horizon_table(oos: DataFrame, horizons: dict[str, int], market: DataFrame) -> DataFrame:
+    """(horizon, h, base, skill_weight, low, high, oos_samples, ic, t_stat, n, mode): a row for each horizon, with what blended() needs; no forecasts out of sample, no trust in the model."""
+    named = oos.sparkSession.createDataFrame(list(horizons.items()), "horizon string, h int")
+    sizes = oos.groupBy("horizon").agg(F.count(F.lit(1)).alias("oos_samples"))
+    all_ = named.join(sizes, "horizon", "left").join(ic_summary(oos), "horizon", "left").join(residual_bounds(oos), "horizon", "left")
+    trust = F.coalesce(skill_weight(F.col("ic")), F.lit(0.0))
+    return all_.select("horizon", "h", market_base(market).scalar().alias("base"), trust.alias("skill_weight"), "low", "high", F.coalesce("oos_samples", F.lit(0)).alias("oos_samples"), "ic", "t_stat", "n", "mode")
+
+
 # What a feature of high rank is called in reasons.
 REASONS = {
     "mom_63": "momentum 3 mois fort", "mom_126": "momentum 6 mois fort", "mom_21": "momentum 1 mois fort", "dist_52w_high": "proche de son plus-haut 52 semaines",

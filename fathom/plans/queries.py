@@ -193,7 +193,8 @@ def eligibility(spark, sf_dir):
 
 
 def net_of(spark: SparkSession, panel: DataFrame, names: list[str], warmup: int = 130) -> DataFrame:
-    return backtest.net_returns(panel, names, warmup=warmup)
+    """Net returns over a panel that is written first: scores, returns and the calendar each read it."""
+    return backtest.net_returns(written(spark, panel, "panel"), names, warmup=warmup)
 
 
 @register("weights_momentum", o.q("select date, ticker, round(weight, 6) + 0.0::double weight from weights join cal using (d_idx)", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["momentum_126_21"]), o.NET_CTE))
@@ -465,6 +466,34 @@ def gbm_forecast(spark, sf_dir):
     return r6(forecast.walk_forward(_daily_samples(spark, sf_dir)))
 
 
+def _alpha(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the report makes of the ridge alone: skill by horizon, forecasts of the last date, and that date's features."""
+    panel = written(spark, panel_of(spark, sf_dir), "panel")
+    rows = written(spark, features.add_targets(features.add_features(panel)), "features")
+    data, now = forecast.samples(rows, features.HORIZONS), forecast.latest(rows)
+    table = forecast.horizon_table(forecast.walk_forward(data, model="ridge"), features.HORIZONS, panels.market_series(panel))
+    return table, forecast.blended(now, table, forecast.final_forecasts(data, now, "ridge")), now
+
+
+@register("alpha_horizons")
+def alpha_horizons(spark, sf_dir):
+    """The skill of each horizon, and the trust that its forecasts get."""
+    return r6(_alpha(spark, sf_dir)[0])
+
+
+@register("alpha_forecasts")
+def alpha_forecasts(spark, sf_dir):
+    """The forecasts of the last date, of every ticker and horizon."""
+    return r6(_alpha(spark, sf_dir)[1])
+
+
+@register("alpha_top10")
+def alpha_top10(spark, sf_dir):
+    """The ten best forecasts for three months, with reasons, as the dashboard shows them."""
+    _, forecasts, now = _alpha(spark, sf_dir)
+    return dashboard.top_ten(forecast.top_ten(forecasts, now))
+
+
 @register("regime")
 def regime(spark, sf_dir):
     got = forecast.market_regime(panels.market_series(panel_of(spark, sf_dir)))

@@ -102,7 +102,8 @@ def gates(best: dict, check: dict, deflated: dict) -> dict[str, bool]:
 
 def run_backtest(prices: DataFrame, cost_bps: float = 100.0, rebalance_days: int = 5, top_quantile: float = 0.20, warmup: int = 130, seed: int = 7, replicates: int = 2000) -> Report:
     spark = prices.sparkSession
-    net = backtest.net_returns(panel.to_panel(prices), [*NAMES, BASELINE], rebalance_days, top_quantile, cost_bps, warmup).persist()
+    p = panel.to_panel(prices).persist()
+    net = backtest.net_returns(p, [*NAMES, BASELINE], rebalance_days, top_quantile, cost_bps, warmup).persist()
     try:
         active = backtest.active(net)
         perf = {r.strategy: {k: v for k, v in r.asDict().items() if k != "strategy"} for r in backtest.performance(net).collect()}  # a row for each strategy
@@ -114,6 +115,7 @@ def run_backtest(prices: DataFrame, cost_bps: float = 100.0, rebalance_days: int
         daily = spark.createDataFrame(net.groupBy("date").pivot("strategy", [BASELINE, *NAMES]).agg(F.first("net")).orderBy("date").toPandas())  # a row for each date
     finally:
         net.unpersist()
+        p.unpersist()
     passed = gates(perf[ranking[0]], check, deflated)
     numbers = {
         "baseline_equal_weight": perf.pop(BASELINE), "factors": perf, "ranking": ranking, "best_factor": ranking[0], "reality_check": check,
@@ -128,20 +130,17 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
     spark, horizons = prices.sparkSession, horizons or features.HORIZONS
     p = panel.to_panel(prices).persist()
     rows = features.add_targets(features.add_features(p), horizons).persist()
-    oos = None
+    oos = table = None
     try:
         data = forecast.samples(rows, horizons)
         oos = forecast.walk_forward(data, model=model).persist()
-        skill = {r.horizon: r.asDict() for r in forecast.ic_summary(oos).collect()}  # a row for each horizon
-        bounds = {r.horizon: r for r in forecast.residual_bounds(oos).collect()}
-        sizes = {r.horizon: r["count"] for r in oos.groupBy("horizon").count().collect()}
         market = panel.market_series(p)
-        base = forecast.market_base(market).first().base
-        now = forecast.latest(rows)
+        table = forecast.horizon_table(oos, horizons, market).persist()
+        by = {r.horizon: r for r in table.collect()}  # a row for each horizon
+        skill = {k: {c: r[c] for c in ("ic", "t_stat", "n", "mode")} for k, r in by.items() if r.oos_samples}
         best = max((r["ic"] or 0.0 for r in skill.values()), default=0.0)
-        weight = lambda k: min(max(5 * (skill[k]["ic"] or 0.0), 0.0), 0.5) if k in skill else 0.0
-        table = spark.createDataFrame([(k, h, base, weight(k), *((bounds[k].low, bounds[k].high) if k in bounds else (None, None))) for k, h in horizons.items()], "horizon string, h int, base double, skill_weight double, low double, high double")
-        raw = forecast.final_forecasts(data.where(F.col("horizon").isin(list(sizes))), now, model)
+        now = forecast.latest(rows)
+        raw = forecast.final_forecasts(data.where(F.col("horizon").isin(list(skill))), now, model)
         forecasts = forecast.blended(now, table, raw)
         top = forecast.top_ten(forecasts, now)
         spark_of = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  a row for each ticker and horizon at most
@@ -149,12 +148,12 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
         last = p.agg(F.max("date")).first()[0]
         numbers = {
             "as_of": last, "universe": now.count(), "market_regime": forecast.market_regime(market),
-            "horizons": {k: {"oos_samples": sizes.get(k, 0), "skill": skill.get(k), "forecast_shrinkage": weight(k)} for k in horizons},
+            "horizons": {k: {"oos_samples": by[k].oos_samples, "skill": skill.get(k), "forecast_shrinkage": by[k].skill_weight} for k in horizons},
             "quarterly_top10_backtest": _one(forecast.quarterly(oos.where("horizon = '3M'"))), "top10_3m": [r.asDict() for r in tables["top10"].collect()],
             "honesty_note": f"A forecast is the market's mean plus the model's difference from it, weighted by the model's skill out of sample. The best information coefficient is {best:.3f}; without skill, forecasts stay at the market's mean.",
         }
     finally:
-        for df in (p, rows, oos):
+        for df in (p, rows, oos, table):
             if df is not None:
                 df.unpersist()
     return Report(numbers, tables)

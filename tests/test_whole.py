@@ -88,6 +88,33 @@ def test_ensemble_is_the_mean_of_both(spark, samples):
     assert len(parts[2]) > 100
 
 
+def test_alpha_by_hand(spark, samples):
+    """Skill, shrinkage and bounds of every horizon and forecast, from the out-of-sample forecasts themselves."""
+    oos = forecast.walk_forward(samples, model="ridge").toPandas()
+    market = plans.panels.market_series(plans.panel_of(spark, DAILY)).toPandas().dropna().sort_values("d_idx").mkt
+    base = market.tail(252).mean()
+    table = {r.horizon: r for r in plans.QUERIES["alpha_horizons"](spark, DAILY).collect()}
+    got = plans.QUERIES["alpha_forecasts"](spark, DAILY).toPandas()
+    for name, h in plans.features.HORIZONS.items():
+        own, r = oos[oos.horizon == name], table[name]
+        days = [(len(d), d.prediction.rank().corr(d.actual.rank())) for _, d in own.groupby("date")]
+        rho = np.array([x for n, x in days if n >= 8 and x == x])
+        ic = rho.mean() if len(rho) >= 20 else own.prediction.rank().corr(own.actual.rank())
+        low, high = np.quantile(own.actual - own.prediction, [0.05, 0.95])
+        assert (r.h, r.oos_samples) == (h, len(own)) and r.ic == pytest.approx(ic, abs=1e-5) and (r.low, r.high) == (pytest.approx(low, abs=1e-5), pytest.approx(high, abs=1e-5))
+        weight = min(max(5 * ic, 0), 0.5)
+        assert r.skill_weight == pytest.approx(weight, abs=1e-5) and r.base == pytest.approx(base, abs=1e-6)
+        for f in got[got.horizon == name].itertuples():
+            raw = np.log1p(f.raw_model_return_pct / 100)
+            mix = base * h + weight * (raw - base * h)
+            of = lambda x: pytest.approx(100 * (np.exp(x) - 1), rel=2e-3, abs=0.02)  # noqa: E731  raw is known to two places only
+            assert (f.expected_return_pct, f.low_5pct, f.high_95pct) == (of(mix), of(mix + low), of(mix + high))
+    assert set(got.horizon) == set(table) and got.ticker.nunique() > 10
+    best = got[got.horizon == "3M"].sort_values(["expected_return_pct", "ticker"], ascending=[False, True]).head(10)
+    top = plans.QUERIES["alpha_top10"](spark, DAILY).toPandas()
+    assert sorted(top.Valeur) == sorted(best.ticker) and top.Pourquoi.str.len().min() > 0
+
+
 def test_trees_learn(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 12))
