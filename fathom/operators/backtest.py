@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import median, roll, trailing
+from ..sources.store import written
 from .factors import add_factors
 from .panel import each_day
 
@@ -70,7 +71,7 @@ def daily(weights: DataFrame, panel: DataFrame, cost_bps: float = 100.0) -> Data
 
 
 def strategies(panel: DataFrame, names: list[str], every: int = 5, quantile: float = 0.20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of the strategies (factors, and the baseline if it is named), the goals at rebalances, and the calendar. Factors, eligibility and scores are columns of one pass over the panel, which then becomes long."""
+    """Scores of the strategies (factors, and the baseline if it is named), the goals at rebalances, and the calendar. Factors, eligibility and scores are columns of one pass over the panel, which then becomes long. Goals are few and used three times, so they are written."""
     own = [n for n in names if n != BASELINE]
     rows = eligibility(panel)
     wide = add_factors(rows, own) if own else rows
@@ -78,7 +79,8 @@ def strategies(panel: DataFrame, names: list[str], every: int = 5, quantile: flo
         wide = wide.withColumn(BASELINE, F.lit(1.0))
     scores = wide.unpivot(["ticker", "d_idx", "eligible"], names, "strategy", "score").select("strategy", "ticker", "d_idx", "score", "eligible")
     share = F.when(F.col("strategy") == BASELINE, 1.0).otherwise(quantile)
-    return scores, targets(scores, every, share), panel.select("date", "d_idx").distinct()
+    goals = written(panel.sparkSession, targets(scores, every, share), "goals")
+    return scores, goals, panel.select("date", "d_idx").distinct()
 
 
 def net_returns(panel: DataFrame, names: list[str], every: int = 5, quantile: float = 0.20, cost_bps: float = 100.0, warmup: int = 130) -> DataFrame:
