@@ -99,8 +99,8 @@ class Chunk:
     def __init__(self, docs: pa.Table, told: pa.Table, window: int):
         let_go()
         self.docs, self.window, self.block = docs, window, window // 2
-        self.number = docs.column("chunk")[0].as_py() if docs.num_rows else -1
-        self.ids = docs.column("doc_id").to_numpy() if docs.num_rows else np.zeros(0, np.int64)
+        self.number = docs.column("chunk")[0].as_py() if docs.num_rows and "chunk" in docs.column_names else -1
+        self.ids = docs.column("doc_id").fill_null(0).to_numpy()  # rows without a doc_id are in no chunk, and compared with none
         lists = {k: [] for k in (COPY, HIT, GONE)}
         for kind, doc_id, data in zip(*(told.column(c).to_pylist() for c in ("kind", "who", "data")), strict=True):
             lists[kind].append((doc_id, data) if kind == COPY else data)
@@ -135,11 +135,10 @@ class Chunk:
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Digests (two numbers each), document and place of the windows over a block that was hit."""
         digests, docs, places = [], [], []
-        for numbers, texts, words in self.parts():
+        for numbers, texts, words in self.parts() if len(self.hits) else ():
             h, doc, at = self.blocks(words)
             h &= _BITS
-            found = np.minimum(np.searchsorted(self.hits, h), max(len(self.hits) - 1, 0))
-            hit = self.hits[found] == h if len(self.hits) else np.zeros(len(h), bool)
+            hit = self.hits[np.minimum(np.searchsorted(self.hits, h), len(self.hits) - 1)] == h
             sums = np.zeros(words.offsets[-1] + self.window + 1, np.int64)
             sums[words.offsets[doc[hit]] + at[hit] + 1] = 1
             sums = np.cumsum(sums)
@@ -290,10 +289,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = True,
     """
     if window < 2:
         raise ValueError("a window has two words at least")
+    spark = docs.sparkSession
     plain = id_and_text(docs, {c: f"__{i}" for i, c in enumerate(extra)})
     named = plain.where("doc_id is not null")
     size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    chunks, buckets = size // CHUNK_TEXT + 1, size // BUCKET_TEXT + 1
+    chunks = size // CHUNK_TEXT + 1
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_TEXT + 1)
     dealt = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     by_chunk = dealt.groupBy("chunk")  # the three passes over the texts use one exchange
 
