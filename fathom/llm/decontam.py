@@ -5,7 +5,8 @@ Every 13-word window of the benchmark is cut into blocks of 7 words at each offs
 of 13 words holds one of them whole, so only every seventh position is hashed and looked up. A hit carries the words
 around it (25 at most) to the windows with that block, where the words themselves are compared.
 
-If the benchmark is larger than ``max_grams`` the set is not sent: all blocks are joined by a shuffle instead.
+If the benchmark is larger than ``max_grams`` the set is not sent: all blocks are joined by a shuffle instead, in which
+Spark splits a block that many documents have (the join's left side may be cut, its right side is the benchmark).
 """
 
 from __future__ import annotations
@@ -95,20 +96,25 @@ def judged(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, bench: DataFrame, what: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (what="spans") with the words that are hit cut from their texts.
 
-    Rows without a doc_id can't be named and stay as they are.
+    Each row is judged by its own text, also where rows share a doc_id or have none. Null and empty texts stay. Other
+    columns are carried along, whatever their names.
     """
-    bad = judged(docs, bench).where("contaminated and doc_id is not null")
-    if what == "documents":
-        return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
-    if what != "spans":
+    if what not in ("documents", "spans"):
         raise ValueError("what must be documents or spans")
-    spans = bad.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
+    text_key = lambda c: F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
+    named = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("t")).alias("doc_id"), "text")
+    bad = judged(named, bench).where("contaminated").groupBy("doc_id").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    bad = bad.select(F.struct("doc_id", "spans").alias("bad"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("bad.doc_id.doc_id")) & (text_key(F.col("row.text")) == F.col("bad.doc_id.t"))
+    if what == "documents":
+        return whole.join(bad, same, "left_anti").select("row.*")
     # pieces: each word with what stands before it; the last may have no word
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    pieces = F.split("text", f"(?<={word})(?!{word})")
-    rest = F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (i >= s.start) & (i < s.end)))
-    joined = docs.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(rest, ""))).select(*docs.columns)
+    pieces = F.split("row.text", f"(?<={word})(?!{word})")
+    rest = F.filter(pieces, lambda p, i: ~F.exists("bad.spans", lambda s: (i >= s.start) & (i < s.end)))
+    text = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(F.array_join(rest, ""))
+    return whole.join(bad, same, "left").select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2(docs: DataFrame, bench: DataFrame) -> DataFrame:
