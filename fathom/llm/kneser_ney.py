@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, crc_mod, id_and_text, kept, let_go, mix, shared_path, text_chunks, written
+from .shared import Words, crc_mod, discard, id_and_text, kept, let_go, mix, shared_path, text_chunks, written
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Words that have this share of all tokens or more are hot.
@@ -279,6 +279,8 @@ def train(docs: DataFrame) -> Model:
     unsigned = F.shiftrightunsigned("w", 32)
     full = full.withColumn("bucket", F.shiftright(unsigned * buckets, 32).cast("int")).unionByName(every, allowMissingColumns=True)
     full.groupBy("bucket").applyInArrow(_write_words(path), "n long").agg(F.sum("n")).collect()
+    discard(spark, words)
+    discard(spark, stats)
     return Model(path, buckets, hot, tokens, vocabulary, d, unknown)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, let_go, shared_dir, text_chunks, written
+from .shared import discard, id_and_text, let_go, shared_dir, text_chunks, written
 
 _SHINGLE = 3
 #: Neighbours that a task emits, about.
@@ -102,7 +102,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours link to the smallest of those
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = written(spark, small, "cc")
+        last, now = now, written(spark, small, "cc")
+        discard(spark, last)
         if was == (was := state(now)):
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
