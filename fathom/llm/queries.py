@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, kneser_ney, matroska, ordinal, packing, sharding, simhash, substring, tokens, toxicity
+from . import alignment, bpe, decontam, kneser_ney, matroska, ordinal, packing, sharding, simhash, substring, tokens, toxicity, vector_codes
 from .shared import table
 
 
@@ -48,5 +48,17 @@ def op10_ordinal_quality(spark, sf_dir):
     return ordinal.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op6_matroska, op7_packing, op8_simhash, op9_kneser_ney, op10_ordinal_quality)}
-ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL}
+def op11_alignment(spark, sf_dir):
+    return alignment.op11(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    return bpe.op12(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.op13(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_ids, op4_substring_dedup, op5_toxicity, op6_matroska, op7_packing, op8_simhash, op9_kneser_ney, op10_ordinal_quality, op11_alignment, op12_byte_bpe, op13_vector_codes)}
+ORACLE_SQL = {"op2_decontamination": decontam.OP2_SQL, "op13_vector_codes": vector_codes.OP13_SQL}

@@ -54,16 +54,17 @@ class Known(dict):
 
 
 class Encoder:
-    """split: "space" for byte-level tokenizers whose words begin with the space before them; "drop" for ones that lower-case and drop white space; None to encode whole texts only."""
+    """split: "space" for byte-level tokenizers whose words begin with the space before them; "drop" for ones that lower-case and drop white space; None to encode whole texts only. plain: strings of special tokens within texts are text like any other."""
 
     #: Latin letters, which no normaliser changes but for case, and ASCII signs after them: two pre-tokens at most.
     WORD = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, split: str | None):
+    def __init__(self, path: str, split: str | None, plain: bool = False, room: int = KNOWN_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split, self.known, self.tails = Tokenizer.from_file(path), split, Known(self._new), {}
+        self.tokenizer.encode_special_tokens, self.room = plain, room
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.runs = re.compile(r"\s\s")
@@ -97,7 +98,7 @@ class Encoder:
 
     def _room(self, parts: list[list]) -> None:
         """Once the table is full: what these texts have too is likely to come again, the rest goes."""
-        if self.known.size > KNOWN_BYTES:
+        if self.known.size > self.room:
             again = {w: self.known[w] for w in set().union(*parts)}
             self.known.clear()
             self.known.update(again)
