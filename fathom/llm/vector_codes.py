@@ -56,7 +56,7 @@ def integers(values: np.ndarray, limit: int) -> np.ndarray:
 
 
 def rows_of(batch: pa.RecordBatch, width: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(kept, rows) some rows at a time: the numbers of the rows that are kept, and their integers, short vectors filled up with zeros."""
+    """(kept, rows) some rows at a time, none if none is kept: the numbers of the rows that are kept, and their integers, short vectors filled up with zeros."""
     column = batch.column("embedding")
     for at in range(0, len(column), ROWS):
         part = column.slice(at, ROWS)
@@ -73,8 +73,8 @@ def rows_of(batch: pa.RecordBatch, width: int, limit: int) -> Iterator[tuple[np.
         whole = integers(values[use], limit)
         out = np.zeros((len(sizes), width), whole.dtype)
         out[row[use], place[use]] = whole
-        kept = np.flatnonzero(good)
-        yield at + kept, out[kept]
+        if len(kept := np.flatnonzero(good)):
+            yield at + kept, out[kept]
 
 
 # ---------------------------------------------------------------- nearest entries
