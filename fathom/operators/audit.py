@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ahead, back, log_ratio
-from ..functions.stats import chi2_sf_even
+from ..functions.stats import chi2_sf
 
 LEAST = 100
 
@@ -39,14 +39,14 @@ def variance_ratio(panel: DataFrame, q: int = 5, corrected: bool = False) -> Dat
 
 
 def ljung_box(panel: DataFrame, lags: int = 10) -> DataFrame:
-    """(ticker, stat, p_value) of lags (an even number) autocorrelations; only tickers with 100 returns or more."""
+    """(ticker, stat, p_value) of so many autocorrelations; only tickers with 100 returns or more."""
     rows = _compact(panel).where(F.col("n") >= LEAST)
     wide = rows.select("ticker", "n", "d", *[(F.col("d") * _lag("d", k)).alias(f"c{k}") for k in range(1, lags + 1)])
     s = wide.groupBy("ticker").agg(F.first("n").alias("n"), F.sum(F.col("d") ** 2).alias("ss"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, lags + 1)])
     ss = F.nullif(F.col("ss"), F.lit(0.0))
     rho2 = sum((((F.col(f"c{k}") / ss) ** 2) / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
     stat = F.col("n") * (F.col("n") + 2) * rho2
-    return s.select("ticker", stat.alias("stat"), chi2_sf_even(stat, lags).alias("p_value"))
+    return s.select("ticker", stat.alias("stat"), chi2_sf(stat, lags).alias("p_value"))
 
 
 def momentum_spreads(panel: DataFrame, lookback: int = 126, skip: int = 21, horizon: int = 21) -> DataFrame:

@@ -1,8 +1,8 @@
 """Is a backtest luck? Bootstraps, the reality check of a family, and the deflated Sharpe ratio.
 
 Draws are tables made by a formula from (replicate, position), so a task that runs again draws the same, and every
-factor of a family is drawn at the same dates. Draws are joined with the returns and averaged by Spark; a factor's
-daily returns are a row for each date of the calendar.
+factor of a family is drawn at the same dates. Single draws are joined with the returns and averaged; a block of days is
+one difference of running sums. A factor's daily returns are a row for each date of the calendar.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import deflated
+from ..functions.stats import luck, normal_cdf, sharpe_sd
+from ..sources.store import written
 from .backtest import YEAR
 
 BLOCK = 10
@@ -74,35 +75,51 @@ def filled(active: DataFrame) -> DataFrame:
     return active.join(at, "d_idx").select("strategy", "k", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def reality_check(active: DataFrame, replicates: int = 1000, seed: int = 106, block: int = BLOCK) -> dict:
-    """White's reality check: how often the best of the family, recentred, does as well by circular blocks of days. {"skipped": True} below 60 days."""
-    rows = filled(active).persist()
-    try:
-        n = rows.agg(F.max("k")).first()[0]
-        n = 0 if n is None else n + 1
-        if n < 60:
-            return {"skipped": True}
-        means = {r.strategy: r.m for r in rows.groupBy("strategy").agg(F.avg("x").alias("m")).collect()}  # a row for each factor
-        best = max(sorted(means), key=lambda s: means[s])
-        statistic = sqrt(n) * means[best]
-        exceed = family_maxima(rows, replicates, seed, block, list(means)).where(F.col("stat") >= statistic).count()
-    finally:
-        rows.unpersist()
-    return {"statistic": statistic, "p_value": (exceed + 1) / (replicates + 1), "best_factor": best, "factors_in_family": len(means)}
+def block_sums(wide: DataFrame, names: list[str], block: int = BLOCK) -> DataFrame:
+    """(k, part, s0, s1, ...): sums of x0, x1, ... over the block that begins at place k and runs on at the first place after the last.
+
+    part 0: of a whole block; 1: of as much of it as the last block of a replicate has. Differences of running sums over
+    the places and the first block again, so a block costs one look-up, whatever its length.
+    """
+    columns = [f"x{i}" for i in range(len(names))]
+    n = wide.agg(F.count(F.lit(1)))
+    again = wide.where(F.col("k") < block).withColumn("k", F.col("k") + n.scalar())
+    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each date
+    ahead = wide.unionByName(again).select("k", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in columns])
+    rest = (n.scalar() - 1) % block + 1
+    lengths = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(block).cast("long").alias("length")), F.struct(F.lit(1).alias("part"), rest.cast("long").alias("length")))).alias("p")
+    start = ahead.where(F.col("k") < n.scalar()).select("k", lengths, *columns).select("k", "p.part", (F.col("k") + F.col("p.length")).alias("end"), *[F.col(c).alias(f"from_{c}") for c in columns])
+    end = ahead.select(F.col("k").alias("end"), *columns)
+    return start.join(end, "end").select("k", "part", *[(F.col(c) - F.col(f"from_{c}")).alias(f"s{i}") for i, c in enumerate(columns)])
 
 
 def family_maxima(rows: DataFrame, replicates: int, seed: int = 106, block: int = BLOCK, names: list[str] | None = None) -> DataFrame:
-    """(rep, stat): the largest recentred mean over factors of each replicate, times the root of the number of places. rows: as filled() gives them."""
+    """(rep, stat): the largest recentred mean over factors of each replicate, times the root of the number of places. rows: as filled() gives them. Replicates are circular blocks of places, of which each is one row of block_sums()."""
     wide, names = by_place(rows, names, "k")
-    n = rows.agg(F.max("k") + 1).scalar()
-    places = wide.select(n.alias("n"), F.col("k").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep"))
-    start = draw(F.col("rep"), F.floor(F.col("i") / block) + F.ceil(F.col("n") / block), F.col("n"), seed)
-    picks = places.select("rep", "n", ((start + F.col("i") % block) % F.col("n")).alias("k"))
-    columns = [f"x{i}" for i in range(len(names))]
-    drawn = picks.join(F.broadcast(wide), "k").groupBy("rep", "n").agg(*[F.avg(c).alias(c) for c in columns])  # bounded: a trading calendar
-    centre = wide.agg(*[F.avg(c).alias(f"m{c}") for c in columns])
-    best = F.array_max(F.array(*[F.col(c) - F.col(f"m{c}") for c in columns]))
-    return drawn.join(F.broadcast(centre)).select("rep", (best * F.sqrt("n")).alias("stat"))  # bounded: one row
+    if not names:
+        return rows.select(F.lit(0).cast("long").alias("rep"), F.lit(0.0).alias("stat")).limit(0)
+    wide = written(rows.sparkSession, wide.na.fill(0.0), "places")  # a row for each date
+    size = wide.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))])
+    reps = rows.sparkSession.range(replicates).select(F.col("id").alias("rep"))
+    blocks = F.ceil(F.col("n") / block)
+    places = reps.join(F.broadcast(size.where("n > 0"))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"))  # bounded: one row
+    picks = places.select("rep", "n", draw(F.col("rep"), F.col("b") + blocks, F.col("n"), seed).alias("k"), (F.col("b") == blocks - 1).cast("int").alias("part"))
+    sums = picks.join(F.broadcast(block_sums(wide, names, block)), ["k", "part"])  # bounded: a trading calendar
+    drawn = sums.groupBy("rep", "n").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))]).join(F.broadcast(size.drop("n")))  # bounded: one row
+    best = F.array_max(F.array(*[F.col(f"s{i}") / F.col("n") - F.col(f"m{i}") for i in range(len(names))]))
+    return drawn.select("rep", (best * F.sqrt("n")).alias("stat"))
+
+
+def reality_check(active: DataFrame, replicates: int = 1000, seed: int = 106, block: int = BLOCK, names: list[str] | None = None) -> DataFrame:
+    """(statistic, p_value, best_factor, factors_in_family) in one row, none below 60 days: White's reality check, how often the best of the family, recentred, does as well by circular blocks of days."""
+    rows = filled(active)
+    every = Window.partitionBy()  # a row for each factor
+    means = rows.groupBy("strategy").agg(F.avg("x").alias("m"), (F.max("k") + 1).alias("n"))
+    ranked = means.select("strategy", "m", F.row_number().over(every.orderBy(F.desc("m"), "strategy")).alias("place"), F.max("n").over(every).alias("n"), F.count(F.lit(1)).over(every).alias("factors_in_family"))
+    best = ranked.where("place = 1 and n >= 60").select((F.sqrt("n") * F.col("m")).alias("statistic"), F.col("strategy").alias("best_factor"), "factors_in_family")
+    each = family_maxima(rows, replicates, seed, block, names).join(F.broadcast(best), how="inner")  # bounded: one row
+    p = (F.count_if(F.col("stat") >= F.col("statistic")) + 1) / (F.count(F.lit(1)) + 1)
+    return each.groupBy("statistic", "best_factor", "factors_in_family").agg(p.alias("p_value")).select("statistic", "p_value", "best_factor", "factors_in_family")
 
 
 def moments(net: DataFrame) -> DataFrame:
@@ -113,13 +130,33 @@ def moments(net: DataFrame) -> DataFrame:
     )
 
 
-def deflated_sharpe(net: DataFrame, trials: int) -> dict[str, dict]:
-    """For each strategy: is its Sharpe ratio more than the best of so many trials by luck? dsr 0 below 60 days or without variation."""
-    out = {}
-    for r in moments(net).collect():  # a row for each strategy
-        if r.n < 60 or r.sr is None:
-            out[r.strategy] = {"dsr": 0.0}
-            continue
-        bar, dsr = deflated(r.sr, r.skew, r.kurtosis, r.n, trials)
-        out[r.strategy] = {"daily_sharpe": r.sr, "annualized_sharpe": r.sr * sqrt(YEAR), "threshold_from_n_trials": bar * sqrt(YEAR), "n_trials": trials, "dsr": dsr}
-    return out
+def deflated_sharpe(net: DataFrame, trials: int) -> DataFrame:
+    """(strategy, daily_sharpe, annualized_sharpe, threshold_from_n_trials, n_trials, dsr): is a strategy's Sharpe ratio more than the best of so many trials by luck? dsr 0, the rest null, below 60 days or without variation."""
+    m = moments(net).withColumn("sd", sharpe_sd(F.col("sr"), F.col("skew"), F.col("kurtosis"), F.col("n"))).withColumn("bar", F.col("sd") * luck(trials))
+    good = (F.col("n") >= 60) & F.col("sr").isNotNull()
+    dsr = normal_cdf((F.col("sr") - F.col("bar")) / F.col("sd")) if trials > 1 else F.lit(1.0)
+    of = lambda c: F.when(good, c)
+    return m.select(
+        "strategy", of(F.col("sr")).alias("daily_sharpe"), of(F.col("sr") * sqrt(YEAR)).alias("annualized_sharpe"), of(F.col("bar") * sqrt(YEAR)).alias("threshold_from_n_trials"),
+        of(F.lit(trials)).alias("n_trials"), F.coalesce(of(dsr), F.lit(0.0)).alias("dsr"),
+    )
+
+
+def ranking(perf: DataFrame) -> DataFrame:
+    """perf (strategy, sharpe, ...) with place, 1 for the highest Sharpe ratio; unknown ones count as -9; ties by name."""
+    w = Window.orderBy(F.desc(F.coalesce("sharpe", F.lit(-9.0))), "strategy")  # a row for each factor
+    return perf.withColumn("place", F.row_number().over(w))
+
+
+# The names of the gates.
+GATES = ["sharpe_positive", "beats_baseline_ci", "reality_check_significant", "deflated_sharpe_solid"]
+
+
+def gates(perf: DataFrame, boot: DataFrame, check: DataFrame, deflated: DataFrame) -> DataFrame:
+    """(strategy, gate, passed): whether the best factor may be deployed. It must earn, more than the baseline, more than luck in its family, and more than luck among so many trials. What isn't known isn't passed."""
+    best = ranking(perf).where("place = 1").select("strategy", "sharpe")
+    all_ = best.join(boot.select("strategy", "ci05"), "strategy", "left").join(deflated.select("strategy", "dsr"), "strategy", "left")
+    p = check.agg(F.min("p_value")).scalar()
+    passed = [F.col("sharpe") > 0, F.col("ci05") > 0, p < 0.05, F.col("dsr") > 0.90]
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.coalesce(c, F.lit(False)).alias("passed")) for g, c in zip(GATES, passed, strict=True)]))
+    return all_.select("strategy", each.alias("g")).select("strategy", "g.gate", "g.passed")

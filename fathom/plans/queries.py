@@ -13,6 +13,7 @@ from ..operators.factors import NAMES, add_factors, long_scores, zscore
 from ..sources.adapter import sales_prices
 from ..sources.store import written
 from . import oracle as o
+from .oracle import luck_in_numbers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -255,11 +256,12 @@ def _draw(rep: str, i: str, n: str, seed: int) -> str:
     return f"((((({x}) * 48271) % 2147483647) * 69621) % 2147483647) % {n}"
 
 
-def _bootstrap_sql(replicates: int, *ctes: str) -> str:
-    return o.q("""select strategy, round(any_value(m), 6) + 0.0::double mean_ann, round(quantile_cont(mean, 0.05), 6) + 0.0::double ci05, round(quantile_cont(mean, 0.95), 6) + 0.0::double ci95, round(avg((mean <= 0)::int::double), 6) + 0.0::double p_le_0
-from (select d.strategy, d.rep, avg(t.x) * 252 mean, any_value(t.m) * 252 m from draws d join at_ t on t.strategy = d.strategy and t.k = d.k group by d.strategy, d.rep) group by strategy""", *ctes,
-        "at_ as (select strategy, x, row_number() over (partition by strategy order by d_idx) - 1 k, count(*) over (partition by strategy) n, avg(x) over (partition by strategy) m from active)",
-        f"draws as (select strategy, rep, {_draw('rep', 'k', 'n', 7)} k from at_, (select unnest(range({replicates})) rep))")
+_BOOT_CTES = (
+    "bat_ as (select strategy, x, row_number() over (partition by strategy order by d_idx) - 1 k, count(*) over (partition by strategy) n, avg(x) over (partition by strategy) m from active)",
+    f"bdraws as (select strategy, rep, {_draw('rep', 'k', 'n', 7)} k from bat_, (select unnest(range(2000)) rep))",
+)
+_BOOT = """select strategy, any_value(m) mean_ann, quantile_cont(mean, 0.05) ci05, quantile_cont(mean, 0.95) ci95, avg((mean <= 0)::int::double) p_le_0
+from (select d.strategy, d.rep, avg(t.x) * 252 mean, any_value(t.m) * 252 m from bdraws d join bat_ t on t.strategy = d.strategy and t.k = d.k group by d.strategy, d.rep) group by strategy"""
 
 
 def _reality_ctes(replicates: int) -> list[str]:
@@ -274,12 +276,12 @@ def _reality_sql(replicates: int, *ctes: str) -> str:
     return o.q("""select rep, round(max(m - m0) * sqrt(any_value(n)), 6) + 0.0::double stat from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join (select strategy, avg(x) m0 from at_ group by 1) using (strategy) group by rep""", *ctes, *_reality_ctes(replicates))
 
 
-def _reality_p_sql(replicates: int, *ctes: str) -> str:
-    return o.q("""select round(any_value(best) * sqrt(any_value(n)), 6) + 0.0::double statistic, round((count(*) filter (stat >= best * sqrt(n)) + 1) / (count(*) + 1), 6) + 0.0::double p_value, any_value(best_factor) best_factor, any_value(family)::bigint factors_in_family
-from (select rep, max(m - m0) * sqrt(any_value(n)) stat, any_value(n) n from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join means using (strategy) group by rep), (select max(m0) best, first(strategy order by m0 desc, strategy) best_factor, count(*) family from means)""", *ctes, *_reality_ctes(replicates), "means as (select strategy, avg(x) m0 from at_ group by 1)")
+_MEANS = "select strategy, avg(x) m0 from at_ group by 1"
+_REALITY_P = """select any_value(best) * sqrt(any_value(n)) statistic, (count(*) filter (stat >= best * sqrt(n)) + 1) / (count(*) + 1) p_value, any_value(best_factor) best_factor, any_value(family)::bigint factors_in_family
+from (select rep, max(m - m0) * sqrt(any_value(n)) stat, any_value(n) n from (select d.rep, x.strategy, avg(x.x) m, any_value(n) n from draws d join at_ x on x.k = d.k group by 1, 2) join means using (strategy) group by rep), (select max(m0) best, first(strategy order by m0 desc, strategy) best_factor, count(*) family from means)"""
 
 
-@register("bootstrap_iid", _bootstrap_sql(2000, *_BT3))
+@register("bootstrap_iid", o.q(f"select strategy, {o.rounded(['mean_ann', 'ci05', 'ci95', 'p_le_0'])} from boot", *_BT3, *_BOOT_CTES, f"boot as ({_BOOT})"))
 def bootstrap_iid(spark, sf_dir):
     return r6(inference.bootstrap(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)), 2000, names=list(NAMES)))
 
@@ -291,27 +293,34 @@ def reality_check(spark, sf_dir):
     return r6(inference.family_maxima(rows, 1000, names=list(NAMES)))
 
 
-@register("reality_check_p_value", _reality_p_sql(1000, *_BT3))
+@register("reality_check_p_value", o.q(f"select {o.rounded(['statistic', 'p_value'])}, best_factor, factors_in_family from rcheck", *_BT3, *_reality_ctes(1000), f"means as ({_MEANS})", f"rcheck as ({_REALITY_P})"))
 def reality_check_p_value(spark, sf_dir):
-    got = inference.reality_check(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)))
-    return r6(spark.createDataFrame([(got["statistic"], got["p_value"], got["best_factor"], got["factors_in_family"])], "statistic double, p_value double, best_factor string, factors_in_family long"))
+    return r6(inference.reality_check(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)), names=list(NAMES)))
+
+
+_MOMENTS = """mo as (select strategy, count(net) n, any_value(m) / any_value(sd) sr, sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5 skew, sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2 kurt
+ from (select *, avg(net) over (partition by strategy) m, stddev_samp(net) over (partition by strategy) sd from net) where strategy <> 'baseline_equal_weight' group by strategy)"""
+_DSR = (_MOMENTS, f"""ds as (select *, sqrt(greatest((1 - skew * sr + (kurt - 1) / 4 * sr ** 2) / (n - 1), 1e-12)) sd from mo),
+dz as (select *, sd * {luck_in_numbers(len(NAMES))!r}::double bar from ds),
+dsr as (select strategy, n, sr, bar, coalesce(case when n >= 60 then {o.normal_cdf('((sr - bar) / sd)')} end, 0) dsr from dz)""")
 
 
-@register("deflated_sharpe")
+@register("deflated_sharpe", o.q(f"select strategy, case when n >= 60 then {len(NAMES)} end n_trials, round(case when n >= 60 then sr end, 6) + 0.0::double daily_sharpe, round(case when n >= 60 then sr * sqrt(252) end, 6) + 0.0::double annualized_sharpe, round(case when n >= 60 then bar * sqrt(252) end, 6) + 0.0::double threshold_from_n_trials, round(dsr, 6) + 0.0::double dsr from dsr", *_BT, *_DSR))
 def deflated_sharpe(spark, sf_dir):
     """A row for each factor, as one of so many trials."""
-    got = inference.deflated_sharpe(net_of(spark, panel_of(spark, sf_dir), list(NAMES)), len(NAMES))
-    kinds = ("daily_sharpe", "annualized_sharpe", "threshold_from_n_trials", "dsr")
-    return r6(spark.createDataFrame([(n, *map(d.get, kinds)) for n, d in got.items()], "strategy string, " + ", ".join(f"{k} double" for k in kinds)))
+    return r6(inference.deflated_sharpe(net_of(spark, panel_of(spark, sf_dir), list(NAMES)), len(NAMES)))
 
 
-@register("deployment_gates")
+_GATES = """select strategy, gate, passed from (select strategy, unnest(['sharpe_positive', 'beats_baseline_ci', 'reality_check_significant', 'deflated_sharpe_solid']) gate, unnest([coalesce(sharpe > 0, false), coalesce(ci05 > 0, false), coalesce((select any_value(p_value) from rcheck) < 0.05, false), coalesce(dsr > 0.9, false)]) passed
+ from (select strategy, case when days >= 40 then sharpe end sharpe from perf where strategy <> 'baseline_equal_weight' order by coalesce(case when days >= 40 then sharpe end, -9) desc, strategy limit 1) left join boot using (strategy) left join dsr using (strategy))"""
+
+
+@register("deployment_gates", o.q(_GATES, *_BT3, *_BOOT_CTES, f"boot as ({_BOOT})", *_reality_ctes(1000), f"means as ({_MEANS})", f"rcheck as ({_REALITY_P})", o.PERF_CTE, *_DSR))
 def deployment_gates(spark, sf_dir):
     """A row for each gate of the best factor, by the report's own rules, factors and replicates."""
-    from . import reports
-
-    numbers = reports.run_backtest(written(spark, sales_prices(spark, sf_dir), "prices")).numbers
-    return spark.createDataFrame([(numbers["best_factor"], k, bool(v)) for k, v in numbers["deployment_gates"].items()], "strategy string, gate string, passed boolean")
+    net = written(spark, net_of(spark, panel_of(spark, sf_dir), _ALL), "net")
+    factors, active = net.where(F.col("strategy") != BASELINE), backtest.active(net)
+    return inference.gates(backtest.performance(factors), inference.bootstrap(active, 2000, names=list(NAMES)), inference.reality_check(active, names=list(NAMES)), inference.deflated_sharpe(factors, len(NAMES)))
 
 
 # ---------------------------------------------------------------- audit

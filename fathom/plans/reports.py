@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p
@@ -15,6 +15,7 @@ from ..operators import audit, backtest, features, forecast, inference, panel, p
 from ..operators.backtest import BASELINE
 from ..operators.factors import NAMES, add_factors
 from ..sources import files
+from ..sources.store import written
 
 
 @dataclass
@@ -68,11 +69,9 @@ def run_audit(prices: DataFrame) -> Report:
     try:
         s = _one(audit.market_summary(p))
         spread = _one(audit.momentum_check(audit.momentum_spreads(p)))
-        stocks = [r.asDict() for r in audit.stock_audit(p).collect()]  # a row for each ticker
+        stocks = [r.asDict() for r in audit.stock_audit(p).withColumn("vr_p_value", two_sided_p(F.col("z"))).collect()]  # a row for each ticker
     finally:
         p.unpersist()
-    for r in stocks:
-        r["vr_p_value"] = two_sided_p(r.pop("z"))
     ratio = s["median_vr_q5"]
     numbers = {
         "tickers": s["tickers"], "date_range": [s["first_date"], s["last_date"]], "trading_days": s["trading_days"],
@@ -89,39 +88,36 @@ def run_audit(prices: DataFrame) -> Report:
     return Report(numbers, {"stock_audit": prices.sparkSession.createDataFrame(rows, columns)})
 
 
-# The names of the gates.
-GATES = ["sharpe_positive", "beats_baseline_ci", "reality_check_significant", "deflated_sharpe_solid"]
-
-
-def gates(best: dict, check: dict, deflated: dict) -> dict[str, bool]:
-    """Whether the best factor may be deployed: it must earn, more than the baseline, more than luck in its family, and more than luck among so many trials."""
-    ci05 = best.get("active_vs_baseline", {}).get("ci05", -1)
-    passed = ((best.get("sharpe") or 0) > 0, ci05 > 0, check.get("p_value", 1.0) < 0.05, deflated.get("dsr", 0.0) > 0.90)
-    return dict(zip(GATES, passed, strict=True))
+SOLID = "Chance that the Sharpe ratio is real, given how many factors were tried; above 0.95 it is solid."
+LUCKY = "How often the best of as many factors does as well by luck alone; below 0.05 the best one is likely real."
 
 
 def run_backtest(prices: DataFrame, cost_bps: float = 100.0, rebalance_days: int = 5, top_quantile: float = 0.20, warmup: int = 130, seed: int = 7, replicates: int = 2000) -> Report:
     spark = prices.sparkSession
     p = panel.to_panel(prices).persist()
-    net = backtest.net_returns(p, [*NAMES, BASELINE], rebalance_days, top_quantile, cost_bps, warmup).persist()
-    try:
-        active = backtest.active(net)
-        perf = {r.strategy: {k: v for k, v in r.asDict().items() if k != "strategy"} for r in backtest.performance(net).collect()}  # a row for each strategy
-        for r in inference.bootstrap(active, replicates, seed, list(NAMES)).collect():  # a row for each factor
-            perf[r.strategy]["active_vs_baseline"] = {k: v for k, v in r.asDict().items() if k != "strategy"}
-        check = inference.reality_check(active, seed=seed + 99)
-        ranking = sorted(NAMES, key=lambda n: (-(-9.0 if perf[n]["sharpe"] is None else perf[n]["sharpe"]), n))
-        deflated = inference.deflated_sharpe(net, len(NAMES))[ranking[0]]
-        daily = spark.createDataFrame(net.groupBy("date").pivot("strategy", [BASELINE, *NAMES]).agg(F.first("net")).orderBy("date").toPandas())  # a row for each date
-    finally:
-        net.unpersist()
-        p.unpersist()
-    passed = gates(perf[ranking[0]], check, deflated)
+    net = written(spark, backtest.net_returns(p, [*NAMES, BASELINE], rebalance_days, top_quantile, cost_bps, warmup), "net")
+    p.unpersist()
+    active, factors = backtest.active(net), net.where(F.col("strategy") != BASELINE)
+    perf, boot = written(spark, backtest.performance(net), "perf"), written(spark, inference.bootstrap(active, replicates, seed, list(NAMES)), "boot")
+    check = written(spark, inference.reality_check(active, seed=seed + 99, names=list(NAMES)), "check")
+    deflated = written(spark, inference.deflated_sharpe(factors, len(NAMES)), "deflated")
+    ranked = inference.ranking(perf.where(F.col("strategy") != BASELINE))
+    verdict = inference.gates(perf.where(F.col("strategy") != BASELINE), boot, check, deflated)
+    by = {r.pop("strategy"): r for r in map(Row.asDict, perf.collect())}  # a row for each strategy
+    for r in map(Row.asDict, boot.collect()):  # a row for each factor
+        by[r.pop("strategy")]["active_vs_baseline"] = r
+    ranking = [r.strategy for r in ranked.orderBy("place").select("strategy").collect()]  # a row for each factor
+    passed = {r.gate: r.passed for r in verdict.collect()}  # a row for each gate
+    solid = {k: v for k, v in _one(deflated.where(F.col("strategy") == ranking[0]).drop("strategy")).items() if v is not None}
+    if len(solid) > 1:
+        solid["interpretation"] = SOLID
+    checked = _one(check)
     numbers = {
-        "baseline_equal_weight": perf.pop(BASELINE), "factors": perf, "ranking": ranking, "best_factor": ranking[0], "reality_check": check,
-        "deflated_sharpe_best": deflated, "deployment_gates": passed, "production_verdict": f"DEPLOYER {ranking[0]}" if all(passed.values()) else "RESTER SUR LE BASELINE: no factor passes every statistical gate.",
+        "baseline_equal_weight": by.pop(BASELINE), "factors": by, "ranking": ranking, "best_factor": ranking[0], "reality_check": {**checked, "interpretation": LUCKY} if checked else {"skipped": True},
+        "deflated_sharpe_best": solid, "deployment_gates": passed, "production_verdict": f"DEPLOYER {ranking[0]}" if all(passed.values()) else "RESTER SUR LE BASELINE: no factor passes every statistical gate.",
         "frictions": {"cost_bps_per_side": cost_bps, "rebalance_days": rebalance_days, "top_quantile": top_quantile},
     }
+    daily = net.groupBy("date").pivot("strategy", [BASELINE, *NAMES]).agg(F.first("net")).orderBy("date")
     return Report(numbers, {"strategy_daily_returns": daily})
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from fathom import cli
 from fathom.functions.parsing import normalize_label, parse_date, parse_number
-from fathom.functions.stats import deflated
 from fathom.operators import audit, backtest, features, panel, portfolio
 from fathom.operators.forecast import skill_weight
 from fathom.plans import reports
@@ -136,7 +135,6 @@ def test_statistics(spark):
     lb = {r.ticker: r for r in audit.ljung_box(p).collect()}
     assert 0.9 < vr["N"].vr < 1.1 < vr["T"].vr
     assert lb["N"].p_value > 0.01 and lb["T"].p_value < 0.001
-    assert deflated(0.05, 0.0, 3.0, 400, 100)[1] < deflated(0.05, 0.0, 3.0, 400, 1)[1] == 1.0
     w = portfolio.hrp(np.cov(rng.normal(0, 0.01, (8, 200))))
     assert abs(w.sum() - 1) < 1e-9 and w.min() > 0
     got = spark.createDataFrame([(-0.2,), (0.0,), (0.05,)], "ic double").select(skill_weight(F.col("ic"))).collect()
