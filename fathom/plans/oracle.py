@@ -128,8 +128,9 @@ def luck_in_numbers(trials: int) -> float:
 
 
 def q(body: str, *ctes: str) -> str:
-    """The whole text; each common table expression that begins a line is computed once."""
-    return re.sub(r"(?m)^(with )?(\w+) as \(", r"\1\2 as materialized (", ",\n".join([base(), *ctes])) + "\n" + body
+    """The whole text; each common table expression that begins a line is computed once. Those with a list of columns after their name may be recursive."""
+    text = re.sub(r"(?m)^(with )?(\w+) as \(", r"\1\2 as materialized (", ",\n".join([base(), *ctes])) + "\n" + body
+    return text.replace("with ", "with recursive ", 1) if re.search(r"(?m)^\w+\([\w, ]+\) as \(", text) else text
 
 
 __all__ = ["FEATURES", "NAMES", "q", "rounded"]

@@ -517,13 +517,42 @@ def cov_pairs(spark, sf_dir):
     return portfolio.covariance_pairs(portfolio.recent_returns(panel_of(spark, sf_dir))).select("a", "b", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
 
 
-_SHRUNK = (
-    "xs as (select ticker, d_idx, coalesce(ret, 0) - avg(coalesce(ret, 0)) over (partition by ticker) r from panel where d_idx > (select max(d_idx) from cal) - 180)",
+_XS = "xs as (select ticker, d_idx, coalesce(ret, 0) - avg(coalesce(ret, 0)) over (partition by ticker) r from panel where d_idx > (select max(d_idx) from cal) - 180)"
+_PAIRS = (
     "prs as (select a.ticker a, b.ticker b, avg(a.r * b.r) s, avg((a.r * b.r) ** 2) q, count(*) n from xs a join xs b on a.d_idx = b.d_idx and a.ticker <= b.ticker group by 1, 2)",
     "tot as (select max(n) n, count(*) filter (a = b) p, sum(s) filter (a = b) tr, sum(case when a = b then 1 else 2 end * s * s) s2, sum(case when a = b then 1 else 2 end * q) q2 from prs)",
     "lw as (select tr / p mu, case when s2 / p - (tr / p) ** 2 > 0 then least((q2 - s2) / (p * n), s2 / p - (tr / p) ** 2) / (s2 / p - (tr / p) ** 2) else 0 end share from tot)",
     "shr as (select a, b, (1 - share) * s + case when a = b then share * mu else 0 end cov from prs, lw)",
 )
+_SHRUNK = (_XS, *_PAIRS)
+_DISTANCES = "select x.a, x.b, case when x.a = x.b then 0 else sqrt(least(greatest(0.5 * (1 - x.cov / sqrt(i.cov * j.cov)), 0), 1)) end dist from shr x join shr i on i.a = x.a and i.b = x.a join shr j on j.a = x.b and j.b = x.b"
+
+
+def _parity(chosen: str = "true") -> tuple[str, ...]:
+    """hw (ticker, weight): risk parity of the chosen tickers. All pairs by length, one after another, join clusters; then halves of the order, level by level."""
+    return (
+        f"hx as (select ticker, d_idx, ret from panel where d_idx > (select max(d_idx) from cal) - 180 and {chosen})",
+        "hc as (select ticker from hx group by ticker having count(ret) >= floor((select count(distinct d_idx) from hx) * 0.6))",
+        "xs as (select ticker, d_idx, coalesce(ret, 0) - avg(coalesce(ret, 0)) over (partition by ticker) r from hx semi join hc using (ticker))",
+        *_PAIRS,
+        f"dis as ({_DISTANCES})",
+        "ed as (select a, b, row_number() over (order by dist, a, b) i from dis where a < b)",
+        """kr(i, cl) as (select 0::bigint, (select list({made: k, items: [a]} order by a) from (select a, row_number() over (order by a) k from dis where a = b))
+ union all select ed.i, case when len(list_filter(cl, lambda c: list_contains(c.items, a) or list_contains(c.items, b))) = 1 then cl
+  else list_append(list_filter(cl, lambda c: not (list_contains(c.items, a) or list_contains(c.items, b))), {made: (list_max(list_transform(cl, lambda c: c.made)) + 1)::bigint, items: list_concat(list_sort(list_filter(cl, lambda c: list_contains(c.items, a) or list_contains(c.items, b)))[1].items, list_sort(list_filter(cl, lambda c: list_contains(c.items, a) or list_contains(c.items, b)))[2].items)}) end
+ from kr join ed on ed.i = kr.i + 1)""",
+        "ord as (select unnest(cl[1].items) ticker, unnest(range(len(cl[1].items))) pos from kr where i = (select count(*) from ed))",
+        """hn(level, first, size, parent) as (select 0::bigint, 0::bigint, (select count(*) from ord), -1::bigint
+ union all select level + 1, first + side * (size // 2), case side when 0 then size // 2 else size - size // 2 end, first from hn, (select unnest([0, 1]) side) where size >= 2)""",
+        "cf as (select a, b, cov from shr union all select b, a, cov from shr where a <> b)",
+        "iv as (select o.pos, o.ticker, 1 / greatest(cov, 1e-10) inv from ord o join shr on a = ticker and b = ticker)",
+        "va as (select level, first, parent, sum(i.inv * j.inv * cov) / sum(i.inv * j.inv) v from hn join iv i on i.pos >= first and i.pos < first + size join iv j on j.pos >= first and j.pos < first + size join cf on a = i.ticker and b = j.ticker where level > 0 group by all)",
+        "sa_ as (select level, first, case when sum(v) over (partition by level, parent) > 0 then 1 - v / sum(v) over (partition by level, parent) else 0.5 end share from va)",
+        "pw as (select o.ticker, coalesce(product(share), 1) w from ord o left join (select * from hn join sa_ using (level, first)) n on pos >= first and pos < first + size group by 1)",
+        "hw as (select ticker, w / sum(w) over () weight from pw)",
+    )
+
+
 
 
 def _market(spark, sf_dir) -> DataFrame:
@@ -536,7 +565,7 @@ def ledoit_wolf(spark, sf_dir):
     return portfolio.shrunk_pairs(_market(spark, sf_dir)).select("a", "b", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
 
 
-@register("corr_distance", o.q("select x.a, x.b, round(case when x.a = x.b then 0 else sqrt(least(greatest(0.5 * (1 - x.cov / sqrt(i.cov * j.cov)), 0), 1)) end, 6) + 0.0::double dist from shr x join shr i on i.a = x.a and i.b = x.a join shr j on j.a = x.b and j.b = x.b", *_SHRUNK))
+@register("corr_distance", o.q(f"select a, b, round(dist, 6) + 0.0::double dist from ({_DISTANCES})", *_SHRUNK))
 def corr_distance(spark, sf_dir):
     return r6(portfolio.correlation_distances(portfolio.shrunk_pairs(_market(spark, sf_dir))).select("a", "b", "dist"))
 
@@ -559,25 +588,48 @@ def capped_weights(spark, sf_dir):
     return r6(portfolio.capped(_inverse(panel_of(spark, sf_dir))))
 
 
-@register("position_sizing", o.q(f"""select ticker, round_even(100 * target / 100000.0, 2) weight_pct, round_even(target, 0) target_mad, round_even(close, 2) last_price, trunc(target / close)::bigint shares from
-(select c.ticker, a.close, least(c.weight * 100000.0, a.adv * 3) target from capped c join (select ticker, d_idx, close, {o.roll('median', 'volume * close', 63)} adv from panel) a on a.ticker = c.ticker and a.d_idx = (select max(d_idx) from cal)) where round_even(target, 0) > 0""", o.ELIGIBLE_CTE, _INV, _CAP))
+def _sized(capped: str) -> str:
+    return f"""select ticker, round_even(100 * target / 100000.0, 2) weight_pct, round_even(target, 0) target_mad, round_even(close, 2) last_price, trunc(target / close)::bigint shares from
+(select c.ticker, a.close, least(c.weight * 100000.0, a.adv * 3) target from {capped} c join (select ticker, d_idx, close, {o.roll('median', 'volume * close', 63)} adv from panel) a on a.ticker = c.ticker and a.d_idx = (select max(d_idx) from cal)) where round_even(target, 0) > 0"""
+
+
+@register("position_sizing", o.q(_sized("capped"), o.ELIGIBLE_CTE, _INV, _CAP))
 def position_sizing(spark, sf_dir):
-    p = panel_of(spark, sf_dir)
+    p = written(spark, panel_of(spark, sf_dir), "panel")
     return portfolio.sized(portfolio.capped(_inverse(p)), p)
 
 
-@register("hrp_weights")
+@register("hrp_weights", o.q("select 'all' portfolio, ticker, round(weight, 6) + 0.0::double weight from hw", *_parity()))
 def hrp_weights(spark, sf_dir):
     return r6(portfolio.hrp_weights(_market(spark, sf_dir)))
 
 
-@register("hrp_portfolio")
+def _parity_of(p: DataFrame, chosen: DataFrame) -> DataFrame:
+    returns = portfolio.recent_returns(p).join(chosen.select("ticker"), "ticker", "left_semi").select(F.lit("chosen").alias("portfolio"), "ticker", "d_idx", "ret")
+    return portfolio.sized(portfolio.capped(portfolio.hrp_weights(written(p.sparkSession, returns, "returns")).select("ticker", "weight")), p)
+
+
+_CAPPED_HRP = "hcap as (select ticker, least(weight, 0.12) / sum(least(weight, 0.12)) over () weight from hw)"
+_LAST = "d_idx = (select max(d_idx) from cal)"
+
+
+@register("hrp_portfolio", o.q(_sized("hcap"), o.ELIGIBLE_CTE, *_parity(f"ticker in (select ticker from elig where eligible and {_LAST})"), _CAPPED_HRP))
 def hrp_portfolio(spark, sf_dir):
     """The positions of the baseline portfolio: risk parity of the eligible tickers, capped by weight and by liquidity."""
-    p = panel_of(spark, sf_dir)
-    chosen = portfolio.selection(backtest.eligibility(p)).select("ticker")
-    weights = portfolio.hrp_weights(_market(spark, sf_dir).join(chosen, "ticker", "left_semi")).select("ticker", "weight")
-    return portfolio.sized(portfolio.capped(weights), p)
+    p = written(spark, panel_of(spark, sf_dir), "panel")
+    return _parity_of(p, portfolio.selection(backtest.eligibility(p)))
+
+
+_BEST_FIFTH = "(select ticker from (select ticker, row_number() over (order by composite desc, ticker) k, count(*) over () n from fs) where k <= greatest(5, ceil(n * 0.2)))"
+
+
+@register("factor_portfolio", o.q(_sized("hcap"), o.FACTORS_CTE, o.ELIGIBLE_CTE, f"fs as (select ticker, composite from factors join elig using (ticker, d_idx) where eligible and composite is not null and factors.{_LAST})", *_parity(f"ticker in {_BEST_FIFTH}"), _CAPPED_HRP))
+def factor_portfolio(spark, sf_dir):
+    """The positions of a portfolio in factor mode: risk parity of the best fifth of the eligible tickers by the composite factor, capped."""
+    p = written(spark, panel_of(spark, sf_dir), "panel")
+    f = add_factors(p, ["composite"])
+    scores = f.where(F.col("d_idx") == p.agg(F.max("d_idx")).scalar()).select("ticker", F.col("composite").alias("score"))
+    return _parity_of(p, portfolio.selection(backtest.eligibility(p), scores))
 
 
 # ---------------------------------------------------------------- dashboard

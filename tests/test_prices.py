@@ -135,8 +135,9 @@ def test_statistics(spark):
     lb = {r.ticker: r for r in audit.ljung_box(p).collect()}
     assert 0.9 < vr["N"].vr < 1.1 < vr["T"].vr
     assert lb["N"].p_value > 0.01 and lb["T"].p_value < 0.001
-    w = portfolio.hrp(np.cov(rng.normal(0, 0.01, (8, 200))))
-    assert abs(w.sum() - 1) < 1e-9 and w.min() > 0
+    matrix = [("p", f"S{j}", i, float(x)) for i, row in enumerate(rng.normal(0, 0.01, (200, 8))) for j, x in enumerate(row)]
+    w = portfolio.hrp_weights(spark.createDataFrame(matrix, "portfolio string, ticker string, d_idx long, ret double")).toPandas().weight
+    assert len(w) == 8 and abs(w.sum() - 1) < 1e-9 and w.min() > 0
     got = spark.createDataFrame([(-0.2,), (0.0,), (0.05,)], "ic double").select(skill_weight(F.col("ic"))).collect()
     assert [r[0] for r in got] == [0.0, 0.0, 0.25]
 
