@@ -1,7 +1,7 @@
 """Forecasts: purged walk-forward of a ridge and boosted trees, their skill, and forecasts shrunk by it.
 
 The ridge needs only sums over the rows before a refit: Spark sums them between one refit and the next, adds those up, and
-a refit is solved from a hundred numbers. The trees of a refit are grown in a group of its rows up to the refit, which
+a refit is solved from a hundred numbers by expressions over its row. The trees of a refit are grown in a group of its rows up to the refit, which
 is bounded by tickers times calendar; all refits of all horizons are grown in parallel.
 """
 
@@ -12,7 +12,7 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import FEATURES, average_rank
@@ -25,17 +25,6 @@ MIN_ROWS = 200
 # ---------------------------------------------------------------- models, in numpy
 
 
-def solve_ridge(n: float, x: np.ndarray, xx: np.ndarray, y: float, xy: np.ndarray, alpha: float = 10.0) -> np.ndarray:
-    """Intercept and weights of least squares on standardised features with a penalty on the weights, from the sums of x, x x', y and x y over n rows."""
-    mean, base = x / n, y / n
-    spread = xx - n * np.outer(mean, mean)
-    own = np.diag(spread)
-    sd = np.sqrt(np.where(own > 1e-12 * np.diag(xx), own, 0) / n)
-    sd[sd == 0] = 1.0
-    w = np.linalg.solve(spread / np.outer(sd, sd) + alpha * np.eye(len(x)), (xy - n * mean * base) / sd) / sd
-    return np.concatenate([[base - mean @ w], w])
-
-
 class Boosting:
     """Gradient boosting of squared error with trees of depth 3 over binned features."""
 
@@ -125,7 +114,7 @@ def tagged(data: DataFrame, refits: DataFrame) -> DataFrame:
 
 
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-_SUMS = ["n", "y", *[f"x{i}" for i in range(len(FEATURES))], *[f"xy{i}" for i in range(len(FEATURES))], *[f"x{i}x{j}" for i, j in _PAIRS]]
+SUMS = ["n", "y", *[f"x{i}" for i in range(len(FEATURES))], *[f"xy{i}" for i in range(len(FEATURES))], *[f"x{i}x{j}" for i, j in _PAIRS]]
 
 
 def gram_sums(data: DataFrame, refits: DataFrame) -> DataFrame:
@@ -135,25 +124,54 @@ def gram_sums(data: DataFrame, refits: DataFrame) -> DataFrame:
     rows = data.join(F.broadcast(ends), "horizon").withColumn("refit_id", F.get("ends", at).getField("refit_id")).where("refit_id is not null")  # bounded: a row for each horizon
     f = [F.col(c) for c in FEATURES]
     terms = [F.lit(1.0), F.col("actual"), *f, *[c * F.col("actual") for c in f], *[f[i] * f[j] for i, j in _PAIRS]]
-    new = rows.groupBy("horizon", "refit_id").agg(*[F.sum(t).alias(c) for c, t in zip(_SUMS, terms, strict=True)])
+    new = rows.groupBy("horizon", "refit_id").agg(*[F.sum(t).alias(c) for c, t in zip(SUMS, terms, strict=True)])
     w = Window.partitionBy("horizon").orderBy("refit_id").rowsBetween(Window.unboundedPreceding, 0)
-    return refits.select("horizon", "refit_id").join(new, ["horizon", "refit_id"], "left").select("horizon", "refit_id", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in _SUMS])
+    return refits.select("horizon", "refit_id").join(new, ["horizon", "refit_id"], "left").select("horizon", "refit_id", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in SUMS])
+
+
+def ridge_system(alpha: float = 10.0) -> tuple[Column, Column]:
+    """(rows, scale) from the columns of gram_sums(): the normal equations of standardised features with a penalty on the weights, each row with its right side at the end, and the features' standard deviations (1 for one that doesn't vary)."""
+    p, n = len(FEATURES), F.col("n")
+    mean, base = [F.col(f"x{i}") / n for i in range(p)], F.col("y") / n
+    xx = lambda i, j: F.col(f"x{min(i, j)}x{max(i, j)}")
+    spread = lambda i, j: xx(i, j) - n * mean[i] * mean[j]
+    sd = [F.when(spread(i, i) > 1e-12 * xx(i, i), F.sqrt(F.greatest(spread(i, i), F.lit(0.0)) / n)).otherwise(1.0) for i in range(p)]
+    row = lambda i: F.array(*[spread(i, j) / (sd[i] * sd[j]) + (alpha if i == j else 0.0) for j in range(p)], (F.col(f"xy{i}") - n * mean[i] * base) / sd[i])
+    return F.array(*map(row, range(p))), F.array(*sd)
+
+
+def eliminated(rows: Column, p: int) -> Column:
+    """Rows of a symmetric positive definite system, each with its right side, in upper triangular form: Cholesky's factorisation without roots, a column at a time."""
+
+    def column(m: Column, k: Column) -> Column:
+        top = F.get(m, k)
+        below = lambda row: F.zip_with(row, top, lambda x, t: x - t * F.get(row, k) / F.get(top, k))
+        return F.transform(m, lambda row, i: F.when(i <= k, row).otherwise(below(row)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), rows, column)
+
+
+def back_substituted(upper: Column, p: int) -> Column:
+    """The solution of upper triangular rows, each with its right side at the end; the last unknown is found first."""
+
+    def unknown(w: Column, k: Column) -> Column:
+        row = F.get(upper, k)
+        known = F.aggregate(F.zip_with(F.slice(row, k + 2, F.lit(p - 1) - k), w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.concat(F.array((F.get(row, F.lit(p)) - known) / F.get(row, k)), w)
+
+    return F.aggregate(F.sequence(F.lit(p - 1), F.lit(0), F.lit(-1)), F.array().cast("array<double>"), unknown)
 
 
 def _solved(sums: DataFrame, *keys: str) -> DataFrame:
     """(*keys, w): intercept and weights; of sums over at least MIN_ROWS rows."""
-
-    @F.pandas_udf("array<double>")
-    def solve(sums: pd.Series) -> pd.Series:
-        p, out = len(FEATURES), []
-        upper = tuple(np.array(_PAIRS).T)
-        for s in sums:
-            xx = np.zeros((p, p))
-            xx[upper] = s[2 + 2 * p :]
-            out.append(solve_ridge(s[0], s[2 : 2 + p], xx + np.triu(xx, 1).T, s[1], s[2 + p : 2 + 2 * p]))
-        return pd.Series(out)
-
-    return sums.where(F.col("n") >= MIN_ROWS).select(*keys, solve(F.array(*_SUMS)).alias("w"))
+    p = len(FEATURES)
+    system, scale = ridge_system()
+    mean = F.array(*[F.col(f"x{i}") / F.col("n") for i in range(p)])
+    ready = sums.where(F.col("n") >= MIN_ROWS).select(*keys, system.alias("system"), scale.alias("scale"), mean.alias("mean"), (F.col("y") / F.col("n")).alias("base"))
+    upper = ready.withColumn("system", eliminated(F.col("system"), p))
+    weights = upper.withColumn("w", F.zip_with(back_substituted(F.col("system"), p), "scale", lambda x, s: x / s))
+    intercept = F.col("base") - F.aggregate(F.zip_with("w", "mean", lambda x, m: x * m), F.lit(0.0), lambda s, x: s + x)
+    return weights.select(*keys, F.concat(F.array(intercept), F.col("w")).alias("w"))
 
 
 def _linear(w: str = "w"):

@@ -376,12 +376,24 @@ def fwd_returns(spark, sf_dir):
     return r6(features.add_targets(panel_of(spark, sf_dir)).select("ticker", "date", *c).where(F.coalesce(*c).isNotNull()))
 
 
+_LAST_DAY = "d_idx = (select max(d_idx) from cal)"
 _FULL = " and ".join(f"{c} is not null" for c in features.FEATURES)
 
 
+def _daily_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The panel, and the same with features and targets; both are written, as refits, tests and skill each read them."""
+    panel = written(spark, panel_of(spark, sf_dir), "panel")
+    return panel, written(spark, features.add_targets(features.add_features(panel)), "features")
+
+
 def _daily_samples(spark, sf_dir) -> DataFrame:
     """Rows of the daily panel with all features, once for each horizon whose target they have."""
-    return forecast.samples(features.add_targets(features.add_features(panel_of(spark, sf_dir))), features.HORIZONS)
+    return forecast.samples(_daily_rows(spark, sf_dir)[1], features.HORIZONS)
+
+
+def _ridge(spark, sf_dir) -> DataFrame:
+    """The ridge's forecasts out of sample, of all horizons; written, as skill, bounds and quarters each read them."""
+    return written(spark, forecast.walk_forward(_daily_samples(spark, sf_dir), model="ridge"), "oos")
 
 
 _FOLDS = " union all ".join(
@@ -401,36 +413,27 @@ def ic_by_date(spark, sf_dir):
     return r6(forecast.rank_correlation(rows, "mom_63", "fwd_21", "date"))
 
 
-def _surrogate(spark, sf_dir) -> DataFrame:
-    return _graded(features.add_targets(features.add_features(panel_of(spark, sf_dir)), {"1M": 21}))
-
-
 def _graded(rows: DataFrame) -> DataFrame:
     """Momentum in place of a model's forecast, so that what is computed from forecasts has SQL to compare with."""
     return rows.where("mom_63 is not null and fwd_21 is not null").select(F.lit("1M").alias("horizon"), "date", "ticker", F.col("mom_63").alias("prediction"), F.col("fwd_21").alias("actual"))
 
 
-@register("ic_summary", o.q("select '1M' horizon, round(avg(rho), 6) + 0.0::double ic, round(avg(rho) / (stddev_samp(rho) / sqrt(count(rho))), 6) + 0.0::double t_stat, count(rho) n, 'cross_sectional' as mode from ic", o.FEATURES_CTE, o.IC_CTE))
-def ic_summary(spark, sf_dir):
-    return r6(forecast.ic_summary(_surrogate(spark, sf_dir)))
-
-
-@register("residual_quantiles", o.q("select '1M' horizon, round(quantile_cont(fwd_21 - mom_63, 0.05), 6) + 0.0::double low, round(quantile_cont(fwd_21 - mom_63, 0.95), 6) + 0.0::double high from features where fwd_21 is not null and mom_63 is not null", o.FEATURES_CTE))
-def residual_quantiles(spark, sf_dir):
-    return r6(forecast.residual_bounds(_surrogate(spark, sf_dir)))
+@register("market_base", o.q("select round(coalesce(avg(mkt), 0), 8) + 0.0::double base from (select mkt, row_number() over (order by d_idx desc) k from market where mkt is not null) where k <= 252", o.MARKET_CTE))
+def market_base(spark, sf_dir):
+    """The mean market return of the last 252 dates, which forecasts are shrunk to."""
+    base = forecast.market_base(panels.market_series(panel_of(spark, sf_dir)))
+    return base.select((F.round("base", 8) + F.lit(0.0)).alias("base"))
 
 
-@register("quarterly_top10", o.q("""select count(x) as quarters, round(avg(x) * 100, 6) + 0.0::double mean_quarterly_excess_pct, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) + 0.0::double t_stat, round(avg((x > 0)::int::double), 6) + 0.0::double positive_share from
-(select date, avg(fwd_21) filter (k <= 10) - avg(fwd_21) x from (select date, fwd_21, row_number() over (partition by date order by mom_63 desc, ticker) k, count(*) over (partition by date) n, dense_rank() over (order by date) - 1 i from features where mom_63 is not null and fwd_21 is not null) where n >= 12 and i % 63 = 0 group by date)""", o.FEATURES_CTE))
-def quarterly_top10(spark, sf_dir):
-    return r6(forecast.quarterly(_surrogate(spark, sf_dir)))
+_NOW = f"now_ as (select * from features where mom_63 is not null and {_LAST_DAY})"
 
 
-@register("shrink_blend", o.q("""select ticker, '1M' horizon, round_even(100 * (exp(b * 21 + w * (mom_63 - b * 21)) - 1), 2) expected_return_pct, round_even(100 * (exp(mom_63) - 1), 2) raw_model_return_pct, round(w, 6) + 0.0::double skill_weight
-from (select ticker, mom_63 from features where mom_63 is not null and d_idx = (select max(d_idx) from cal)), (select least(greatest(5 * avg(rho), 0), 0.5) w from ic), (select avg(mkt) b from (select mkt from market where mkt is not null order by d_idx desc limit 252))""", o.FEATURES_CTE, o.IC_CTE))
+@register("shrink_blend", o.q("""select ticker, '1M' horizon, round_even(100 * (exp(b * 21 + w * (mom_63 - b * 21)) - 1), 2) expected_return_pct, round_even(100 * (exp(mom_63) - 1), 2) raw_model_return_pct, round(w, 6) + 0.0::double skill_weight from now_ join trust on true""", o.FEATURES_CTE, o.IC_CTE, _NOW,
+    "base_ as (select coalesce(avg(mkt), 0) b from (select mkt, row_number() over (order by d_idx desc) k from market where mkt is not null) where k <= 252)",
+    "trust as (select (select b from base_) b, (select least(greatest(5 * avg(rho), 0), 0.5) from ic) w)"))
 def shrink_blend(spark, sf_dir):
-    panel = panel_of(spark, sf_dir)
-    rows = features.add_targets(features.add_features(panel), {"1M": 21})
+    """Momentum blended with the market's mean by its own skill."""
+    panel, rows = _daily_rows(spark, sf_dir)
     now = forecast.latest(rows)
     skill = forecast.ic_summary(_graded(rows)).select("horizon", F.lit(21).alias("h"), forecast.skill_weight(F.col("ic")).alias("skill_weight"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     base = forecast.market_base(panels.market_series(panel))
@@ -442,9 +445,10 @@ _RANKS = " union all ".join(f"select ticker, '{f}' feature, {i} o, {f} x from no
 _LABEL = "case feature " + " ".join(f"when '{f}' then '{label.replace(chr(39), chr(39) * 2)}'" for f, label in forecast.REASONS.items()) + " else feature end"
 
 
-@register("top10_reasons", o.q(f"select ticker, coalesce(string_agg({_LABEL}, '; ' order by k) filter (k <= 3 and pct > 0.6), '{forecast.NO_REASON}') pourquoi from now_ left join (select *, row_number() over (partition by ticker order by pct desc, o) k from pcts) using (ticker) group by ticker", o.FEATURES_CTE,
-    "now_ as (select * from features where mom_63 is not null and d_idx = (select max(d_idx) from cal))", f"cells as ({_RANKS})",
-    f"pcts as (select ticker, feature, o, ({o.rank_sql('x', 'feature')}) / count(*) over (partition by feature) pct from cells)"))
+_REASONS = f"select ticker, coalesce(string_agg({_LABEL}, '; ' order by k) filter (k <= 3 and pct > 0.6), '{forecast.NO_REASON}') pourquoi from now_ left join (select *, row_number() over (partition by ticker order by pct desc, o) k from pcts) using (ticker) group by ticker"
+
+
+@register("top10_reasons", o.q(_REASONS, o.FEATURES_CTE, _NOW, f"cells as ({_RANKS})", f"pcts as (select ticker, feature, o, ({o.rank_sql('x', 'feature')}) / count(*) over (partition by feature) pct from cells)"))
 def top10_reasons(spark, sf_dir):
     return forecast.reasons(forecast.latest(features.add_features(panel_of(spark, sf_dir))))
 
@@ -454,22 +458,82 @@ _TERMS = ", ".join([
     "count(*)::double n", "sum(actual) y", *[f"sum({f}) x{i}" for i, f in enumerate(features.FEATURES)], *[f"sum({f} * actual) xy{i}" for i, f in enumerate(features.FEATURES)],
     *[f"sum({features.FEATURES[i]} * {features.FEATURES[j]}) x{i}x{j}" for i, j in _XX],
 ])
-_SAMPLES = "samples as (" + " union all ".join(f"select '{label}' horizon, date, fwd_{h} actual, {', '.join(features.FEATURES)} from features where fwd_{h} is not null and {_FULL}" for label, h in features.HORIZONS.items()) + ")"
+_SAMPLES = "samples as (" + " union all ".join(f"select '{label}' horizon, date, ticker, fwd_{h} actual, {', '.join(features.FEATURES)} from features where fwd_{h} is not null and {_FULL}" for label, h in features.HORIZONS.items()) + ")"
+
+
+_NAMES = features.FEATURES
+_P = len(_NAMES)
 
 
-@register("ridge_sums", o.q(f"select horizon, refit_id, {', '.join(f'round({c}, 4) + 0.0::double {c}' for c in forecast._SUMS)} from (select f.horizon, f.refit_id, {_TERMS} from folds f join samples s on s.horizon = f.horizon and s.date <= f.train_end group by 1, 2)", o.FEATURES_CTE, _SAMPLES, f"folds as ({_FOLDS})"))
+def _fit(name: str, sums: str) -> tuple[str, ...]:
+    """name (horizon, refit_id, b, w): the ridge of each row of sums, by elimination of all other rows (Gauss and Jordan), one feature at a time."""
+    pair = lambda i, j: f"x{min(i, j)}x{max(i, j)}"
+    spread = lambda i, j: f"({pair(i, j)} - x{i} * x{j} / n)"
+    sds = ", ".join(f"case when {spread(i, i)} > 1e-12 * {pair(i, i)} then sqrt({spread(i, i)} / n) else 1 end" for i in range(_P))
+    rows = ", ".join("[" + ", ".join([*[f"{spread(i, j)} / (sd[{i + 1}] * sd[{j + 1}]){' + 10' if i == j else ''}" for j in range(_P)], f"(xy{i} - x{i} * y / n) / sd[{i + 1}]"]) + "]" for i in range(_P))
+    return (
+        f"{name}_sd as (select *, [{sds}] sd from {sums} where n >= 200)",
+        f"""{name}_m(horizon, refit_id, k, m) as (select horizon, refit_id, 0::bigint, [{rows}] from {name}_sd
+ union all select horizon, refit_id, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then r else list_transform(r, lambda x, j: x - m[k + 1][j] * r[k + 1] / m[k + 1][k + 1]) end) from {name}_m where k < {_P})""",
+        f"{name}_w as (select horizon, refit_id, list_transform(m, lambda r, i: r[{_P + 1}] / r[i]) w from {name}_m where k = {_P})",
+        f"{name} as (select horizon, refit_id, y / n - ({' + '.join(f'w[{i + 1}] / sd[{i + 1}] * x{i} / n' for i in range(_P))}) b, [{', '.join(f'w[{i + 1}] / sd[{i + 1}]' for i in range(_P))}] w from {name}_w join {name}_sd using (horizon, refit_id))",
+    )
+
+
+_FOLD_SUMS = (o.FEATURES_CTE, _SAMPLES, f"folds as ({_FOLDS})", f"rsums as (select f.horizon, f.refit_id, {_TERMS} from folds f join samples s on s.horizon = f.horizon and s.date <= f.train_end group by 1, 2)")
+_OOS = (*_FOLD_SUMS, *_fit("fitted", "rsums"),
+    f"oos as (select s.horizon, f.refit_id, s.date, s.ticker, s.actual, b + {' + '.join(f'w[{i + 1}] * {f}' for i, f in enumerate(_NAMES))} prediction from samples s join folds f on s.horizon = f.horizon and s.date >= f.test_start and s.date <= f.test_end join fitted m on m.horizon = f.horizon and m.refit_id = f.refit_id)")
+_SKILL = (
+    f"dr as (select horizon, date, {o.rank_sql('prediction', 'horizon, date')} ra, {o.rank_sql('actual', 'horizon, date')} rb from oos)",
+    "dc as (select horizon, avg(rho) m, stddev_samp(rho) sd, count(rho) as days from (select horizon, date, case when stddev_pop(ra) > 0 and stddev_pop(rb) > 0 then corr(ra, rb) end rho from dr group by 1, 2 having count(*) >= 8) group by 1)",
+    f"pr as (select horizon, count(*) as rows_, case when stddev_pop(ra) > 0 and stddev_pop(rb) > 0 then corr(ra, rb) end rho from (select horizon, {o.rank_sql('prediction', 'horizon')} ra, {o.rank_sql('actual', 'horizon')} rb from oos) group by 1)",
+    """skill as (select horizon, case when rows_ < 50 then 0 when days >= 20 then m else coalesce(rho, 0) end ic,
+ case when rows_ < 50 then 0 when days >= 20 then case when sd > 0 then m / (sd / sqrt(days)) else 0 end else coalesce(rho * sqrt(greatest(2.0, rows_ / 21.0) - 2) / sqrt(greatest(1e-9, 1 - rho ** 2)), 0) end t_stat,
+ case when rows_ < 50 then rows_ when days >= 20 then days else rows_ end n, case when rows_ < 50 then null when days >= 20 then 'cross_sectional' else 'pooled_time_series' end as mode from pr left join dc using (horizon))""",
+    "bounds as (select horizon, quantile_cont(actual - prediction, 0.05) low, quantile_cont(actual - prediction, 0.95) high from oos group by 1 having count(*) > 60)",
+)
+_ALPHA = (
+    *_OOS, *_SKILL, "base_ as (select coalesce(avg(mkt), 0) base from (select mkt, row_number() over (order by d_idx desc) k from market where mkt is not null) where k <= 252)",
+    f"hz as (select unnest({list(features.HORIZONS)}) horizon, unnest({list(features.HORIZONS.values())}) h)",
+    "ht as (select horizon, h::int h, (select base from base_) base, coalesce(least(greatest(5 * ic, 0), 0.5), 0) skill_weight, low, high, coalesce(rows_, 0)::bigint oos_samples, ic, t_stat, n, mode from hz left join skill using (horizon) left join bounds using (horizon) left join (select horizon, rows_ from pr) using (horizon))",
+    _NOW, f"fsums as (select horizon, 0 refit_id, {_TERMS} from samples group by 1)", *_fit("final", "fsums"),
+    f"fraw as (select horizon, ticker, b + {' + '.join(f'w[{i + 1}] * coalesce({f}, 0)' for i, f in enumerate(_NAMES))} raw from now_, final)",
+    "mixed as (select ticker, horizon, base * h + skill_weight * (coalesce(raw, base * h) - base * h) mix, coalesce(raw, base * h) raw, low, high, skill_weight from (select ticker from now_) join ht on true left join fraw using (horizon, ticker))",
+    "forecasts as (select ticker, horizon, round_even(100 * (exp(mix) - 1), 2) expected_return_pct, round_even(100 * (exp(raw) - 1), 2) raw_model_return_pct, round_even(100 * (exp(mix + low) - 1), 2) low_5pct, round_even(100 * (exp(mix + high) - 1), 2) high_95pct, skill_weight from mixed)",
+)
+
+
+@register("ridge_sums", o.q(f"select horizon, refit_id, {', '.join(f'round({c}, 4) + 0.0::double {c}' for c in forecast.SUMS)} from rsums", *_FOLD_SUMS))
 def ridge_sums(spark, sf_dir):
     """What each refit of the ridge is solved from: sums over all the rows that it trains on."""
     data = _daily_samples(spark, sf_dir)
     sums = forecast.gram_sums(data, forecast.folds(data)).where("n > 0")
-    return sums.select("horizon", "refit_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in forecast._SUMS])
+    return sums.select("horizon", "refit_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in forecast.SUMS])
 
 
-@register("ridge_forecast")
+@register("ridge_forecast", o.q("select horizon, refit_id, date, ticker, round(actual, 6) + 0.0::double actual, round(prediction, 6) + 0.0::double prediction from oos", *_OOS))
 def ridge_forecast(spark, sf_dir):
     return r6(forecast.walk_forward(_daily_samples(spark, sf_dir), model="ridge"))
 
 
+@register("ic_summary", o.q("select horizon, round(ic, 6) + 0.0::double ic, round(t_stat, 6) + 0.0::double t_stat, n, mode from skill", *_OOS, *_SKILL))
+def ic_summary(spark, sf_dir):
+    """The skill of the ridge out of sample, of all horizons."""
+    return r6(forecast.ic_summary(_ridge(spark, sf_dir)))
+
+
+@register("residual_quantiles", o.q("select horizon, round(low, 6) + 0.0::double low, round(high, 6) + 0.0::double high from bounds", *_OOS, *_SKILL))
+def residual_quantiles(spark, sf_dir):
+    return r6(forecast.residual_bounds(_ridge(spark, sf_dir)))
+
+
+@register("quarterly_top10", o.q("""select count(x) as quarters, case when count(x) >= 3 then round(avg(x) * 100, 6) + 0.0::double end mean_quarterly_excess_pct, case when count(x) >= 3 then round(case when stddev_samp(x) > 0 then avg(x) / (stddev_samp(x) / sqrt(count(x))) else 0 end, 6) + 0.0::double end t_stat, case when count(x) >= 3 then round(avg((x > 0)::int::double), 6) + 0.0::double end positive_share from
+(select date, avg(actual) filter (k <= 10) - avg(actual) x from (select date, actual, row_number() over (partition by date order by prediction desc, ticker) k, count(*) over (partition by date) n, dense_rank() over (order by date) - 1 i from oos where horizon = '3M') where n >= 12 and i % 63 = 0 group by date)""", *_OOS))
+def quarterly_top10(spark, sf_dir):
+    """What the ridge's ten best forecasts for three months earned over all, each quarter."""
+    return r6(forecast.quarterly(_ridge(spark, sf_dir).where("horizon = '3M'")))
+
+
 @register("gbm_forecast")
 def gbm_forecast(spark, sf_dir):
     return r6(forecast.walk_forward(_daily_samples(spark, sf_dir)))
@@ -477,26 +541,27 @@ def gbm_forecast(spark, sf_dir):
 
 def _alpha(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the report makes of the ridge alone: skill by horizon, forecasts of the last date, and that date's features."""
-    panel = written(spark, panel_of(spark, sf_dir), "panel")
-    rows = written(spark, features.add_targets(features.add_features(panel)), "features")
+    panel, rows = _daily_rows(spark, sf_dir)
     data, now = forecast.samples(rows, features.HORIZONS), forecast.latest(rows)
-    table = forecast.horizon_table(forecast.walk_forward(data, model="ridge"), features.HORIZONS, panels.market_series(panel))
+    oos = written(spark, forecast.walk_forward(data, model="ridge"), "oos")
+    table = written(spark, forecast.horizon_table(oos, features.HORIZONS, panels.market_series(panel)), "horizons")
     return table, forecast.blended(now, table, forecast.final_forecasts(data, now, "ridge")), now
 
 
-@register("alpha_horizons")
+@register("alpha_horizons", o.q(f"select horizon, h, oos_samples, n, mode, {o.rounded(['base', 'skill_weight', 'low', 'high', 'ic', 't_stat'])} from ht", *_ALPHA))
 def alpha_horizons(spark, sf_dir):
-    """The skill of each horizon, and the trust that its forecasts get."""
+    """The skill of the ridge at each horizon, and the trust that its forecasts get."""
     return r6(_alpha(spark, sf_dir)[0])
 
 
-@register("alpha_forecasts")
+@register("alpha_forecasts", o.q(f"select ticker, horizon, {o.rounded(['expected_return_pct', 'raw_model_return_pct', 'low_5pct', 'high_95pct', 'skill_weight'])} from forecasts", *_ALPHA))
 def alpha_forecasts(spark, sf_dir):
-    """The forecasts of the last date, of every ticker and horizon."""
+    """The ridge's forecasts of the last date, of every ticker and horizon."""
     return r6(_alpha(spark, sf_dir)[1])
 
 
-@register("alpha_top10")
+@register("alpha_top10", o.q(f"""select ticker "Valeur", expected_return_pct "Prevision 3M %", low_5pct "Pire cas 5%", high_95pct "Meilleur cas 95%", pourquoi "Pourquoi" from (select *, row_number() over (order by expected_return_pct desc, ticker) k from forecasts where horizon = '3M') join reasons using (ticker) where k <= 10""",
+    *_ALPHA, f"cells as ({_RANKS})", f"pcts as (select ticker, feature, o, ({o.rank_sql('x', 'feature')}) / count(*) over (partition by feature) pct from cells)", f"reasons as ({_REASONS})"))
 def alpha_top10(spark, sf_dir):
     """The ten best forecasts for three months, with reasons, as the dashboard shows them."""
     _, forecasts, now = _alpha(spark, sf_dir)
