@@ -4,28 +4,34 @@ Counting: tasks count the words and pairs of what they read and send each distin
 first word; the lists are merged by buckets of the first word. There is a bucket for each BUCKET_TOKENS tokens, which
 are counted first and are as many as the pairs that are sent at most, so buckets grow in number and not in size. Words
 that make up a two-thousandth of all tokens or an eighth of a bucket are dealt by both words of the pair, so that no
-bucket grows with one word.
+bucket grows with one word; they are marked in a bitmap of fixed size, and so is, now and then, a word that is rare,
+which costs a few bytes and changes nothing else.
 Storage: each bucket, also an empty one, becomes one file in the shared folder with sorted hash arrays; workers map the
 files into memory and read the pages they need. Of a store that can't be mapped they hold the files used last. A file
 that is missing fails the job.
 Scoring: documents are scored where they are read; each distinct pair of a batch is looked up once, in order.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+`` in lower case (A to Z) and one end for each text; they are identified by XXH3
-hashes of 64 bits, which take any two of a billion different words for one with a chance of 3 in 100.
+Tokens are words ``[^\\x20\\x09-\\x0D]+`` in lower case (A to Z) and one end for each text. They are identified by XXH3
+hashes of 128 bits under a seed that is drawn anew for each training, so nobody can prepare words that look alike, and
+counts of tokens, the vocabulary and what is known of a text are of words told apart. Pairs are named by the first 64
+bits of both words: of a billion words two share those with a chance of 3 in 100, which moves their pairs' counts only.
 """
 
 from __future__ import annotations
 
 import mmap
 import os
+import secrets
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 from .shared import Words, crc_mod, discard, id_and_text, kept, let_go, mix, shared_path, text_chunks, written
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+#: Bits of the map of hot words, a power of two.
+HOT_BITS = 1 << 16
 #: Words that have this share of all tokens or more are hot.
 HOT_SHARE = 1 / 2000
 #: Tokens for each bucket: a task merges about as many pairs at once, however large the corpus is.
@@ -47,11 +55,17 @@ COPIED_BYTES = 256 << 20
 _HEAD = struct.Struct("<QQ")
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's followed by END, and where each text's begin (one more than texts)."""
-    words = Words(texts, lower=True)
+def tokens_of(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens, each text's followed by END: the first 64 bits of their hashes, the others (0 for END), and where each text's begin (one more than texts)."""
+    words = Words(texts, lower=True, hashes=lambda held: np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held, repeat(seed))), "<u8").reshape(-1, 2))
     at = words.offsets[1:] + np.arange(len(texts))
-    return np.insert(words.hash, words.offsets[1:], END), np.concatenate([[0], at + 1])
+    return np.insert(words.hash[:, 0], words.offsets[1:], END), np.insert(words.hash[:, 1], words.offsets[1:], np.uint64(0)), np.concatenate([[0], at + 1])
+
+
+def runs(w: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order by w, and where in it a word begins; a word may begin again if another shares its w."""
+    order = np.argsort(w, kind="stable")
+    return order, np.flatnonzero((np.diff(w[order], prepend=~w[order[:1]]) != 0) | (np.diff(w2[order], prepend=w2[order[:1]]) != 0)) if len(w) else order
 
 
 def contexts_of(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,8 +83,20 @@ def _top(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def hot_map(places: list[int]) -> bytes:
+    """A bit for each of HOT_BITS places."""
+    bits = np.zeros(HOT_BITS, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits).tobytes()
+
+
 def buckets_of(v: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    return np.where(np.isin(v, hot), _top(pair, buckets), _top(v, buckets))
+    """hot: for each place of the map whether its words are dealt by the pair."""
+    return np.where(hot[(v & np.uint64(HOT_BITS - 1)).astype(np.int64)], _top(pair, buckets), _top(v, buckets))
+
+
+def _hot(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
 # ---------------------------------------------------------------- files in the shared folder
@@ -123,34 +149,39 @@ def _views(raw: np.ndarray, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
 # ---------------------------------------------------------------- counting
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    let_go()
-    held: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        w, back = np.unique(np.concatenate(held), return_inverse=True)
-        return w, np.bincount(back, np.concatenate(counts)).astype(np.int64)
-
-    n = 0
-    for batch in batches:
-        for a, b, texts in text_chunks(batch):
-            w, c = np.unique(tokens_of(texts)[0], return_counts=True)
-            held.append(w)
-            counts.append(c)
-            n += len(w)
-            if n > HELD:
-                w, c = merged()
-                held, counts, n = [w], [c], len(w)
-                if n > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
-                    held, counts, n = [], [], 0
-    if held:
-        w, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
-
-
-def _count_pairs(hot: np.ndarray, buckets: int):
+def _count_words(seed: int):
+    def merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w, w2, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, starts = runs(w, w2)
+        return w[order[starts]], w2[order[starts]], np.add.reduceat(c[order], starts)
+
+    def batch_of(w, w2, c) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(c)], ["w", "w2", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        held: list[tuple] = []
+        n = 0
+        for batch in batches:
+            for _, _, texts in text_chunks(batch):
+                w, w2, _ = tokens_of(texts, seed)
+                held.append(merged([(w, w2, np.ones(len(w), np.int64))]))
+                n += len(held[-1][0])
+                if n > HELD:
+                    held = [merged(held)]
+                    n = len(held[0][0])
+                    if n > HELD // 2:
+                        yield batch_of(*held[0])
+                        held, n = [], 0
+        if held:
+            yield batch_of(*merged(held))
+
+    return run
+
+
+def _count_pairs(packed: bytes, buckets: int, seed: int):
+    hot = _hot(packed)
+
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         k, *cells = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], ["bucket", "v", "n", "w", "c"])
@@ -180,7 +211,7 @@ def _count_pairs(hot: np.ndarray, buckets: int):
         held, n = [], 0
         for batch in batches:
             for a, b, texts in text_chunks(batch):
-                t, offsets = tokens_of(texts)
+                t, _, offsets = tokens_of(texts, seed)
                 held.append((contexts_of(t, offsets), t))
                 n += len(t)
                 if n >= HELD:
@@ -227,11 +258,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are, and the numbers that hold for all of them."""
+    """Where the files are, and what holds for all of them."""
 
     path: str
     buckets: int
-    hot: tuple[int, ...]
+    hot: bytes
+    seed: int
     tokens: int
     vocabulary: int
     pair_discounts: tuple[float, float, float]
@@ -243,10 +275,10 @@ def _write_words(path: str):
         let_go()
         k = table.column("bucket")[0].as_py()
         table = table.filter(pc.is_valid(table.column("w")))
-        w = table.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(w)
+        w, w2 = (table.column(c).to_numpy().view(np.uint64) for c in ("w", "w2"))
+        order = np.lexsort((w2, w))
         cols = [table.column(c).to_numpy()[order] for c in ("c", "total", "gamma", "p")]
-        save(f"{path}/words-{k}", [np.array([len(w), 0], "<u8"), w[order], cols[0].astype("<i8"), cols[1].astype("<i8"), cols[2].astype("<f4"), cols[3].astype("<f8")])
+        save(f"{path}/words-{k}", [np.array([len(w), 0], "<u8"), w[order], w2[order], cols[0].astype("<i8"), cols[1].astype("<i8"), cols[2].astype("<f4"), cols[3].astype("<f8")])
         return pa.table([pa.array([len(w)], pa.int64())], ["n"])
 
     return run
@@ -254,15 +286,16 @@ def _write_words(path: str):
 
 def train(docs: DataFrame) -> Model:
     """Counts all docs (text) and writes the model's files to a new place in the shared folder. Without any document every token is unknown."""
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, secrets.randbits(64)
     path = shared_path(spark, "kn")
     text = docs.select("text")
-    words = written(spark, text.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "kn-words")
+    words = written(spark, text.mapInArrow(_count_words(seed), "w long, w2 long, c long").groupBy("w", "w2").agg(F.sum("c").alias("c")), "kn-words")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     often = max(1.0, min(tokens * HOT_SHARE, BUCKET_TOKENS / 8))
-    hot = tuple(r.w & (1 << 64) - 1 for r in words.where(F.col("c") >= F.lit(often)).select("w").collect()) + (int(BEGIN),)
-    lists = text.mapInArrow(_count_pairs(np.array(hot, np.uint64), buckets), "bucket int, v binary, n binary, w binary, c binary")
+    place = F.col("w").bitwiseAND(F.lit(HOT_BITS - 1)).cast("int").alias("place")
+    hot = hot_map([r.place for r in words.where(F.col("c") >= F.lit(often)).select(place).distinct().collect()] + [int(BEGIN) % HOT_BITS])  # HOT_BITS rows at most
+    lists = text.mapInArrow(_count_pairs(hot, buckets, seed), "bucket int, v binary, n binary, w binary, c binary")
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))  # so that empty buckets have files too
     lists = lists.unionByName(every.select("bucket", *[F.lit(b"").alias(c) for c in "vnwc"]))
     stats = lists.groupBy("bucket").applyInArrow(_merge_pairs(path), "w long, " + ", ".join(f"{c} long" for c in _STATS))
@@ -275,13 +308,13 @@ def train(docs: DataFrame) -> Model:
     cont = F.coalesce("cont", F.lit(0))
     less = F.when(cont >= 3, e[2]).when(cont == 2, e[1]).when(cont == 1, e[0]).otherwise(0.0)
     gamma = F.when(F.col("total") > 0, (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).otherwise(1.0)
-    full = stats.join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "total", gamma.cast("double").alias("gamma"), ((cont - less) / pairs + unknown).alias("p"))
+    full = stats.join(words, "w", "left").select("w", F.coalesce("w2", F.lit(0)).cast("long").alias("w2"), F.coalesce("c", F.lit(0)).cast("long").alias("c"), "total", gamma.cast("double").alias("gamma"), ((cont - less) / pairs + unknown).alias("p"))
     unsigned = F.shiftrightunsigned("w", 32)
     full = full.withColumn("bucket", F.shiftright(unsigned * buckets, 32).cast("int")).unionByName(every, allowMissingColumns=True)
     full.groupBy("bucket").applyInArrow(_write_words(path), "n long").agg(F.sum("n")).collect()
     discard(spark, words)
     discard(spark, stats)
-    return Model(path, buckets, hot, tokens, vocabulary, d, unknown)
+    return Model(path, buckets, hot, seed, tokens, vocabulary, d, unknown)
 
 
 # ---------------------------------------------------------------- scoring
@@ -291,7 +324,7 @@ class Store:
     """The files of a model in one worker, mapped when first needed."""
 
     def __init__(self, model: Model):
-        self.m, self.hot = model, np.array(model.hot, np.uint64)
+        self.m, self.hot = model, _hot(model.hot)
         self.maps: dict[tuple[str, int], list[np.ndarray]] = {}
         self.copied = 0
 
@@ -303,20 +336,24 @@ class Store:
                 self.maps.clear()
                 self.copied = copied
             n, big = _HEAD.unpack(raw[:16].tobytes())
-            cols = [("<u8", n), ("u1", n), ("<u8", big), ("<u8", big)] if kind == "pairs" else [("<u8", n), ("<i8", n), ("<i8", n), ("<f4", n), ("<f8", n)]
+            cols = [("<u8", n), ("u1", n), ("<u8", big), ("<u8", big)] if kind == "pairs" else [("<u8", n), ("<u8", n), ("<i8", n), ("<i8", n), ("<f4", n), ("<f8", n)]
             self.maps[kind, k] = _views(raw[16:], cols)
         return self.maps[kind, k]
 
-    def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, w: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Count, total as a context, weight of the lower order, and lower-order probability; w must be sorted."""
         out = (np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), np.ones(len(w)), np.full(len(w), self.m.unknown))
         edges = np.searchsorted(_top(w, self.m.buckets), np.arange(self.m.buckets + 1))
         for k in np.flatnonzero(np.diff(edges)):
             a, b = edges[k], edges[k + 1]
-            known, *cols = self._arrays("words", int(k))
+            known, known2, *cols = self._arrays("words", int(k))
             at = np.searchsorted(known, w[a:b])
             hit = np.flatnonzero(at < len(known))
             hit = hit[known[at[hit]] == w[a:b][hit]]
+            while len(other := hit[known2[at[hit]] != w2[a:b][hit]]):  # another word shares the first 64 bits: it may be the next
+                at[other] += 1
+                gone = other[(at[other] == len(known)) | (known[np.minimum(at[other], len(known) - 1)] != w[a:b][other])]
+                hit = hit[~np.isin(hit, gone)]
             for to, col in zip(out, cols, strict=True):
                 to[a + hit] = col[at[hit]]
         return out
@@ -349,10 +386,13 @@ def _score(model: Model):
         store, d = _store(model), np.array([0.0, *model.pair_discounts])
         for batch in batches:
             for a, b, texts in text_chunks(batch, SCORE_BYTES):
-                w, offsets = tokens_of(texts)
+                w, w2, offsets = tokens_of(texts, model.seed)
                 v = contexts_of(w, offsets)
-                own, at = np.unique(np.concatenate([[BEGIN], w]), return_inverse=True)
-                count, total, gamma, p = store.words(own)
+                all1, all2 = np.concatenate([[BEGIN], w]), np.concatenate([np.zeros(1, np.uint64), w2])
+                order, first = runs(all1, all2)
+                at = np.empty(len(order), np.int64)
+                at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+                count, total, gamma, p = store.words(all1[order[first]], all2[order[first]])
                 begin, at = at[0], at[1:]
                 before = np.concatenate([[begin], at[:-1]]) if len(at) else at
                 before[offsets[:-1]] = begin

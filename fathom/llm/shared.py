@@ -72,7 +72,17 @@ def id_and_text(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFra
     """doc_id as long and text as string, and the extra columns under new names; columns that have the type already stay as they are, so equal scans stay equal in the plan."""
     kinds = dict(docs.dtypes)
     own = [F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
-    return docs.select(*own, *[F.col(f"`{c}`").alias(to) for c, to in (extra or {}).items()])
+    return docs.select(*own, *[F.col(quoted(c)).alias(to) for c, to in (extra or {}).items()])
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(df: DataFrame) -> DataFrame:
+    """df as one column, row: joined with others no name of its columns can clash; row.* gives them back."""
+    return df.select(F.struct(*map(quoted, df.columns)).alias("row"))
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:
@@ -135,16 +145,17 @@ def pieces(text: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
 
 
 class Words:
-    """Words of some texts: hashes of their bytes (XXH3 of 64 bits), and where each text's begin (``offsets``, one more than texts).
+    """Words of some texts: hashes of their bytes (by default XXH3 of 64 bits), and where each text's begin (``offsets``, one more than texts).
 
     split gives the words of a text; by default they are ``[^\\x20\\x09-\\x0D]+``. White space must lie between words.
+    hashes: an array with a row for each of a list of words.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False, split: Callable[[bytes], list[bytes]] = bytes.split):
-        hashes, counts, held = [], [], []
+    def __init__(self, texts: list[bytes], lower: bool = False, split: Callable[[bytes], list[bytes]] = bytes.split, hashes: Callable[[list[bytes]], np.ndarray] | None = None):
+        parts, counts, held = [], [], []
 
         def hashed():
-            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)))
+            parts.append(hashes(held) if hashes else np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)))
 
         for text in texts:
             n = 0
@@ -157,7 +168,7 @@ class Words:
                     held = []
             counts.append(n)
         hashed()
-        self.hash = np.concatenate(hashes)
+        self.hash = np.concatenate(parts)
         self.offsets = np.cumsum([0, *counts])
 
     @property

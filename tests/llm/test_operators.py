@@ -167,6 +167,34 @@ def test_words_that_look_alike(spark):
     assert {r.doc_id: r.n_known for r in kneser_ney.op9(docs).collect()} == {held: 1, seen: 61}
 
 
+def test_words_prepared_to_collide(spark):
+    """Words of 32 bytes whose halves change places under a hash without a seed: equal there, told apart by a training's own seed."""
+    words = [bytes.fromhex(h) + b"abcdefghijklmnop" for h in ("e9bf8e2e272e7701e9bf8e2e272e7708", "2d40633bf3ab91aa2d40633bf3ab91a3")]
+    assert xxhash.xxh3_64_intdigest(words[0]) == xxhash.xxh3_64_intdigest(words[1])
+    a, b = (w.decode() for w in words)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    seen = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    docs = spark.createDataFrame([(held, " ".join([a] * 60)), (seen, " ".join([b] * 60))], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in kneser_ney.op9(docs).collect()} == {held: 1, seen: 61}
+    seeds = {kneser_ney.train(docs).seed for _ in range(2)}
+    assert len(seeds) == 2
+
+
+def test_words_that_share_the_first_half_of_their_hash(tmp_path):
+    """The vocabulary's files tell them apart by the second half."""
+    import pyarrow as pa
+
+    n = 6
+    w, w2 = np.array([5, 7, 7, 7, 9, 9], np.int64), np.array([1, 3, 2, 4, 8, 6], np.int64)
+    table = pa.table({"w": w, "w2": w2, "c": np.arange(10, 10 + n), "total": np.arange(n), "gamma": np.ones(n), "p": np.ones(n), "bucket": np.zeros(n, np.int32)})
+    kneser_ney._write_words(f"file://{tmp_path}")(table)
+    store = kneser_ney.Store(kneser_ney.Model(f"file://{tmp_path}", 1, kneser_ney.hot_map([]), 0, 1, 1, (0.5, 1.0, 1.5), 0.1))
+    ask = [(5, 1), (5, 2), (7, 2), (7, 3), (7, 4), (7, 9), (8, 1), (9, 6), (9, 8), (9, 9), (11, 1)]
+    count = store.words(*(np.array(x, np.uint64) for x in zip(*ask, strict=True)))[0]
+    assert count.tolist() == [10, 0, 12, 11, 13, 0, 0, 15, 14, 0, 0]
+    assert [len(x) for x in kneser_ney.runs(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] == [0, 0]
+
+
 def test_substring_of_rows_that_share_a_doc_id(spark):
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(n))
