@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import as_row, quoted
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -104,7 +106,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, what: str = "documents") -
     text_key = lambda c: F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
     named = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("t")).alias("doc_id"), "text")
     bad = judged(named, bench).where("contaminated").groupBy("doc_id").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = as_row(docs)
     bad = bad.select(F.struct("doc_id", "spans").alias("bad"))
     same = F.col("row.doc_id").eqNullSafe(F.col("bad.doc_id.doc_id")) & (text_key(F.col("row.text")) == F.col("bad.doc_id.t"))
     if what == "documents":
@@ -114,7 +116,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, what: str = "documents") -
     pieces = F.split("row.text", f"(?<={word})(?!{word})")
     rest = F.filter(pieces, lambda p, i: ~F.exists("bad.spans", lambda s: (i >= s.start) & (i < s.end)))
     text = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(F.array_join(rest, ""))
-    return whole.join(bad, same, "left").select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return whole.join(bad, same, "left").select(*[text.alias(c) if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op2(docs: DataFrame, bench: DataFrame) -> DataFrame:

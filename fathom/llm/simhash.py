@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, id_and_text, let_go, shared_dir, text_chunks, written
+from .shared import as_row, discard, id_and_text, let_go, shared_dir, text_chunks, written
 
 _SHINGLE = 3
 #: Neighbours that a task emits, about.
@@ -130,10 +130,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays.
 
     Links are those of near_duplicates(): two bits of 64, so a copy with more changes than that stays. Rows without a
-    doc_id stay. Of rows that share a doc_id each is judged by its own text; rows that repeat both go or stay together.
+    doc_id stay. Of rows that share a doc_id each is judged by its own text; rows that repeat both go or stay together. Other columns are carried along, whatever their names.
     """
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
-    return docs.join(drop, (F.col("doc_id").cast("long") == F.col("__id")) & (text_key(F.col("text")) == F.col("__t")), "left_anti")
+    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id", "t").distinct().select(F.struct("doc_id", "t").alias("drop"))
+    same = (F.col("row.doc_id").cast("long") == F.col("drop.doc_id")) & (text_key(F.col("row.text")) == F.col("drop.t"))
+    return as_row(docs).join(drop, same, "left_anti").select("row.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Words, id_and_text, let_go, pieces, rolling, text_chunks
+from .shared import Words, id_and_text, let_go, pieces, quoted, rolling, text_chunks
 
 WINDOW = 50
 #: Bytes of text in a chunk, and bytes of text whose entries share a bucket, about.
@@ -111,7 +111,7 @@ class Chunk:
 
     def is_copy(self, i: int, text: bytes) -> bool:
         """A copy of a whole text with a smaller doc_id loses every word that lies in a window, and shows no other document a window that the smaller doc_id doesn't show: it isn't compared."""
-        return self.ids[i] in self.copy_ids and (int(self.ids[i]), hashlib.md5(text).hexdigest().encode()) in self.copies
+        return self.ids[i] in self.copy_ids and (int(self.ids[i]), hashlib.sha256(text).digest()) in self.copies
 
     def parts(self) -> Iterator[tuple[list[int], list[bytes], Words]]:
         """(numbers, texts, words) of the documents that are compared, some at a time."""
@@ -298,10 +298,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = True,
     dealt = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     by_chunk = dealt.groupBy("chunk")  # the three passes over the texts use one exchange
 
-    same = dealt.select("doc_id", "chunk", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
+    same = dealt.select("doc_id", "chunk", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("m"))
     first = same.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m", "lo", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     met = same.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(first, ["m", "part"]).where("doc_id > lo")
-    copies = met.select(F.col("chunk").alias("to"), F.lit(COPY).alias("kind"), F.col("doc_id").alias("who"), F.col("m").cast("binary").alias("data"))
+    copies = met.select(F.col("chunk").alias("to"), F.lit(COPY).alias("kind"), F.col("doc_id").alias("who"), F.col("m").alias("data"))
 
     blocks = by_chunk.cogroup(copies.groupBy("to")).applyInArrow(_name_blocks(window, buckets), _LISTS)
     told = copies.unionByName(blocks.groupBy("bucket").applyInArrow(_match_blocks, _TOLD))
@@ -319,7 +319,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut from their texts; n_chars, where there is one, follows the text where words went. Nulls and repeated rows as in dedup_substrings()."""
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     got = dedup_substrings(docs.withColumnsRenamed({c: f"_{c}" for c in extra}), extra=tuple(f"_{c}" for c in extra))
-    out = [F.col("doc_id") if c == "doc_id" else F.col("kept").alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`_{c}`").alias(c) for c in docs.columns]
+    out = [F.col("doc_id") if c == "doc_id" else F.col("kept").alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(quoted(f"_{c}")).alias(c) for c in docs.columns]
     return got.select(*out)
 
 

@@ -122,6 +122,7 @@ def _kept(model, bits: int):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores less than THRESHOLD; judged where they are read. Null and empty texts score by the bias; repeated rows, and rows without a doc_id, each by their text."""
+    """The rows of docs, with all their columns, whose text scores less than THRESHOLD; judged where they are read. Null and empty texts score by the bias; repeated rows, and rows without a doc_id, each by their text. Other columns may have any names."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learnt_from(), bits))
-    return docs.mapInArrow(_kept(model, bits), docs.schema)
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(_kept(model, bits), plain.schema).toDF(*docs.columns)

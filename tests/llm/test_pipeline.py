@@ -16,7 +16,7 @@ from fathom.llm import toxicity
 
 from .test_operators import BENCH, ROWS, WORD, alike
 
-KINDS = "doc_id long, text string, lang string, source string, n_chars long, h long, spans string"
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, h long, spans string, __id long, `a.b` string, text_ string, `c``0` int, row string"
 
 
 def lower(text: str) -> str:
@@ -73,7 +73,7 @@ def folder(spark, tmp_path_factory):
     a, b = alike()
     texts = [*ROWS, (9001, ROWS[1][1]), (9001, "a clean text under a doc_id that another text has too"), (9002, " ".join([a] * 60)), (9003, " ".join([b] * 60))]
     texts += [(9100 + i, f"vile{i % 3} filth scum {t}") for i, (_, t) in enumerate(ROWS[:30])]
-    rows = [(i, t, None, f"r{k}", len(t or ""), k, "s") for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, None, f"r{k}", len(t or ""), k, "s", k, "t", None, k, "u") for k, (i, t) in enumerate(texts)]
     labels = [(i, 1, 0) for i, t in ROWS[:40]] + [(9100 + i, 0, 1) for i in range(30)]
     spark.createDataFrame(rows, KINDS).repartition(3).write.parquet(f"{to}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
