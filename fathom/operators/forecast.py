@@ -8,18 +8,22 @@ is bounded by tickers times calendar; all refits of all horizons are grown in pa
 from __future__ import annotations
 
 import functools
-from math import sqrt
+from math import pi, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .features import FEATURES, average_rank
 
 REFIT = 42
 MIN_DAYS = 150
 MIN_ROWS = 200
+#: What is added to the variance of a normal, and the fewest rows it stands for.
+LEAST_SPREAD = 1e-6
+LEAST_SHARE = 1e-9
 
 
 # ---------------------------------------------------------------- models, in numpy
@@ -335,18 +339,55 @@ def quarterly(oos: DataFrame, every: int = 63, n: int = 10, least: int = 12) ->
     return s.select("quarters", F.when(enough, F.col("m") * 100).alias("mean_quarterly_excess_pct"), F.when(enough, t).alias("t_stat"), F.when(enough, F.col("share")).alias("positive_share"))
 
 
-def market_regime(market: DataFrame) -> dict:
-    """Calm or stressed: a mixture of two normals over the market's returns, and the last 21 dates' chance of the calmer one. "inconnu" below 120 dates."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+def _mixture(row: Column) -> tuple[Column, Column]:
+    """(chance of the first normal, logarithm of the density) of x under row: (share, m0, v0, m1, v1)."""
+    x = F.col("x")
+    part = lambda share, m, v: F.ln(share) - F.ln(2 * pi * v) / 2 - (x - m) * (x - m) / (2 * v)
+    first, second = part(row["share"], row["m0"], row["v0"]), part(1 - row["share"], row["m1"], row["v1"])
+    return 1 / (1 + F.exp(second - first)), F.greatest(first, second) + F.ln(1 + F.exp(-F.abs(first - second)))
 
-    rows = market.where("mkt is not null")
+
+def _maximised(rows: DataFrame, chance: Column, fit: Column) -> tuple:
+    """The mixture that fits best given each row's chance to be of the first normal: sums over all rows. Then the number of rows, and the mean of fit."""
+    r = rows.select("x", chance.alias("r"), fit.alias("l"))
+    x, p = F.col("x"), F.col("r")
+    s = r.agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("n0"), F.sum(p * x).alias("s0"), F.sum(p * x * x).alias("q0"), F.sum((1 - p) * x).alias("s1"), F.sum((1 - p) * x * x).alias("q1"), F.avg("l").alias("l")).first()
+    n0, n1 = (max(v, LEAST_SHARE) for v in (s.n0, s.n - s.n0))
+    m0, m1 = s.s0 / n0, s.s1 / n1
+    return (n0 / (n0 + n1), m0, max(s.q0 / n0 - m0 * m0, 0.0) + LEAST_SPREAD, m1, max(s.q1 / n1 - m1 * m1, 0.0) + LEAST_SPREAD), s.n, s.l
+
+
+def two_normals(rows: DataFrame, tolerance: float = 1e-5, rounds: int = 200) -> tuple[float, float, float, float, float] | None:
+    """(share, m0, v0, m1, v1) of the mixture of two normals that x follows, by expectation and maximisation; a round is one sum over the rows.
+
+    It starts from the rows nearer to the mean than half of them are, against the others, and stops once the mean
+    logarithm of the density grows by less than tolerance. None without rows.
+    """
+    spark = rows.sparkSession
+    centre = rows.agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    if not centre.n:
+        return None
+    reach = rows.agg(F.percentile(F.abs(F.col("x") - centre.m), 0.5).alias("d")).first().d
+    now, _, _ = _maximised(rows, (F.abs(F.col("x") - centre.m) <= reach).cast("double"), F.lit(0.0))
+    last = None
+    for _ in range(rounds):
+        at = spark.createDataFrame([now], "share double, m0 double, v0 double, m1 double, v1 double")
+        chance, fit = _mixture({c: F.col(c) for c in at.columns})
+        new, _, level = _maximised(rows.join(F.broadcast(at)), chance, fit)  # bounded: one row
+        if last is not None and level - last < tolerance:
+            break
+        now, last = new, level
+    return now
+
+
+def market_regime(market: DataFrame) -> DataFrame:
+    """(regime, calm_probability, calm_ann_vol, stress_ann_vol) in one row: is the market calm or stressed, by the last 21 dates' mean chance of the calmer of two normals. "inconnu" and nulls below 120 dates."""
+    spark, schema = market.sparkSession, "regime string, calm_probability double, calm_ann_vol double, stress_ann_vol double"
+    rows = written(spark, market.where("mkt is not null").select("d_idx", F.col("mkt").alias("x")), "market")
     if rows.count() < 120:
-        return {"regime": "inconnu"}
-    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.select("d_idx", (F.col("mkt") * 100).alias("x")))
-    model = GaussianMixture(k=2, seed=0, maxIter=200, tol=1e-6).fit(data)
-    vols = [sqrt(float(r["cov"].toArray()[0, 0])) / 100 for r in model.gaussiansDF.collect()]
-    calm = int(np.argmin(vols))
-    last = model.transform(data.orderBy(F.desc("d_idx")).limit(21)).select("probability").collect()
-    chance = float(np.mean([r.probability[calm] for r in last]))
-    return {"regime": "CALME" if chance > 0.5 else "STRESS", "calm_probability": chance, "calm_ann_vol": vols[calm] * sqrt(252), "stress_ann_vol": vols[1 - calm] * sqrt(252)}
+        return spark.createDataFrame([("inconnu", None, None, None)], schema)
+    share, m0, v0, m1, v1 = two_normals(rows)
+    chance, _ = _mixture({"share": F.lit(share), "m0": F.lit(m0), "v0": F.lit(v0), "m1": F.lit(m1), "v1": F.lit(v1)})
+    recent = rows.orderBy(F.desc("d_idx")).limit(21).agg(F.avg(chance if v0 <= v1 else 1 - chance).alias("calm"))
+    name = F.when(F.col("calm") > 0.5, "CALME").otherwise("STRESS").alias("regime")
+    return recent.select(name, F.col("calm").alias("calm_probability"), F.lit(sqrt(min(v0, v1) * 252)).alias("calm_ann_vol"), F.lit(sqrt(max(v0, v1) * 252)).alias("stress_ann_vol"))

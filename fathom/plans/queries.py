@@ -568,10 +568,24 @@ def alpha_top10(spark, sf_dir):
     return dashboard.top_ten(forecast.top_ten(forecasts, now))
 
 
-@register("regime")
+_L0 = "(ln(share) - ln(2 * pi() * v0) / 2 - (x - m0) ** 2 / (2 * v0))"
+_L1 = "(ln(1 - share) - ln(2 * pi() * v1) / 2 - (x - m1) ** 2 / (2 * v1))"
+_CHANCE, _LEVEL = f"1 / (1 + exp({_L1} - {_L0}))", f"ln(exp({_L0}) + exp({_L1}))"
+_STEP = "greatest(sum(r), 1e-9) n0, greatest(sum(1 - r), 1e-9) n1, sum(r * x) s0, sum(r * x * x) q0, sum((1 - r) * x) s1, sum((1 - r) * x * x) q1"
+_NEW = "n0 / (n0 + n1), s0 / n0, greatest(q0 / n0 - (s0 / n0) ** 2, 0) + 1e-6, s1 / n1, greatest(q1 / n1 - (s1 / n1) ** 2, 0) + 1e-6"
+
+
+@register("regime", o.q("""select case when n < 120 then 'inconnu' when calm > 0.5 then 'CALME' else 'STRESS' end regime, case when n >= 120 then round(calm, 5) + 0.0::double end calm_probability, case when n >= 120 then round(sqrt(least(v0, v1) * 252), 6) + 0.0::double end calm_ann_vol, case when n >= 120 then round(sqrt(greatest(v0, v1) * 252), 6) + 0.0::double end stress_ann_vol
+from (select (select count(*) from mx) n, (select avg(case when v0 <= v1 then r else 1 - r end) from (select *, """ + _CHANCE + """ r from fin, (select x from mx order by d_idx desc limit 21))) calm, (select v0 from fin) v0, (select v1 from fin) v1)""",
+    o.MARKET_CTE, "mx as (select d_idx, mkt x from market where mkt is not null)",
+    f"em0(share, m0, v0, m1, v1) as (select {_NEW} from (select {_STEP} from (select x, (abs(x - m) <= median(abs(x - m)) over ())::int::double r from mx, (select avg(x) m from mx))))",
+    f"""em(i, share, m0, v0, m1, v1, l, gain) as (select 0, share, m0, v0, m1, v1, 0::double, 1e300::double from em0
+ union all select i + 1, {_NEW}, level, case when i = 0 then 1e300 else level - l end from (select i, l, avg(lk) level, {_STEP} from (select i, em.l, x, {_CHANCE} r, {_LEVEL} lk from em, mx where gain >= 1e-5 and i < 200) group by i, l))""",
+    "fin as (select * from em where i = (select case when min(gain) < 1e-5 then max(i) - 1 else max(i) end from em))"))
 def regime(spark, sf_dir):
+    """Calm or stressed, by a mixture of two normals over the market's returns."""
     got = forecast.market_regime(panels.market_series(panel_of(spark, sf_dir)))
-    return spark.createDataFrame([(got["regime"], got.get("calm_probability"), got.get("calm_ann_vol"), got.get("stress_ann_vol"))], "regime string, calm_probability double, calm_ann_vol double, stress_ann_vol double")
+    return got.select("regime", (F.round("calm_probability", 5) + F.lit(0.0)).alias("calm_probability"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("calm_ann_vol", "stress_ann_vol")])
 
 
 # ---------------------------------------------------------------- portfolio

@@ -143,7 +143,7 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
         tables = {"forecasts": spark_of(forecasts), "top10": spark_of(top)}
         last = p.agg(F.max("date")).first()[0]
         numbers = {
-            "as_of": last, "universe": now.count(), "market_regime": forecast.market_regime(market),
+            "as_of": last, "universe": now.count(), "market_regime": {k: v for k, v in _one(forecast.market_regime(market)).items() if v is not None},
             "horizons": {k: {"oos_samples": by[k].oos_samples, "skill": skill.get(k), "forecast_shrinkage": by[k].skill_weight} for k in horizons},
             "quarterly_top10_backtest": _one(forecast.quarterly(oos.where("horizon = '3M'"))), "top10_3m": [r.asDict() for r in tables["top10"].collect()],
             "honesty_note": f"A forecast is the market's mean plus the model's difference from it, weighted by the model's skill out of sample. The best information coefficient is {best:.3f}; without skill, forecasts stay at the market's mean.",

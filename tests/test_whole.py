@@ -212,10 +212,11 @@ def test_regime_finds_the_calm(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 0.03, 300), rng.normal(0, 0.004, 300)])
     market = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "d_idx long, mkt double")
-    got = market_regime(market)
+    got = market_regime(market).first().asDict()
     assert got["regime"] == "CALME" and got["calm_probability"] > 0.5
     assert got["calm_ann_vol"] == pytest.approx(0.004 * sqrt(252), rel=0.25) and got["stress_ann_vol"] == pytest.approx(0.03 * sqrt(252), rel=0.25)
-    assert market_regime(market.where("d_idx < 300"))["regime"] in ("CALME", "STRESS") and market_regime(market.limit(50)) == {"regime": "inconnu"}
+    assert market_regime(market.where("d_idx < 300")).first().regime in ("CALME", "STRESS") and tuple(market_regime(market.limit(50)).first()) == ("inconnu", None, None, None)
+    assert tuple(market_regime(market.limit(0)).first()) == ("inconnu", None, None, None)
 
 
 def test_pivot_means_duplicates(spark):
