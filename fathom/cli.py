@@ -38,15 +38,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     """Runs a command and returns the numbers of the reports it made, by name."""
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("fathom").getOrCreate()
-    stored, out = f"{a.home}/processed/prices", {}
+    home, out = reports.Home(a.home), {}
+    stored = home.prices
 
     def done(name: str, report: reports.Report) -> dict:
-        report.save(spark, f"{a.home}/reports", name)
+        home.save(spark, name, report)
         out[name] = report.numbers
         return report.numbers
 
     if a.command in ("ingest", "all"):
-        got = reports.ingest(spark, f"{a.home}/raw")
+        got = reports.ingest(spark, home.raw)
         got.tables.pop("prices").write.mode("overwrite").parquet(stored)
         done("ingest_metadata", got)
     elif a.command == "demo":
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if a.command in ("alpha", "all"):
         done("alpha_report", reports.run_alpha(files.load_prices(spark, stored)))
     if a.command in ("portfolio", "all"):
-        verdict = out.get("factor_backtest") or reports.read_json(spark, f"{a.home}/reports/factor_backtest.json")
+        verdict = out.get("factor_backtest") or home.numbers(spark, "factor_backtest")
         done("portfolio_report", reports.build_portfolio(files.load_prices(spark, stored), a.capital, verdict))
     print(json.dumps(out, indent=2, ensure_ascii=False, default=str))
     return out

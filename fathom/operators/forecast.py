@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..sources.store import written
 from .features import FEATURES, average_rank
 
@@ -245,8 +246,8 @@ def skill_weight(ic):
 
 def residual_bounds(oos: DataFrame) -> DataFrame:
     """(horizon, low, high): 5 % and 95 % of what came minus what was predicted, of horizons with over 60 rows."""
-    q = F.percentile(F.col("actual") - F.col("prediction"), F.array(F.lit(0.05), F.lit(0.95)))
-    return oos.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where("n > 60").select("horizon", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    left = oos.select("horizon", (F.col("actual") - F.col("prediction")).alias("left"))
+    return quantiles(left, ["horizon"], "left", [0.05, 0.95]).where("n > 60").select("horizon", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def latest(rows: DataFrame) -> DataFrame:

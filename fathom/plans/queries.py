@@ -11,7 +11,9 @@ from ..operators import panel as panels
 from ..operators.backtest import BASELINE
 from ..operators.factors import NAMES, add_factors, long_scores, zscore
 from ..sources.adapter import sales_prices
-from ..sources.store import written
+from ..sources.datasource import read_prices
+from ..sources.files import build_dataset
+from ..sources.store import shared_path, written
 from . import oracle as o
 from .oracle import luck_in_numbers
 
@@ -738,6 +740,42 @@ def dash_audit_by_vr(spark, sf_dir):
 # ---------------------------------------------------------------- sources and streams
 
 
+def _price_files(spark, sf_dir) -> str:
+    """A folder with the sales tables' prices as files of three layouts, by year: long with semicolons and French headers and numbers, wide with a column for each ticker (closes only), and quoted with separators in names."""
+    folder = shared_path(spark, "raw")
+    p = written(spark, sales_prices(spark, sf_dir).where("close > 0"), "prices").withColumn("kind", F.year("date") % 3)
+    day, number = F.date_format("date", "dd/MM/yyyy"), lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+    long = p.where("kind = 0").select(day.alias("Date de cotation"), F.concat(F.lit(" "), F.lower("ticker")).alias("Libellé"), number("close").alias("Cours de clôture"), number("volume").alias("Nombre de titres"))
+    long.write.csv(f"{folder}/long", header=True, sep=";")
+    tickers = sorted(r.ticker for r in p.select("ticker").distinct().collect())  # a row for each ticker
+    p.where("kind = 1").groupBy("date").pivot("ticker", tickers).agg(F.max("close")).coalesce(1).write.csv(f"{folder}/wide", header=True)  # a row for each date
+    quoted = p.where("kind = 2").select(F.col("volume").alias("titres, echanges"), F.date_format("date", "yyyy-MM-dd").alias("Seance"), F.col("ticker").alias("Valeur, nom"), F.col("close").alias("Dernier, cours"))
+    quoted.write.csv(f"{folder}/quoted", header=True, quoteAll=True)
+    return folder
+
+
+_FILES = "select upper(ticker) ticker, date, round(close, 6) + 0.0::double as close, case when year(date) % 3 <> 1 then volume end volume from prices where close > 0"
+
+
+@register("price_files_source", o.q(_FILES))
+def price_files_source(spark, sf_dir):
+    """Prices written as long, wide and quoted files, and read back by the data source."""
+    return r6(read_prices(spark, _price_files(spark, sf_dir)).select("ticker", "date", "close", "volume"))
+
+
+@register("price_files_dataset", o.q(_FILES))
+def price_files_dataset(spark, sf_dir):
+    """The same files, read by groups of equal headers."""
+    prices, _ = build_dataset(spark, _price_files(spark, sf_dir))
+    return r6(prices.select("ticker", "date", "close", "volume"))
+
+
+@register("panel_of_files", o.q("select upper(ticker) ticker, date, round(close, 6) + 0.0::double as close, round(ret, 6) + 0.0::double ret from panel"))
+def panel_of_files(spark, sf_dir):
+    """The panel over prices from files: duplicates would be averaged."""
+    return r6(panels.to_panel(written(spark, read_prices(spark, _price_files(spark, sf_dir)), "prices")).select("ticker", "date", "close", "ret"))
+
+
 @register("synthetic_demo")
 def synthetic_demo(spark, sf_dir):
     from ..sources.synthetic import generate

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,33 +27,59 @@ class Report:
     numbers: dict[str, Any]
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
-    def save(self, spark: SparkSession, folder: str, name: str) -> None:
-        """numbers as one JSON text, tables as CSV, below folder (any store that Spark writes)."""
-        text = json.dumps(self.numbers, indent=2, ensure_ascii=False, default=str)
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
-        for table, df in self.tables.items():
-            files.save_csv(df, f"{folder}/{table}.csv")
 
+@dataclass(frozen=True)
+class Home:
+    """Where everything lies below one folder of any store that Spark writes: raw files, prices, and reports in versions.
 
-def read_json(spark: SparkSession, path: str) -> dict:
-    """A saved report's numbers; none if there is no such report."""
-    from pyspark.errors import AnalysisException
+    A report is written whole to a folder of its own; then one line is appended to its list of versions, which Spark
+    commits at once or not at all. Readers follow the last line, so until then, and if a write fails, they get the
+    version before.
+    """
 
-    try:
-        row = spark.read.text(path, wholetext=True).first()
-    except AnalysisException:
-        return {}
-    return json.loads(row.value) if row else {}
+    root: str
 
+    @property
+    def raw(self) -> str:
+        return f"{self.root}/raw"
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A saved report's table, with the types that its texts suggest; None if there is no such table."""
-    from pyspark.errors import AnalysisException
+    @property
+    def prices(self) -> str:
+        return f"{self.root}/processed/prices"
 
-    try:
-        return spark.read.csv(path, header=True, inferSchema=True)
-    except AnalysisException:
-        return None
+    def versions(self, name: str) -> str:
+        return f"{self.root}/reports/{name}/versions"
+
+    def save(self, spark: SparkSession, name: str, report: Report) -> None:
+        """numbers as one JSON text, tables as CSV."""
+        version = f"{datetime.now(UTC):%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.root}/reports/{name}/{version}"
+        text = json.dumps(report.numbers, indent=2, ensure_ascii=False, default=str)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/numbers")
+        for table, df in report.tables.items():
+            files.save_csv(df, f"{folder}/{table}.csv")
+        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(self.versions(name))
+
+    def current(self, spark: SparkSession, name: str) -> str | None:
+        """The folder of a report's last version; None if there is no such report."""
+        try:
+            last = spark.read.text(self.versions(name)).agg(F.max("value").alias("v")).first().v
+        except AnalysisException:
+            return None
+        return last and f"{self.root}/reports/{name}/{last}"
+
+    def numbers(self, spark: SparkSession, name: str) -> dict:
+        """A saved report's numbers; none if there is no such report."""
+        folder = self.current(spark, name)
+        return json.loads(spark.read.text(f"{folder}/numbers", wholetext=True).first().value) if folder else {}
+
+    def table(self, spark: SparkSession, name: str, table: str) -> DataFrame | None:
+        """A saved report's table, with the types that its texts suggest; None if there is no such table."""
+        folder = self.current(spark, name)
+        try:
+            return spark.read.csv(f"{folder}/{table}.csv", header=True, inferSchema=True) if folder else None
+        except AnalysisException:
+            return None
 
 
 def _one(df: DataFrame) -> dict:

@@ -82,7 +82,7 @@ class Block:
 
 def listed(spark: SparkSession, raw_dir: str) -> list[str]:
     """Paths of the files that may hold prices, sorted; contents are not read."""
-    files = spark.read.format("binaryFile").load(raw_dir).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_dir).select("path")
     return sorted(r.path for r in files.where(F.lower("path").rlike(r"\.(csv|txt|xlsx|xlsm|xls)$")).collect())  # a row for each file
 
 
@@ -91,7 +91,8 @@ def _cells(header: str, sep: str) -> list[str]:
     return [c.strip().lstrip("\ufeff").strip() for c in next(csv.reader([header.lstrip("\ufeff")], delimiter=sep), [])]
 
 
-def _separator(header: str) -> str | None:
+def separator_of(header: str) -> str | None:
+    """The first separator that gives a header two columns."""
     return next((s for s in SEPARATORS if len(_cells(header, s)) > 1), None)
 
 
@@ -107,7 +108,7 @@ def delimited(spark: SparkSession, paths: list[str]) -> list[Block]:
         alike.setdefault(r.header, []).append(unquote(r.path))
     out = []
     for header, group in sorted(alike.items()):
-        if (sep := _separator(header)) is None:
+        if (sep := separator_of(header)) is None:
             continue
         names = _cells(header, sep)
         schema = ", ".join(f"c{i} string" for i in range(len(names)))

@@ -16,7 +16,7 @@ from fathom.functions.parsing import normalize_label, parse_date, parse_number
 from fathom.operators import audit, backtest, features, panel, portfolio
 from fathom.operators.forecast import skill_weight
 from fathom.plans import reports
-from fathom.sources import files, synthetic
+from fathom.sources import datasource, files, synthetic
 from fathom.sources.spreadsheets import read_book
 
 
@@ -60,6 +60,38 @@ def test_build_dataset(spark, tmp_path):
     assert len(got) == 2 + 3 + 3 and ("2025-01-03", "ZERO") not in got
     assert sum("OK (long)" == t["status"] for t in told) == 3 and sum("OK (wide)" == t["status"] for t in told) == 1
     assert [n for n, _ in read_book((raw / "wide.xlsx").read_bytes())] == ["w"]
+    book(raw / "z.xlsx", {"long": [["Séance", "Valeur", "Cours", "Titres échangés"], ["06/01/2025", "bcp", "272,5", 10]], "bare": [["a"], ["b"]], "few dates": [["Date", "X", "Y"], ["no", 1, 2], ["nor this", 1, 2], ["07/01/2025", 1, 2]]})
+    (raw / "deep").mkdir()
+    (raw / "deep" / "quoted.csv").write_text('"Valeur, nom","jour","Dernier, cours","quantité"\n"x, y","2025-01-07","1 234,5","3"\nIAM,2025-01-08,99\n')
+    by_source = sorted(map(tuple, datasource.read_prices(spark, str(raw)).collect()), key=repr)
+    assert by_source == sorted(map(tuple, files.build_dataset(spark, str(raw))[0].collect()), key=repr)
+    cells = {(str(r.date), r.ticker): (r.close, r.volume) for r in datasource.read_prices(spark, str(raw)).collect()}
+    assert cells["2025-01-06", "BCP"] == (272.5, 10.0) and cells["2025-01-07", "X, Y"] == (1234.5, 3.0) and cells["2025-01-08", "IAM"] == (99.0, None)
+    assert not {"X", "Y"} & {t for _, t in cells}
+    tables = datasource.raw_tables(spark, str(raw))
+    assert tables.columns == ["_src", "_kind", "_row", "date", "ticker", "close", "volume"]
+    assert tables.rdd.getNumPartitions() == len({r._src for r in tables.select("_src").distinct().collect()})
+    with pytest.raises(FileNotFoundError):
+        datasource.read_prices(spark, str(tmp_path / "none"))
+
+
+def test_reports_in_versions(spark, tmp_path):
+    """Until a version is whole, and if a write fails, readers get the one before."""
+    home = reports.Home(str(tmp_path / "home"))
+    assert home.numbers(spark, "r") == {} and home.table(spark, "r", "t") is None
+    table = lambda x: spark.createDataFrame([(x,)], "x long")
+    home.save(spark, "r", reports.Report({"n": 1, "é": None}, {"t": table(1)}))
+    first = home.current(spark, "r")
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        home.save(spark, "r", reports.Report({"n": 2}, {"t": table(2), "u": broken}))
+    assert home.current(spark, "r") == first and home.numbers(spark, "r") == {"n": 1, "é": None}
+    held = home.table(spark, "r", "t")
+    home.save(spark, "r", reports.Report({"n": 3}, {"t": table(3)}))
+    assert home.numbers(spark, "r") == {"n": 3} and home.table(spark, "r", "t").first().x == 3
+    assert held.first().x == 1  # who reads the version before still can
+    home.save(spark, "other", reports.Report({}))
+    assert home.numbers(spark, "other") == {} and home.table(spark, "other", "t") is None and home.current(spark, "other")
 
 
 def test_synthetic_factors_and_costs(spark):
@@ -149,10 +181,11 @@ def test_command_line(spark, tmp_path):
     assert got["market_audit"]["tickers"] == 12
     got = cli.main(["--home", home, "portfolio"], spark)["portfolio_report"]
     assert got["mode"].startswith("baseline_equal_weight") and 0 < got["invested_pct"] <= 100 and got["note"]
-    table = reports.read_table(spark, f"{home}/reports/current_portfolio.csv").toPandas()
+    store = reports.Home(home)
+    table = store.table(spark, "portfolio_report", "current_portfolio").toPandas()
     assert got["invested_pct"] == pytest.approx(table.weight_pct.sum()) and got["estimated_entry_cost_pct"] == 1.0
-    assert reports.read_table(spark, f"{home}/reports/none.csv") is None
-    assert reports.read_json(spark, f"{home}/reports/portfolio_report.json")["positions"] == got["positions"]
-    assert reports.read_json(spark, f"{home}/reports/none.json") == {} and json.dumps(got, default=str)
+    assert store.table(spark, "portfolio_report", "none") is None and store.table(spark, "none", "none") is None
+    assert store.numbers(spark, "portfolio_report")["positions"] == got["positions"]
+    assert store.numbers(spark, "none") == {} and json.dumps(got, default=str)
     alpha = reports.run_alpha(files.load_prices(spark, f"{home}/processed/prices"), {"1M": 21, "3M": 63}, "ridge")
     assert alpha.tables["forecasts"].count() == 24

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathom.functions import quantiles as quantiles_of
 from fathom.functions import stats
 from fathom.operators import inference
 from fathom.operators.factors import NAMES
@@ -101,3 +102,21 @@ def test_gates_need_every_number(spark):
     assert {r.strategy for r in inference.gates(perf, boot, check, dsr).collect()} == {NAMES[0]}
     none = passed(perf, boot.limit(0), check.limit(0), dsr.limit(0))
     assert none == {"sharpe_positive": True, "beats_baseline_ci": False, "reality_check_significant": False, "deflated_sharpe_solid": False}
+
+
+@pytest.mark.parametrize("shares", [[0.05, 0.95], [0.0, 0.5, 1.0], [0.25]])
+def test_quantiles_by_selection(spark, shares, monkeypatch):
+    rng = np.random.default_rng(7)
+    groups = {"normal": rng.normal(0, 1, 3000), "wide": np.exp(rng.normal(0, 80, 500)) * rng.choice([-1, 1], 500), "ties": rng.integers(0, 3, 800).astype(float), "one": [2.5], "two": [1.0, 4.0], "same": [7.0] * 90, "huge": [-1.7e308, 1.7e308, 0.0, 5e-324, 1.0]}
+    rows = [(g, None if k % 2 else "b", float(v)) for g, x in groups.items() for k, v in enumerate(np.repeat(x, 1))] + [("none", "b", None)]
+    table = spark.createDataFrame(rows, "g string, h string, v double").repartition(5)
+    monkeypatch.setattr(quantiles_of, "BINS", 16)
+    got = {r.g: (r.n, r.q) for r in quantiles_of.quantiles(table, ["g"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        x = np.sort(np.array(x))
+        at = np.array(shares) * (len(x) - 1)
+        low, high = x[np.floor(at).astype(int)], x[np.ceil(at).astype(int)]
+        assert got[g][0] == len(x)
+        with np.errstate(over="ignore"):
+            np.testing.assert_allclose(got[g][1], np.where(low == high, low, low + (high - low) * (at - np.floor(at))), rtol=1e-12)
