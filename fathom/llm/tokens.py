@@ -38,8 +38,8 @@ BLOCK = 1024
 #: The doc_id of files for documents without one.
 NO_ID = -(1 << 63)
 FILE_IDS = 1 << 20
-#: Bytes of text for each task that writes files, about; there are as many tasks as that takes.
-TASK_TEXT = 64 << 20
+#: Documents for each task that writes files, about; there are as many tasks as that takes. Texts pass through a task a few at a time, so long ones cost time and no memory.
+TASK_ROWS = 20_000
 
 
 class Known(dict):
@@ -240,8 +240,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, split: str | None = No
     as they occur, next to each other. An empty table gives an empty folder.
     """
     spark = docs.sparkSession
-    size = id_and_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_TEXT + 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // TASK_ROWS + 1)
     rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     rows = rows.repartitionByRange(n, "doc_id", "t").sortWithinPartitions("doc_id", "t")  # t: so that rows that share a doc_id needn't share a task
     rows.mapInArrow(_to_files(tokenizer, split, end_id), "part int, seq int, n_ids long, file binary").write.parquet(path)
