@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import back, by_ticker, log_ratio, roll
@@ -29,9 +29,19 @@ def moving_average(panel: DataFrame, n: int = 50) -> DataFrame:
     return panel.where("close is not null").select("ticker", "date", "close", "volume", roll(F.avg, F.col("close"), n).alias("ma50"))
 
 
+def _by_horizon() -> Column:
+    return F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])[F.col("horizon")]
+
+
 def forecasts_of(forecasts: DataFrame, ticker: str) -> DataFrame:
-    order = F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])
-    return forecasts.where(F.col("ticker") == ticker).orderBy(order[F.col("horizon")])
+    """One ticker's forecasts, the nearest horizon first."""
+    return forecasts.where(F.col("ticker") == ticker).orderBy(_by_horizon())
+
+
+def forecasts_in_order(forecasts: DataFrame) -> DataFrame:
+    """(ticker, horizon, place, expected_return_pct, low_5pct, high_95pct): forecasts_of() of all tickers at once, place 1 for the nearest horizon."""
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(_by_horizon())).cast("long")
+    return forecasts.select("ticker", "horizon", place.alias("place"), "expected_return_pct", "low_5pct", "high_95pct")
 
 
 def leaderboard(perf: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import normalize_ticker, parse_date, parse_number
+from ..functions.parsing import DATE_FORMATS, normalize_ticker, parse_date, parse_number
 from ..operators import audit, backtest, dashboard, features, forecast, inference, portfolio
 from ..operators import panel as panels
 from ..operators.backtest import BASELINE
@@ -85,7 +85,11 @@ def _raw(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit(" "), F.lpad((F.floor("o_totalprice") % 1000).cast("string"), 3, "0"), F.lit(",5"))
     value = F.when(k % 7 == 0, "n/d").when(k % 7 == 1, "-").when(k % 7 == 2, F.concat(F.lit(" "), k.cast("string"), F.lit(".25"))).when(k % 7 == 3, "1.234,56").otherwise(text)
-    return orders.select("o_orderkey", value.alias("value"), F.date_format(F.col("o_orderdate").cast("date"), "dd/MM/yyyy").alias("day"), F.concat(F.lit("  "), F.lower("o_orderpriority"), F.lit(" ")).alias("name"))
+    # a text in each of the formats, some null and some that are no dates
+    day = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit("n/d"))
+    for i, f in enumerate(DATE_FORMATS):
+        day = day.when(k % len(DATE_FORMATS) == i, F.concat(F.lit(" "), F.date_format("o_orderdate", f)))
+    return orders.select("o_orderkey", value.alias("value"), day.alias("day"), F.concat(F.lit("  "), F.lower("o_orderpriority"), F.lit(" ")).alias("name"))
 
 
 _RAW = """with raw as (select o_orderkey, case o_orderkey % 7 when 0 then 'n/d' when 1 then '-' when 2 then ' ' || o_orderkey || '.25' when 3 then '1.234,56' else floor(o_totalprice / 1000)::bigint || ' ' || lpad((floor(o_totalprice)::bigint % 1000)::varchar, 3, '0') || ',5' end as value, strftime(o_orderdate, '%d/%m/%Y') as day, '  ' || lower(o_orderpriority) || ' ' as name from orders)
@@ -97,7 +101,7 @@ def parse_numbers(spark, sf_dir):
     return _raw(spark, sf_dir).select("o_orderkey", parse_number(F.col("value")).alias("number"))
 
 
-@register("parse_date", "select o_orderkey, o_orderdate::date as date from orders")
+@register("parse_date", "select o_orderkey, case when o_orderkey % 11 = 0 or o_orderkey % 13 = 0 then null else o_orderdate::date end as date from orders")
 def parse_dates(spark, sf_dir):
     return _raw(spark, sf_dir).select("o_orderkey", parse_date(F.col("day")).alias("date"))
 
@@ -107,11 +111,11 @@ def normalize_tickers(spark, sf_dir):
     return _raw(spark, sf_dir).groupBy(normalize_ticker(F.col("name")).alias("ticker")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("valid_rows", "select c_mktsegment ticker, count(*) n, round(sum(c_acctbal), 4) + 0.0::double total from customer where c_acctbal > 0 group by 1")
+@register("valid_rows", "select c_mktsegment ticker, count(*) n, round(sum(c_acctbal), 4) + 0.0::double total from customer where c_acctbal > 0 and c_custkey % 5 <> 0 group by 1")
 def valid_rows(spark, sf_dir):
     from ..sources.files import valid
 
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("ticker"), F.current_date().alias("date"), F.col("c_acctbal").alias("close"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("ticker"), F.when(F.col("c_custkey") % 5 != 0, F.current_date()).alias("date"), F.col("c_acctbal").alias("close"))
     return valid(c).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
@@ -234,13 +238,13 @@ def performance_table(spark, sf_dir):
     return r6(backtest.performance(net_of(spark, panel_of(spark, sf_dir), _ALL)).select("strategy", "days", *_PERF))
 
 
-@register("drawdown_curve", o.q("select date, round(equity, 6) + 0.0::double equity, round(drawdown, 6) + 0.0::double drawdown from dd", o.FACTORS_CTE, o.ELIGIBLE_CTE, o.scores_cte(["reversal_5d"]), o.NET_CTE, o.PERF_CTE))
+@register("drawdown_curve", o.q("select strategy, date, round(equity, 6) + 0.0::double equity, round(drawdown, 6) + 0.0::double drawdown from dd", *_BT, o.PERF_CTE))
 def drawdown_curve(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("strategy").orderBy("d_idx").rowsBetween(Window.unboundedPreceding, 0)
-    net = net_of(spark, panel_of(spark, sf_dir), ["reversal_5d"]).withColumn("equity", F.sum("net").over(w))
-    return r6(net.select("date", "equity", (F.col("equity") - F.max("equity").over(w)).alias("drawdown")))
+    net = net_of(spark, panel_of(spark, sf_dir), _ALL).withColumn("equity", F.sum("net").over(w))
+    return r6(net.select("strategy", "date", "equity", (F.col("equity") - F.max("equity").over(w)).alias("drawdown")))
 
 
 @register("equity_moments", o.q("select strategy, count(net) n, round(avg(net) / stddev_samp(net), 6) + 0.0::double sr, round(sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5, 6) + 0.0::double skew, round(sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2, 5) + 0.0::double kurtosis from (select *, avg(net) over (partition by strategy) m from net) group by strategy", *_BT))
@@ -716,6 +720,12 @@ def factor_portfolio(spark, sf_dir):
 # ---------------------------------------------------------------- dashboard
 
 
+@register("dash_forecasts", o.q("select ticker, horizon, (row_number() over (partition by ticker order by h))::bigint place, expected_return_pct, low_5pct, high_95pct from forecasts join hz using (horizon)", *_ALPHA))
+def dash_forecasts(spark, sf_dir):
+    """Each ticker's forecasts in the order of their horizons, as its page shows them."""
+    return dashboard.forecasts_in_order(_alpha(spark, sf_dir)[1])
+
+
 @register("dash_performance", o.q("""select ticker, round(last_price, 6) + 0.0::double last_price, round(ret_1m_pct, 6) + 0.0::double ret_1m_pct, round(ret_3m_pct, 6) + 0.0::double ret_3m_pct, round(ret_1y_pct, 6) + 0.0::double ret_1y_pct, round(ann_vol_pct, 6) + 0.0::double ann_vol_pct from (select ticker, close last_price, 100 * (close / lag(close, 21) over w - 1) ret_1m_pct, 100 * (close / lag(close, 63) over w - 1) ret_3m_pct, 100 * (close / lag(close, 252) over w - 1) ret_1y_pct, 100 * sqrt(252) * stddev_samp(own) over (partition by ticker) ann_vol_pct, row_number() over (partition by ticker order by d_idx desc) k from (select *, ln(close / lag(close) over (partition by ticker order by d_idx)) own from panel where close is not null) window w as (partition by ticker order by d_idx)) where k = 1"""))
 def dash_performance(spark, sf_dir):
     return r6(dashboard.performance(panel_of(spark, sf_dir)))
@@ -778,9 +788,11 @@ def panel_of_files(spark, sf_dir):
 
 @register("synthetic_demo")
 def synthetic_demo(spark, sf_dir):
+    """Invented prices of a market of the sales tables' size: as many stocks as there are tickers, as many days as dates."""
     from ..sources.synthetic import generate
 
-    return generate(spark)
+    size = sales_prices(spark, sf_dir).agg(F.countDistinct("ticker").alias("stocks"), F.countDistinct("date").alias("days")).first()
+    return generate(spark, size.stocks, size.days)
 
 
 @register("stream_daily_bars", "select event_type ticker, ts::date as date, count(*) n, round(max(value), 6) + 0.0::double high, round(min(value), 6) + 0.0::double low, round(sum(value), 4) + 0.0::double volume from events where value is not null group by 1, 2")

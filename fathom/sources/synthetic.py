@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Those in returns_of() and prices_of(), which give the invented market its known structure, and this limit of a day's move.
 LIMIT = 0.06
 
 
