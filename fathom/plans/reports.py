@@ -167,13 +167,12 @@ def run_alpha(prices: DataFrame, horizons: dict[str, int] | None = None, model:
         raw = forecast.final_forecasts(data.where(F.col("horizon").isin(list(skill))), now, model)
         forecasts = forecast.blended(now, table, raw)
         top = forecast.top_ten(forecasts, now)
-        spark_of = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  a row for each ticker and horizon at most
-        tables = {"forecasts": spark_of(forecasts), "top10": spark_of(top)}
+        tables = {"forecasts": written(spark, forecasts, "forecasts"), "top10": written(spark, top, "top10")}
         last = p.agg(F.max("date")).first()[0]
         numbers = {
             "as_of": last, "universe": now.count(), "market_regime": {k: v for k, v in _one(forecast.market_regime(market)).items() if v is not None},
             "horizons": {k: {"oos_samples": by[k].oos_samples, "skill": skill.get(k), "forecast_shrinkage": by[k].skill_weight} for k in horizons},
-            "quarterly_top10_backtest": _one(forecast.quarterly(oos.where("horizon = '3M'"))), "top10_3m": [r.asDict() for r in tables["top10"].collect()],
+            "quarterly_top10_backtest": _one(forecast.quarterly(oos.where("horizon = '3M'"))), "top10_3m": [r.asDict() for r in tables["top10"].orderBy(F.desc("expected_return_pct"), "ticker").collect()],  # ten rows
             "honesty_note": f"A forecast is the market's mean plus the model's difference from it, weighted by the model's skill out of sample. The best information coefficient is {best:.3f}; without skill, forecasts stay at the market's mean.",
         }
     finally:
@@ -196,11 +195,10 @@ def build_portfolio(prices: DataFrame, capital: float = 100_000.0, verdict: dict
             scores = f.where(F.col("d_idx") == f.agg(F.max("d_idx")).scalar()).select("ticker", F.col(factor).alias("score"))
         chosen = portfolio.selection(rows, scores)
         returns = portfolio.recent_returns(p).join(chosen.select("ticker"), "ticker", "left_semi")
-        got = [(r.ticker, r.weight) for r in portfolio.hrp_weights(returns.select(F.lit("p").alias("portfolio"), "ticker", "d_idx", "ret")).collect()]  # a row for each ticker
-        good = got and all(w is not None and w == w for _, w in got)
-        weights = spark.createDataFrame(got, "ticker string, weight double") if good else portfolio.inverse_volatility(p, chosen)
-        out = portfolio.sized(portfolio.capped(weights), p, capital)
-        table = spark.createDataFrame(out.collect(), out.schema)
+        parity = written(spark, portfolio.hrp_weights(written(spark, returns.select(F.lit("p").alias("portfolio"), "ticker", "d_idx", "ret"), "returns")), "parity")
+        known = parity.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("weight") | F.col("weight").isNull()).alias("bad")).first()
+        weights = parity.select("ticker", "weight") if known.n and not known.bad else portfolio.inverse_volatility(p, chosen)
+        table = written(spark, portfolio.sized(portfolio.capped(weights), p, capital), "positions")
         invested = table.agg(F.coalesce(F.sum("weight_pct"), F.lit(0.0)).alias("pct"), F.count(F.lit(1)).alias("n")).first()
         last = p.agg(F.max("date")).first()[0]
     finally:
