@@ -37,41 +37,37 @@ class Boosting:
         self.rate, self.base, self.trees = rate, float(y.mean()), []
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         b = self._bin(x)
-        at = np.full(len(y), self.base)
+        keys, at = b + np.arange(x.shape[1]) * bins, np.full(len(y), self.base)
         for _ in range(rounds):
-            tree = self._grow(b, y - at, depth, l2, bins, least)
+            *tree, node = self._grow(b, keys, y - at, depth, l2, bins, least)
             self.trees.append(tree)
-            at += rate * self._walk(tree, b)
+            at += rate * tree[2][node]
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
 
     @staticmethod
-    def _grow(b, g, depth, l2, bins, least):
-        node, feature, cut = np.zeros(len(g), int), {}, {}
+    def _grow(b, keys, g, depth, l2, bins, least):
+        """(feature, cut, leaf, depth, node): the tree, and each row's leaf. A level's sums of all nodes, features and bins are one count over the rows."""
+        p = b.shape[1]
+        node, feature, cut, weights = np.zeros(len(g), int), {}, {}, np.repeat(g, p)
         for level in range(depth):
             first, n = 2**level - 1, 2**level
-            inner = node >= first
-            local = np.where(inner, node - first, 0)
-            best = np.full(n, 1e-12)
-            for f in range(b.shape[1]):
-                key = local[inner] * bins + b[inner, f]
-                s = np.bincount(key, g[inner], n * bins).reshape(n, bins).cumsum(axis=1)
-                c = np.bincount(key, minlength=n * bins).reshape(n, bins).cumsum(axis=1)
-                st, ct = s[:, -1:], c[:, -1:]
-                gain = s**2 / (c + l2) + (st - s) ** 2 / (ct - c + l2) - st**2 / (ct + l2)
-                gain[(c < least) | (ct - c < least)] = 0
-                top = gain.argmax(axis=1)
-                value = gain[np.arange(n), top]
-                for k in np.flatnonzero(value > best):
-                    best[k], feature[first + k], cut[first + k] = value[k], f, top[k]
-            for k in range(n):
-                if first + k in feature:
-                    here = inner & (node == first + k)
-                    node[here] = 2 * (first + k) + 1 + (b[here, feature[first + k]] > cut[first + k])
+            local = np.where(node >= first, node - first, n)  # n: rows whose node wasn't split
+            at = (keys + (local * p * bins)[:, None]).ravel()
+            s, c = (np.bincount(at, w, (n + 1) * p * bins)[: n * p * bins].reshape(n, p, bins).cumsum(axis=2) for w in (weights, None))
+            st, ct = s[:, :, -1:], c[:, :, -1:]
+            gain = s**2 / (c + l2) + (st - s) ** 2 / (ct - c + l2) - st**2 / (ct + l2)
+            gain[(c < least) | (ct - c < least)] = 0
+            gain = gain.reshape(n, -1)
+            top = gain.argmax(axis=1)
+            for k in np.flatnonzero(gain[np.arange(n), top] > 1e-12):
+                feature[first + k], cut[first + k] = divmod(int(top[k]), bins)
+                here = local == k
+                node[here] = 2 * (first + k) + 1 + (b[here, feature[first + k]] > cut[first + k])
         size = 2 ** (depth + 1) - 1
         leaf = np.bincount(node, g, size) / (np.bincount(node, minlength=size) + l2)
-        return feature, cut, leaf, depth
+        return feature, cut, leaf, depth, node
 
     @staticmethod
     def _walk(tree, b):
