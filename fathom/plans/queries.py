@@ -304,14 +304,14 @@ def reality_check_p_value(spark, sf_dir):
     return r6(inference.reality_check(backtest.active(net_of(spark, panel_of(spark, sf_dir), _ALL)), names=list(NAMES)))
 
 
-_MOMENTS = """mo as (select strategy, count(net) n, any_value(m) / any_value(sd) sr, sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5 skew, sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2 kurt
+_MOMENTS = """mo as (select strategy, count(net) n, case when any_value(sd) > 0 then any_value(m) / any_value(sd) end sr, sum((net - m) ** 3) / count(*) / (sum((net - m) ** 2) / count(*)) ** 1.5 skew, sum((net - m) ** 4) / count(*) / (sum((net - m) ** 2) / count(*)) ** 2 kurt
  from (select *, avg(net) over (partition by strategy) m, stddev_samp(net) over (partition by strategy) sd from net) where strategy <> 'baseline_equal_weight' group by strategy)"""
 _DSR = (_MOMENTS, f"""ds as (select *, sqrt(greatest((1 - skew * sr + (kurt - 1) / 4 * sr ** 2) / (n - 1), 1e-12)) sd from mo),
 dz as (select *, sd * {luck_in_numbers(len(NAMES))!r}::double bar from ds),
-dsr as (select strategy, n, sr, bar, coalesce(case when n >= 60 then {o.normal_cdf('((sr - bar) / sd)')} end, 0) dsr from dz)""")
+dsr as (select strategy, n, sr, bar, coalesce(case when n >= 60 and sr is not null then {o.normal_cdf('((sr - bar) / sd)')} end, 0) dsr from dz)""")
 
 
-@register("deflated_sharpe", o.q(f"select strategy, case when n >= 60 then {len(NAMES)} end n_trials, round(case when n >= 60 then sr end, 6) + 0.0::double daily_sharpe, round(case when n >= 60 then sr * sqrt(252) end, 6) + 0.0::double annualized_sharpe, round(case when n >= 60 then bar * sqrt(252) end, 6) + 0.0::double threshold_from_n_trials, round(dsr, 6) + 0.0::double dsr from dsr", *_BT, *_DSR))
+@register("deflated_sharpe", o.q(f"select strategy, case when n >= 60 and sr is not null then {len(NAMES)} end n_trials, round(case when n >= 60 then sr end, 6) + 0.0::double daily_sharpe, round(case when n >= 60 then sr * sqrt(252) end, 6) + 0.0::double annualized_sharpe, round(case when n >= 60 and sr is not null then bar * sqrt(252) end, 6) + 0.0::double threshold_from_n_trials, round(dsr, 6) + 0.0::double dsr from dsr", *_BT, *_DSR))
 def deflated_sharpe(spark, sf_dir):
     """A row for each factor, as one of so many trials."""
     return r6(inference.deflated_sharpe(net_of(spark, panel_of(spark, sf_dir), list(NAMES)), len(NAMES)))

@@ -13,7 +13,7 @@ from .conftest import SF
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or x != x:
+        if x is None or x is pd.NaT or x is pd.NA or x != x:
             return ""
         return f"{x:.6g}" if isinstance(x, float) else str(x)[:10] if hasattr(x, "year") else str(x)
 
