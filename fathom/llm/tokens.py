@@ -38,6 +38,8 @@ BLOCK = 1024
 #: The doc_id of files for documents without one.
 NO_ID = -(1 << 63)
 FILE_IDS = 1 << 20
+#: Memory for words where files are written: byte-level words are dear to encode, and many.
+FILES_ROOM = 160 << 20
 #: Documents for each task that writes files, about; there are as many tasks as that takes. Texts pass through a task a few at a time, so long ones cost time and no memory.
 TASK_ROWS = 20_000
 
@@ -131,9 +133,9 @@ class Encoder:
         return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in tokens]).tobytes()
 
 
-def encoder(path: str, split: str | None) -> Encoder:
+def encoder(path: str, split: str | None, room: int = KNOWN_BYTES) -> Encoder:
     """One for each Python worker, until another operator runs in it."""
-    return kept(("encoder", path, split), lambda: Encoder(path, split))
+    return kept(("encoder", path, split, room), lambda: Encoder(path, split, room=room))
 
 
 # ---------------------------------------------------------------- the file format
@@ -206,7 +208,7 @@ class IdFile:
 
 def _to_files(path: str, split: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(path, split), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(path, split, FILES_ROOM), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         names: list[int] = []
         n = 0
