@@ -123,22 +123,22 @@ def gram_sums(data: DataFrame, refits: DataFrame) -> DataFrame:
     ends = refits.groupBy("horizon").agg(F.array_sort(F.collect_list(F.struct("train_end", "refit_id"))).alias("ends"))
     at = F.size(F.filter("ends", lambda e: e.train_end < F.col("date")))
     rows = data.join(F.broadcast(ends), "horizon").withColumn("refit_id", F.get("ends", at).getField("refit_id")).where("refit_id is not null")  # bounded: a row for each horizon
-    f = [F.col(c) for c in FEATURES]
-    terms = [F.lit(1.0), F.col("actual"), *f, *[c * F.col("actual") for c in f], *[f[i] * f[j] for i, j in _PAIRS]]
-    new = rows.groupBy("horizon", "refit_id").agg(*[F.sum(t).alias(c) for c, t in zip(SUMS, terms, strict=True)])
-    w = Window.partitionBy("horizon").orderBy("refit_id").rowsBetween(Window.unboundedPreceding, 0)
-    return refits.select("horizon", "refit_id").join(new, ["horizon", "refit_id"], "left").select("horizon", "refit_id", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in SUMS])
+    terms = ["1.0D", "actual", *FEATURES, *[f"{c} * actual" for c in FEATURES], *[f"{FEATURES[i]} * {FEATURES[j]}" for i, j in _PAIRS]]
+    new = rows.groupBy("horizon", "refit_id").agg(*[F.expr(f"sum({t}) as {c}") for c, t in zip(SUMS, terms, strict=True)])
+    so_far = "over (partition by horizon order by refit_id rows between unbounded preceding and current row)"
+    return refits.select("horizon", "refit_id").join(new, ["horizon", "refit_id"], "left").selectExpr("horizon", "refit_id", *[f"coalesce(sum({c}) {so_far}, 0.0D) as {c}" for c in SUMS])
 
 
-def ridge_system(alpha: float = 10.0) -> tuple[Column, Column]:
-    """(rows, scale) from the columns of gram_sums(): the normal equations of standardised features with a penalty on the weights, each row with its right side at the end, and the features' standard deviations (1 for one that doesn't vary)."""
-    p, n = len(FEATURES), F.col("n")
-    mean, base = [F.col(f"x{i}") / n for i in range(p)], F.col("y") / n
-    xx = lambda i, j: F.col(f"x{min(i, j)}x{max(i, j)}")
-    spread = lambda i, j: xx(i, j) - n * mean[i] * mean[j]
-    sd = [F.when(spread(i, i) > 1e-12 * xx(i, i), F.sqrt(F.greatest(spread(i, i), F.lit(0.0)) / n)).otherwise(1.0) for i in range(p)]
-    row = lambda i: F.array(*[spread(i, j) / (sd[i] * sd[j]) + (alpha if i == j else 0.0) for j in range(p)], (F.col(f"xy{i}") - n * mean[i] * base) / sd[i])
-    return F.array(*map(row, range(p))), F.array(*sd)
+def ridge_system(sums: DataFrame, *keys: str, alpha: float = 10.0) -> DataFrame:
+    """(*keys, system, scale, mean, base) from rows of gram_sums(): the normal equations of standardised features with a penalty on the weights, each row with its right side at the end; the features' standard deviations (1 for one that doesn't vary) and means; the target's mean."""
+    p = range(len(FEATURES))
+    listed = lambda names: f"array({', '.join(names)})"
+    xx = listed(listed(f"x{min(i, j)}x{max(i, j)}" for j in p) for i in p)
+    means = sums.selectExpr(*keys, "n", "y / n as base", f"{listed(f'x{i} / n' for i in p)} as mean", f"{xx} as xx", f"{listed(f'xy{i}' for i in p)} as xy")
+    sd = "transform(xx, (row, i) -> if(row[i] - n * mean[i] * mean[i] > 1e-12D * row[i], sqrt(greatest(row[i] - n * mean[i] * mean[i], 0.0D) / n), 1.0D))"
+    left = f"transform(row, (x, j) -> (x - n * mean[i] * mean[j]) / (scale[i] * scale[j]) + if(i = j, {alpha}D, 0.0D))"
+    right = "array((xy[i] - n * mean[i] * base) / scale[i])"
+    return means.withColumn("scale", F.expr(sd)).selectExpr(*keys, f"transform(xx, (row, i) -> concat({left}, {right})) as system", "scale", "mean", "base")
 
 
 def eliminated(rows: Column, p: int) -> Column:
@@ -166,17 +166,15 @@ def back_substituted(upper: Column, p: int) -> Column:
 def _solved(sums: DataFrame, *keys: str) -> DataFrame:
     """(*keys, w): intercept and weights; of sums over at least MIN_ROWS rows."""
     p = len(FEATURES)
-    system, scale = ridge_system()
-    mean = F.array(*[F.col(f"x{i}") / F.col("n") for i in range(p)])
-    ready = sums.where(F.col("n") >= MIN_ROWS).select(*keys, system.alias("system"), scale.alias("scale"), mean.alias("mean"), (F.col("y") / F.col("n")).alias("base"))
+    ready = ridge_system(sums.where(F.col("n") >= MIN_ROWS), *keys)
     upper = ready.withColumn("system", eliminated(F.col("system"), p))
     weights = upper.withColumn("w", F.zip_with(back_substituted(F.col("system"), p), "scale", lambda x, s: x / s))
     intercept = F.col("base") - F.aggregate(F.zip_with("w", "mean", lambda x, m: x * m), F.lit(0.0), lambda s, x: s + x)
     return weights.select(*keys, F.concat(F.array(intercept), F.col("w")).alias("w"))
 
 
-def _linear(w: str = "w"):
-    return sum((F.col(c) * F.col(w)[i + 1] for i, c in enumerate(FEATURES)), F.col(w)[0])
+def _linear() -> Column:
+    return F.expr(" + ".join(["w[0]", *[f"{c} * w[{i + 1}]" for i, c in enumerate(FEATURES)]]))
 
 
 def _by_ridge(data: DataFrame, refits: DataFrame) -> DataFrame:
@@ -205,7 +203,7 @@ def _mean_of(parts: list[DataFrame], value: str, *keys: str) -> DataFrame:
 
 def walk_forward(data: DataFrame, refits: DataFrame | None = None, model: str = "ensemble") -> DataFrame:
     """(horizon, refit_id, date, ticker, actual, prediction) out of sample: of the mean of both models, or of one ("ridge", "boosting"); refits with under 200 rows to train on are skipped."""
-    refits = folds(data) if refits is None else refits
+    refits = written(data.sparkSession, folds(data) if refits is None else refits, "refits")  # every model reads it more than once
     made = [f(data, refits) for name, f in (("ridge", _by_ridge), ("boosting", _by_trees)) if model in (name, "ensemble")]
     return _mean_of(made, "prediction", "horizon", "refit_id", "date", "ticker", "actual")
 
